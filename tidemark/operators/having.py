@@ -7,6 +7,7 @@ is put in.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.running import ROWS_PER_KEY, running_sums
 from tidemark.operators.zset import signed_sum
 
 
@@ -28,17 +29,39 @@ def transitions(sums: DataFrame, key: str, bound: float, name: str = "sum_qty")
         F.sum("n").over(so_far).alias("n"),
         F.sum(name).over(so_far).alias("now"),
     )
-    shown = F.when((F.col("n") > 0) & (F.col("now") > bound), F.col("now"))
-    steps = running.withColumn("now", shown).withColumn("before", F.lag("now").over(path))
-    changed = steps.where(~F.col("now").eqNullSafe(F.col("before")))
+    steps = running.withColumn("now", _shown("n", "now", bound)).withColumn("before", F.lag("now").over(path))
+    return _replace(steps, [key, "epoch"], name)
+
+
+def _shown(n: str, total: str, bound: float) -> Column:
+    """The total if the group is in the result, else NULL."""
+    return F.when((F.col(n) > 0) & (F.col(total) > bound), F.col(total))
+
+
+def _replace(steps: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """From ``before`` and ``now`` results to a -1 row and a +1 row where they differ."""
     change = F.array(
         F.struct(F.lit(-1).alias("w"), F.col("before").alias(name)),
         F.struct(F.lit(1).alias("w"), F.col("now").alias(name)),
     )
-    return changed.select(key, "epoch", F.inline(change)).where(F.col(name).isNotNull())
+    changed = steps.where(~F.col("now").eqNullSafe(F.col("before")))
+    return changed.select(*keep, F.inline(change)).where(F.col(name).isNotNull())
 
 
 def having_changelog(log: DataFrame, key: str, value: Column, bound: float, name: str = "sum_qty") -> DataFrame:
     """The HAVING change log ``(key, epoch, w, sum)`` of a whole change log."""
     sums = signed_sum(log, [key], {name: value}, by_epoch=True)
     return transitions(sums, key, bound, name)
+
+
+def having_row_changes(log: DataFrame, key: str, order: list[str], value: Column, bound: float,
+                       name: str = "sum_qty", limit: int = ROWS_PER_KEY) -> DataFrame:
+    """The HAVING change log with a step per input row, not per epoch.
+
+    Rows of a key are taken in `order`; each gives no, one or two result rows.
+    """
+    log = log.withColumn("change", value * F.col("w"))
+    log = running_sums(log, [key], order, {"now": F.col("change"), "n": F.col("w")}, limit)
+    earlier = log.withColumns({"total_before": F.col("now") - F.col("change"), "n_before": F.col("n") - F.col("w")})
+    steps = earlier.withColumn("before", _shown("n_before", "total_before", bound))
+    return _replace(steps.withColumn("now", _shown("n", "now", bound)), [key, "epoch"], name)

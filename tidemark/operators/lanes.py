@@ -6,21 +6,30 @@ and the few rows of that key on the one side are repeated in each lane.  All
 other keys have a single lane.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators.running import heavy_keys
+from tidemark.session import exists
 
 # Fixed for the life of a query's checkpoint, like its state partitions.
 LANES = 64
 ROWS_PER_LANE_KEY = 5_000_000
 
 
-def write_heavy(backlog: DataFrame, key: str, path: str, limit: int = ROWS_PER_LANE_KEY) -> None:
-    """Find the heavy keys of what a stream has to read so far and write them down.
+def heavy_lists(spark: SparkSession, path: str, backlog: dict[str, DataFrame],
+                limit: int = ROWS_PER_LANE_KEY) -> dict[str, DataFrame]:
+    """Per key column, the keys that are heavy in what a stream has to read so far.
 
-    At most ``rows / limit`` keys are heavy, so the list can be broadcast.
+    The lists are written to `path` by the first run and kept from then on:
+    rows dealt out by one list would miss rows repeated by another.  At most
+    ``rows / limit`` keys are heavy, so a list can be broadcast.
     """
-    heavy_keys(backlog, [key], limit).write.mode("overwrite").parquet(path)
+    lists = {}
+    for key, log in backlog.items():
+        if not exists(spark, f"{path}/{key}/_SUCCESS"):
+            heavy_keys(log, [key], limit).write.mode("overwrite").parquet(f"{path}/{key}")
+        lists[key] = spark.read.parquet(f"{path}/{key}")
+    return lists
 
 
 def deal(many: DataFrame, key: str, heavy: DataFrame, lanes: int = LANES) -> DataFrame:

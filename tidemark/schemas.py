@@ -1,29 +1,35 @@
 """The tables a change log may carry: columns, types and keys."""
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, DecimalType, IntegerType, LongType, StringType, StructType
+
+KEY, INT, MONEY, DAY, TEXT = LongType(), IntegerType(), DecimalType(15, 2), DateType(), StringType()
+
+
+def _schema(**columns) -> StructType:
+    schema = StructType()
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return schema
+
 
 # Column order and types of one log record, per table tag.
 TABLES = {
-    "customer": StructType.fromDDL(
-        "c_custkey bigint, c_name string, c_address string, c_nationkey int, "
-        "c_phone string, c_acctbal decimal(15,2), c_mktsegment string, c_comment string"
-    ),
-    "orders": StructType.fromDDL(
-        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
-        "o_totalprice decimal(15,2), o_orderdate date, o_orderpriority string, "
-        "o_clerk string, o_shippriority int, o_comment string"
+    "customer": _schema(
+        c_custkey=KEY, c_name=TEXT, c_address=TEXT, c_nationkey=INT, c_phone=TEXT,
+        c_acctbal=MONEY, c_mktsegment=TEXT, c_comment=TEXT,
     ),
-    "lineitem": StructType.fromDDL(
-        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
-        "l_quantity decimal(15,2), l_extendedprice decimal(15,2), "
-        "l_discount decimal(15,2), l_tax decimal(15,2), l_returnflag string, "
-        "l_linestatus string, l_shipdate date, l_commitdate date, "
-        "l_receiptdate date, l_shipinstruct string, l_shipmode string, l_comment string"
+    "orders": _schema(
+        o_orderkey=KEY, o_custkey=KEY, o_orderstatus=TEXT, o_totalprice=MONEY, o_orderdate=DAY,
+        o_orderpriority=TEXT, o_clerk=TEXT, o_shippriority=INT, o_comment=TEXT,
     ),
-    "nation": StructType.fromDDL(
-        "n_nationkey int, n_name string, n_regionkey int, n_comment string"
+    "lineitem": _schema(
+        l_orderkey=KEY, l_partkey=KEY, l_suppkey=KEY, l_linenumber=INT, l_quantity=MONEY,
+        l_extendedprice=MONEY, l_discount=MONEY, l_tax=MONEY, l_returnflag=TEXT, l_linestatus=TEXT,
+        l_shipdate=DAY, l_commitdate=DAY, l_receiptdate=DAY, l_shipinstruct=TEXT, l_shipmode=TEXT,
+        l_comment=TEXT,
     ),
+    "nation": _schema(n_nationkey=INT, n_name=TEXT, n_regionkey=INT, n_comment=TEXT),
 }
 
 # The columns a delete-by-key compares, per table tag.

@@ -1,9 +1,9 @@
 """Change logs kept as parquet, one folder per table and epoch, and logs of tables."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
-from tidemark.schemas import TABLES, canonical
+from tidemark.schemas import INT, KEY, TABLES, TEXT, canonical
 
 
 def changes_of_table(table: DataFrame, tag: str, changes: list[tuple[int, int, Column]]) -> DataFrame:
@@ -27,10 +27,10 @@ def write_epoch(log: DataFrame, path: str, epoch: int) -> None:
 
 
 def log_schema(tag: str) -> StructType:
-    schema = StructType().add("w", IntegerType())
+    schema = StructType().add("w", INT)
     for field in TABLES[tag]:
         schema = schema.add(field)
-    return schema.add("epoch", IntegerType())
+    return schema.add("epoch", INT)
 
 
 def read_log(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -61,11 +61,11 @@ def _stream(spark: SparkSession, schema: StructType, path: str, files_per_batch:
 
 
 def _routed_schema() -> StructType:
-    schema = StructType().add("w", "int").add("seq", "bigint")
+    schema = StructType().add("w", INT).add("seq", KEY)
     for tag, fields in TABLES.items():
         schema = schema.add(tag, fields)
-    schema = schema.add("reason", "string").add("value", "string")
-    return schema.add("batch", "bigint").add("tag", "string").add("epoch", "int")
+    schema = schema.add("reason", TEXT).add("value", TEXT)
+    return schema.add("batch", KEY).add("tag", TEXT).add("epoch", INT)
 
 
 def write_routed(records: DataFrame, path: str) -> None:
