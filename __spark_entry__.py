@@ -23,7 +23,7 @@ from tidemark.session import work_dir
 from tidemark.sources import table_log, text_log
 from tidemark.streaming.having import HavingLog
 from tidemark.streaming.ingest import ingest
-from tidemark.streaming.runner import finish, start, to_batches
+from tidemark.streaming.runner import start, to_batches
 
 BOUND = 200
 LAST_EPOCH = 2
@@ -76,13 +76,20 @@ def _logs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [_log(spark, sf_dir, tag) for tag in TAGS]
 
 
+def _lines(spark: SparkSession, sf_dir: str, epoch: int) -> DataFrame:
+    """An epoch of the change stream as text."""
+    parts = [
+        text_log.to_lines(_log(spark, sf_dir, tag).where(F.col("epoch") == epoch), tag)
+        for tag in (*TAGS, "nation")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def _text(spark: SparkSession, sf_dir: str) -> str:
     """The change stream as one text log with epoch markers; gives its path."""
-    lines = text_log.to_lines(_log(spark, sf_dir, "nation"), "nation")
-    for tag in TAGS:
-        lines = lines.unionByName(text_log.to_lines(_log(spark, sf_dir, tag), tag))
     path = work_dir(spark, "text")
-    text_log.write_marked(lines, path, LAST_EPOCH + 1)
+    for epoch in range(LAST_EPOCH + 1):
+        text_log.write_marked(_lines(spark, sf_dir, epoch), path, epoch)
     return path
 
 
@@ -113,17 +120,22 @@ def _plain(df: DataFrame) -> DataFrame:
 
 def changelog_ingest(spark, sf_dir):
     """Changes per epoch, table and sign, as read from text."""
-    records = _records(spark, sf_dir).where("reason IS NULL")
-    key = F.coalesce("customer.c_custkey", "orders.o_orderkey", "lineitem.l_orderkey", "nation.n_nationkey")
+    records = _records(spark, sf_dir).where(text_log.reason().isNull())
+    key = F.get("f", F.lit(1)).try_cast("bigint")
     counts = records.groupBy("epoch", "tag", "w").agg(F.count("*").alias("n"), F.sum(key).alias("keys"))
     return _plain(counts)
 
 
 def changelog_ingest_stream(spark, sf_dir):
-    """The same, of a text log taken in by a stream and routed to parquet."""
-    routed = work_dir(spark, "routed")
-    query = ingest(spark, _text(spark, sf_dir), routed, work_dir(spark, "checkpoint"), files_per_batch=2)
-    finish(query)
+    """The same, of a text log taken in by a stream, epoch by epoch, and routed to parquet."""
+    text, routed = work_dir(spark, "text"), work_dir(spark, "routed")
+    text_log.write_marked(_lines(spark, sf_dir, 0), text, 0)
+    query = ingest(spark, text, routed, work_dir(spark, "checkpoint"), available_now=False)
+    for epoch in range(LAST_EPOCH + 1):
+        if epoch:
+            text_log.write_marked(_lines(spark, sf_dir, epoch), text, epoch)
+        query.processAllAvailable()
+    query.stop()
     keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "nation": "n_nationkey"}
     parts = [
         table_log.read_routed(spark, routed, tag).groupBy("epoch", "w")
@@ -180,7 +192,7 @@ def changelog_quarantine(spark, sf_dir):
     )
     lines = text_log.to_lines(_log(spark, sf_dir, "orders", []), "orders").withColumn("value", spoiled)
     path = work_dir(spark, "spoiled")
-    text_log.write_marked(lines, path, 1)
+    text_log.write_marked(lines, path, 0)
     records = text_log.parse(text_log.read_lines(spark, path))
     return _plain(text_log.quarantine(records).select("epoch", "tag", "reason", "value"))
 

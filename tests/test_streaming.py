@@ -1,0 +1,150 @@
+"""Streams give, at every epoch, what the batch query gives on the netted tables."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from small import SCHEMAS, all_q18_changes, all_q18_results, c, l, logs, o
+from tidemark.operators.having import having_changelog
+from tidemark.operators.lanes import heavy_lists
+from tidemark.operators.zset import net_changes, signed_sum, snapshot
+from tidemark.plans import q3, q18
+from tidemark.session import settings
+from tidemark.sources.table_log import with_place
+from tidemark.streaming.having import HavingLog
+from tidemark.streaming.runner import epoch_timings, finish, start, to_batches, to_console, to_text
+
+TAGS = ("c", "o", "l")
+
+
+def pairs(df):
+    return sorted((r.o_orderkey, int(r.sum_qty)) for r in df.collect())
+
+
+def write_batch(spark, folder, changes, number):
+    """One parquet file per kind of change, as a stream's next input."""
+    for tag, log in zip(TAGS, logs(spark, *changes)):
+        log.coalesce(1).write.mode("append").parquet(f"{folder}/{tag}")
+
+
+def streams(spark, folder):
+    return [
+        with_place(spark.readStream.schema(SCHEMAS[tag]).parquet(f"{folder}/{tag}")) for tag in TAGS
+    ]
+
+
+def epochs_of(changes):
+    changes = list(changes)
+    return [[x for x in changes if x[1][1] == epoch] for epoch in range(1 + max(x[1][1] for x in changes))]
+
+
+def test_joined_stream_at_every_epoch_over_restarts(spark, folder):
+    """One run per epoch, each going on from the checkpoint of the one before."""
+    for number, changes in enumerate(epochs_of(all_q18_changes())):
+        write_batch(spark, folder, changes, number)
+        query = q18.start_joined(*streams(spark, folder), f"{folder}/out", f"{folder}/checkpoint", available_now=True,
+                                 state_partitions=2)
+        finish(query)
+        assert pairs(q18.read_joined(spark, f"{folder}/out")) == all_q18_results(number)
+    for epoch in range(3):
+        assert pairs(q18.read_joined(spark, f"{folder}/out", epoch=epoch)) == all_q18_results(epoch)
+
+
+def test_two_stage_stream_with_heavy_keys(spark, folder):
+    """Large orders first; heavy keys in lanes; timings per batch."""
+    rounds = epochs_of(all_q18_changes())
+    write_batch(spark, folder, rounds[0], 0)
+    read = {tag: spark.read.schema(SCHEMAS[tag]).parquet(f"{folder}/{tag}") for tag in TAGS}
+    heavy = heavy_lists(spark, f"{folder}/heavy", {"o_custkey": read["o"], "l_orderkey": read["l"]}, limit=0)
+    assert heavy["o_custkey"].count() > 3
+    customer, orders, lines = streams(spark, folder)
+    first = q18.start_large(lines, f"{folder}/large", f"{folder}/c1", state_partitions=2)
+    first.processAllAvailable()
+    large = q18.stream_large(spark, f"{folder}/large")
+    second = q18.start_picked(customer, orders, large, f"{folder}/out", f"{folder}/c2", heavy=heavy, state_partitions=2)
+    for number, changes in enumerate(rounds):
+        if number:
+            write_batch(spark, folder, changes, number)
+        first.processAllAvailable()
+        second.processAllAvailable()
+        assert pairs(q18.read_picked(spark, f"{folder}/out")) == all_q18_results(number)
+    timings = epoch_timings(spark, second).where("input_rows > 0")
+    assert timings.where("ms > 0 AND state_rows > 0").count() >= 3
+    first.stop()
+    second.stop()
+
+
+def random_lines(seed, steps=60):
+    """Valid random changes: only rows that are there are deleted."""
+    rng = random.Random(seed)
+    live, changes = [], []
+    for i in range(steps):
+        if live and rng.random() < 0.4:
+            _, row = live.pop(rng.randrange(len(live)))
+            changes.append(("l", (-1, i // 15, *row[2:])))
+        else:
+            change = l(1, i // 15, rng.randint(1, 4), rng.randint(1, 200), rng.randint(1, 3))
+            live.append(change)
+            changes.append(change)
+    return changes
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_having_log_whatever_the_batches(spark, folder, seed):
+    """Any cut into batches, any order within an epoch: the batch form's net result."""
+    rng = random.Random(seed)
+    rounds = epochs_of(random_lines(seed))
+    kept = HavingLog(folder, "l_orderkey", F.col("l_quantity"), 300, compact_every=2)
+    batches = []
+    for changes in rounds:
+        rng.shuffle(changes)
+        cut = rng.randint(0, len(changes))
+        batches += [part for part in (changes[:cut], changes[cut:]) if part]
+    for number, changes in enumerate(batches):
+        batch = logs(spark, *changes)[2]
+        kept.step(batch, number)
+        if number % 3 == 1:
+            kept.step(batch, number)  # run again, as after a lost commit
+    _, _, whole = logs(spark, *[x for changes in rounds for x in changes])
+    want = having_changelog(whole, "l_orderkey", F.col("l_quantity"), 300)
+    got = spark.read.parquet(kept.log_path)
+    for epoch in range(len(rounds)):
+        a = snapshot(want, epoch).select("l_orderkey", "sum_qty").collect()
+        b = snapshot(got.select("w", "epoch", "l_orderkey", "sum_qty"), epoch).select("l_orderkey", "sum_qty").collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    assert snapshot(got.drop("batch")).where("w <> 1").isEmpty()
+
+
+def test_q3_stream(spark, folder):
+    rounds = [[c(1, 0, 1), o(1, 0, 1), o(1, 0, 2), l(1, 0, 1), l(1, 0, 2)], [l(-1, 1, 1), l(1, 1, 2, part=9)]]
+    expected = [{1: 90.0, 2: 90.0}, {2: 180.0}]
+    for number, changes in enumerate(rounds):
+        write_batch(spark, folder, changes, number)
+        finish(q3.start_joined(*streams(spark, folder), f"{folder}/out", f"{folder}/checkpoint", available_now=True,
+                               state_partitions=2))
+        rows = q3.read_joined(spark, f"{folder}/out").collect()
+        assert {r.o_orderkey: float(r.revenue) for r in rows} == expected[number]
+
+
+def test_text_and_console_sinks(spark, folder, capfd):
+    write_batch(spark, folder, [o(1, 0, 1), o(-1, 0, 2)], 0)
+    text = spark.readStream.schema(SCHEMAS["o"]).parquet(f"{folder}/o").select(
+        F.format_string("(%s, %s)", "w", "o_orderkey").alias("value"))
+    finish(start(text, f"{folder}/c1", "text", to_text(f"{folder}/text"), available_now=True))
+    assert sorted(r.value for r in spark.read.text(f"{folder}/text").collect()) == ["(-1, 2)", "(1, 1)"]
+    finish(start(text, f"{folder}/c2", "console", to_console(), available_now=True))
+    shown, deadline = "", time.time() + 10
+    while "(-1, 2)" not in shown and time.time() < deadline:
+        shown += capfd.readouterr().out
+        time.sleep(0.1)
+    assert "(-1, 2)" in shown
+
+
+def test_settings_are_put_back(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with settings(spark, {"spark.sql.shuffle.partitions": "77", "tidemark.test": "x"}):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "77"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.conf.get("tidemark.test", None) is None

@@ -68,10 +68,9 @@ def _routed_schema() -> StructType:
     return schema.add("batch", KEY).add("tag", TEXT).add("epoch", INT)
 
 
-def write_routed(records: DataFrame, path: str) -> None:
-    """Write parsed records by tag and epoch; bad ones under tag ``quarantine``."""
-    tag = F.when(F.col("reason").isNull(), F.col("tag")).otherwise("quarantine")
-    records.withColumn("tag", tag).write.mode("overwrite").partitionBy("tag", "epoch").parquet(path)
+def write_routed(routed: DataFrame, path: str) -> None:
+    """Write routed records by tag and epoch."""
+    routed.write.mode("overwrite").partitionBy("tag", "epoch").parquet(path)
 
 
 def read_routed(spark: SparkSession, path: str, tag: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Epochs come either from marker lines inside the text or from ``epoch=N``
 folders.  Both give lines ``(epoch, seq, value)`` or ``(epoch, value)``, which
-`parse` turns into typed, routed rows.
+`parse` splits into records.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.columns import flag_of, format_day, parse_day, weight_of
-from tidemark.schemas import TABLES
+from tidemark.schemas import DAY, TABLES, TEXT
 from tidemark.session import work_dir
 
 # Control lines and the field separator of the format.
@@ -88,7 +88,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Data lines ``(epoch, seq, value)`` of a log with epoch markers.
 
     `path` is one file or a folder; the files of a folder follow each other in
-    name order.  A file may have any size, it is read in splits.
+    the order of their paths.  A file may have any size, it is read in splits.
     """
     lines = with_position(spark.read.text(path))
     return data_lines(number_lines(lines, summarize_splits(lines)))
@@ -117,76 +117,68 @@ def data_lines(lines: DataFrame) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Lines to records: ``tag``, ``w``, one struct per table, ``reason``, ``value``.
+    """Lines to records: the fields ``f`` as text, the ``tag`` and the weight ``w``.
 
-    A good record has its table's struct filled and no `reason`; a bad one says
-    why it is bad and keeps its text.
+    The columns of the lines stay.  Nothing is judged yet: `table_changes`,
+    `quarantine` and `routed` pick from the records what they need.
     """
-    kept = [c for c in lines.columns if c != "value"]
+    # Exploding a one-element array splits each line once; as a plain column
+    # the split would be copied into every filter and cast above it.
     fields = F.split(F.rtrim("value", F.lit(TAB)), TAB)
-    split = _once(lines, fields, "f").select(
-        *kept, "value", "f",
+    return lines.select("*", F.explode(F.array(fields)).alias("f")).select(
+        "*",
         F.element_at("f", -1).alias("tag"),
         weight_of(F.get("f", F.lit(0))).alias("w"),
     )
-    record = F.struct(*[F.when(_is_record(tag), _typed(tag)).alias(tag) for tag in TABLES])
-    typed = _once(split, record, "r").select(*kept, "value", "f", "tag", "w", "r.*")
-    checked = typed.withColumn("reason", _reason())
-    good = F.col("reason").isNull()
-    return checked.select(
-        *kept, "tag", "w",
-        *[F.when(good, F.col(tag)).alias(tag) for tag in TABLES],
-        "reason",
-        F.when(~good, F.col("value")).alias("value"),
-    )
 
 
-def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
-    """Add a column whose work no later filter repeats.
+def _typed(tag: str) -> list[Column]:
+    """The fields of a table's record in its types; NULL for what does not fit."""
+    columns = []
+    for i, field in enumerate(TABLES[tag], start=1):
+        text = F.get("f", F.lit(i))
+        value = parse_day(text) if field.dataType == DAY else text.try_cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return columns
 
-    A plain column would be copied into each filter above it, once per use.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
 
+def _full(tag: str) -> Column:
+    """Whether a record has as many fields as the table's columns, flag and tag."""
+    return F.size("f") == len(TABLES[tag]) + 2
 
-def _reason() -> Column:
-    """Why a record cannot be used; NULL if it can."""
-    reason = F.when(~F.col("tag").isin(*TABLES), "unknown table")
-    for tag, schema in TABLES.items():
-        reason = reason.when((F.col("tag") == tag) & (F.size("f") != len(schema) + 2), "field count")
-    reason = reason.when(F.col("w").isNull(), "change flag")
-    for tag in TABLES:
-        reason = reason.when((F.col("tag") == tag) & _bad_value(tag), "bad value")
-    return reason
 
+def _fits(tag: str, columns: list[Column] | None = None) -> Column:
+    """Whether every field that is no text has a value of its type."""
+    fits = F.lit(True)
+    for field, column in zip(TABLES[tag], columns or _typed(tag)):
+        if field.dataType != TEXT:
+            fits = fits & column.isNotNull()
+    return fits
 
-def _is_record(tag: str) -> Column:
-    return (F.col("tag") == tag) & (F.size("f") == len(TABLES[tag]) + 2)
 
+def is_good(tag: str) -> Column:
+    """Whether a record is a usable change of the table."""
+    return (F.col("tag") == tag) & _full(tag) & F.col("w").isNotNull() & _fits(tag)
 
-def _typed(tag: str) -> Column:
-    columns = []
-    for i, field in enumerate(TABLES[tag], start=1):
-        text = F.get("f", F.lit(i))
-        kind = field.dataType.simpleString()
-        value = parse_day(text) if kind == "date" else text.try_cast(field.dataType)
-        columns.append(value.alias(field.name))
-    return F.struct(*columns)
 
+def reason(typed: dict[str, list[Column]] | None = None) -> Column:
+    """Why a record cannot be used; NULL if it can."""
+    why = F.when(~F.col("tag").isin(*TABLES), "unknown table")
+    for tag in TABLES:
+        why = why.when((F.col("tag") == tag) & ~_full(tag), "field count")
+    why = why.when(F.col("w").isNull(), "change flag")
+    for tag in TABLES:
+        why = why.when((F.col("tag") == tag) & ~_fits(tag, (typed or {}).get(tag)), "bad value")
+    return why
 
-def _bad_value(tag: str) -> Column:
-    bad = F.lit(False)
-    for field in TABLES[tag]:
-        if field.dataType.simpleString() != "string":
-            bad = bad | F.col(f"{tag}.{field.name}").isNull()
-    return bad
+
+def _kept(records: DataFrame) -> list[str]:
+    return [c for c in ("epoch", "seq") if c in records.columns]
 
 
 def table_changes(records: DataFrame, tag: str) -> DataFrame:
-    """The typed change log of one table: record columns ``w, epoch[, seq]``, then its own."""
-    good = records.where((F.col("tag") == tag) & F.col("reason").isNull())
-    change = [c for c in ("w", "epoch", "seq") if c in records.columns]
-    return good.select(*change, f"{tag}.*")
+    """The typed change log of one table: ``w, epoch[, seq]``, then its own columns."""
+    return records.where(is_good(tag)).select("w", *_kept(records), *_typed(tag))
 
 
 def quarantine(records: DataFrame, on_unknown: str = "quarantine") -> DataFrame:
@@ -195,16 +187,36 @@ def quarantine(records: DataFrame, on_unknown: str = "quarantine") -> DataFrame:
     `on_unknown` says what an unknown table tag means: ``quarantine`` lists it
     here, ``drop`` leaves it out, ``fail`` stops the job.
     """
-    bad = records.where(F.col("reason").isNotNull())
+    if on_unknown not in ("quarantine", "drop", "fail"):
+        raise ValueError(f"on_unknown: {on_unknown}")
+    bad = records.select(*_kept(records), "tag", reason().alias("reason"), "value")
+    bad = bad.where(F.col("reason").isNotNull())
     unknown = F.col("reason") == "unknown table"
     if on_unknown == "drop":
-        bad = bad.where(~unknown)
-    elif on_unknown == "fail":
-        stop = F.raise_error(F.concat(F.lit("unknown table: "), F.col("tag")))
-        bad = bad.withColumn("reason", F.when(unknown, stop.cast("string")).otherwise(F.col("reason")))
-    elif on_unknown != "quarantine":
-        raise ValueError(f"on_unknown: {on_unknown}")
-    return bad.select(*[c for c in ("epoch", "seq") if c in bad.columns], "tag", "reason", "value")
+        return bad.where(~unknown)
+    if on_unknown == "fail":
+        stop = F.raise_error(F.concat(F.lit("unknown table: "), F.col("tag"))).cast("string")
+        return bad.withColumn("reason", F.when(unknown, stop).otherwise(F.col("reason")))
+    return bad
+
+
+def routed(records: DataFrame) -> DataFrame:
+    """All records in one shape: a struct per table, filled for the record's own.
+
+    Bad records get the tag ``quarantine``, their reason and their text.
+    """
+    whole = {tag: (F.col("tag") == tag) & _full(tag) for tag in TABLES}
+    typed = records.select("*", *[F.when(whole[tag], F.struct(*_typed(tag))).alias(tag) for tag in TABLES])
+    values = {tag: [F.col(f"{tag}.{name}") for name in TABLES[tag].names] for tag in TABLES}
+    judged = typed.withColumn("reason", reason(values))
+    good = F.col("reason").isNull()
+    return judged.select(
+        "w", *_kept(records),
+        *[F.when(good, F.col(tag)).alias(tag) for tag in TABLES],
+        "reason",
+        F.when(~good, F.col("value")).alias("value"),
+        F.when(good, F.col("tag")).otherwise("quarantine").alias("tag"),
+    )
 
 
 # --- writing ----------------------------------------------------------------
@@ -217,36 +229,26 @@ def to_lines(log: DataFrame, tag: str) -> DataFrame:
     number or a date is needed.
     """
     fields = [flag_of(F.col("w"))]
-    days = [f.name for f in TABLES[tag] if f.name in log.columns and f.dataType.simpleString() == "date"]
+    days = [f.name for f in TABLES[tag] if f.name in log.columns and f.dataType == DAY]
     for field in TABLES[tag]:
-        kind = field.dataType.simpleString()
         if field.name in log.columns:
             value = F.col(field.name).cast(field.dataType)
-            text = format_day(value) if kind == "date" else value.cast("string")
-        elif kind == "date":
+            text = format_day(value) if field.dataType == DAY else value.cast("string")
+        elif field.dataType == DAY:
             text = format_day(F.col(days[0]).cast("date"))
         else:
-            text = F.lit("" if kind == "string" else "0")
+            text = F.lit("" if field.dataType == TEXT else "0")
         fields.append(text)
     return log.select("epoch", F.concat_ws(TAB, *fields, F.lit(tag)).alias("value"))
 
 
-def write_marked(lines: DataFrame, path: str, epochs: int) -> None:
-    """Write ``(epoch, value)`` lines as one log with an epoch marker after each epoch.
+def write_marked(lines: DataFrame, path: str, epoch: int) -> None:
+    """Write one epoch's lines and its end marker into the log folder `path`.
 
-    The part files, in name order, hold the epochs in order.
+    The files of a log follow each other in name order, so an epoch gets a
+    numbered folder in which the marker's file comes after the data.
     """
-    spark = lines.sparkSession
-    marks = spark.range(epochs).select(F.col("id").cast("int").alias("epoch"), F.lit(EPOCH_END).alias("value"))
-    order = ["epoch", "is_mark", "spread"]
-    placed = (
-        lines.withColumn("is_mark", F.lit(0))
-        .unionByName(marks.withColumn("is_mark", F.lit(1)))
-        .withColumn("spread", F.xxhash64("value"))
-    )
-    (
-        placed.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("value")
-        .write.text(path)
-    )
+    folder = f"{path}/at={epoch:08d}"
+    lines.select("value").write.mode("overwrite").text(f"{folder}/part=0")
+    mark = lines.sparkSession.range(1).select(F.lit(EPOCH_END).alias("value"))
+    mark.write.mode("overwrite").text(f"{folder}/part=1")

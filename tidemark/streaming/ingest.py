@@ -5,9 +5,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.session import exists
 from tidemark.sources.table_log import write_routed
-from tidemark.sources.text_log import data_lines, number_lines, parse, summarize_splits, with_position
+from tidemark.sources.text_log import (
+    data_lines, number_lines, parse, routed, summarize_splits, with_position,
+)
 from tidemark.streaming.runner import start, to_batches
 
+# Typing the fields of four tables makes one generated method too long for the
+# JIT compiler; beyond this many bytes Spark splits the code instead.
+SHORT_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
            files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
@@ -32,9 +38,9 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
             F.coalesce(F.max(F.col("epoch0") + F.size("marks")), F.lit(epoch)).alias("epoch"),
             F.coalesce(F.max(F.col("seq0") + F.col("n")), F.lit(seq)).alias("seq"),
         ).write.mode("overwrite").parquet(_counter_path(target, number))
-        write_routed(parse(data_lines(number_lines(batch, splits))), out)
+        write_routed(routed(parse(data_lines(number_lines(batch, splits)))), out)
 
-    return start(lines, checkpoint, "ingest", to_batches(step), available_now)
+    return start(lines, checkpoint, "ingest", to_batches(step), available_now, options=SHORT_METHODS)
 
 
 def _counter_path(target: str, number: int) -> str:

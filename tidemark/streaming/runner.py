@@ -19,11 +19,13 @@ STATE_STORE = {
 
 
 def start(stream: DataFrame, checkpoint: str, name: str, to: Callable, available_now: bool = False,
-          state_partitions: int | None = None, every: str | None = None) -> StreamingQuery:
+          state_partitions: int | None = None, every: str | None = None,
+          options: dict[str, str] | None = None) -> StreamingQuery:
     """Start a streaming query; `to` gets the writer and sets its sink.
 
     The number of state partitions is fixed by a checkpoint's first run.  It is
-    one per core unless given, as each costs a task in every batch.
+    one per core unless given, as each costs a task in every batch.  `options`
+    are session settings for this query alone.
     """
     spark = stream.sparkSession
     parts = state_partitions or spark.sparkContext.defaultParallelism
@@ -32,7 +34,7 @@ def start(stream: DataFrame, checkpoint: str, name: str, to: Callable, available
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    with settings(spark, {**STATE_STORE, "spark.sql.shuffle.partitions": str(parts)}):
+    with settings(spark, {**STATE_STORE, "spark.sql.shuffle.partitions": str(parts), **(options or {})}):
         return to(writer).start()
 
 
