@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 import oracle_queries
 from tidemark.functions.columns import format_day, parse_day, result_text
@@ -66,10 +67,18 @@ def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [canonical(_table(spark, sf_dir, tag), tag) for tag in TAGS]
 
 
+def _which(changes: list) -> list[tuple[int, int, Column]]:
+    return [(epoch, w, F.expr(text)) for epoch, w, text in changes]
+
+
 def _log(spark: SparkSession, sf_dir: str, tag: str, changes: list | None = None) -> DataFrame:
     listed = CHANGES[tag] if changes is None else changes
-    which = [(epoch, w, F.expr(text)) for epoch, w, text in listed]
-    return table_log.changes_of_table(_table(spark, sf_dir, tag), tag, which)
+    return table_log.changes_of_table(_table(spark, sf_dir, tag), tag, _which(listed))
+
+
+def _epoch(spark: SparkSession, sf_dir: str, tag: str, epoch: int) -> DataFrame:
+    """One epoch of `_log`."""
+    return table_log.changes_in_epoch(_table(spark, sf_dir, tag), tag, _which(CHANGES[tag]), epoch)
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -79,7 +88,7 @@ def _logs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 def _lines(spark: SparkSession, sf_dir: str, epoch: int) -> DataFrame:
     """An epoch of the change stream as text."""
     parts = [
-        text_log.to_lines(_log(spark, sf_dir, tag).where(F.col("epoch") == epoch), tag)
+        text_log.to_lines(_epoch(spark, sf_dir, tag, epoch), tag)
         for tag in (*TAGS, "nation")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -97,6 +106,41 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_log.parse(text_log.read_lines(spark, _text(spark, sf_dir)))
 
 
+class Played:
+    """The change stream as files that come in epoch by epoch."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, base: str, tags: tuple[str, ...] = TAGS):
+        self.spark, self.sf_dir, self.base, self.tags = spark, sf_dir, base, tags
+        self._write(0)
+
+    def _write(self, epoch: int) -> None:
+        for tag in self.tags:
+            table_log.write_epoch(_epoch(self.spark, self.sf_dir, tag, epoch), f"{self.base}/{tag}", epoch)
+
+    def stream(self, tag: str) -> DataFrame:
+        return table_log.stream_log(self.spark, f"{self.base}/{tag}", tag)
+
+    def streams(self) -> list[DataFrame]:
+        return [self.stream(tag) for tag in self.tags]
+
+    def heavy(self) -> dict[str, DataFrame]:
+        """The join keys that the first epoch already shows to be heavy."""
+        return heavy_lists(self.spark, f"{self.base}/heavy", {
+            "o_custkey": table_log.read_log(self.spark, f"{self.base}/orders", "orders"),
+            "l_orderkey": table_log.read_log(self.spark, f"{self.base}/lineitem", "lineitem"),
+        })
+
+    def play(self, *queries: StreamingQuery) -> None:
+        """Let started queries settle on epoch 0, then give them the later epochs."""
+        for epoch in range(LAST_EPOCH + 1):
+            if epoch:
+                self._write(epoch)
+            for query in queries:
+                query.processAllAvailable()
+        for query in queries:
+            query.stop()
+
+
 # --- outputs ----------------------------------------------------------------
 
 
@@ -285,15 +329,11 @@ def having_changes(spark, sf_dir):
 def having_changes_stream(spark, sf_dir):
     """The same change log, kept up by a stream, epoch by epoch."""
     base = work_dir(spark, "having")
-    log = _log(spark, sf_dir, "lineitem")
-    path = f"{base}/lineitem"
+    played = Played(spark, sf_dir, base, ("lineitem",))
     kept = HavingLog(f"{base}/having", "l_orderkey", F.col("l_quantity"), BOUND, compact_every=2)
-    table_log.write_epoch(log, path, 0)
-    changes = table_log.stream_log(spark, path, "lineitem").select("w", "epoch", "l_orderkey", "l_quantity")
-    query = start(changes, f"{base}/checkpoint", "having", to_batches(kept.step))
-    _play(query, {path: log})
-    rows = spark.read.parquet(kept.log_path).drop("batch")
-    return _plain(rows)
+    changes = played.stream("lineitem").select("w", "epoch", "l_orderkey", "l_quantity")
+    played.play(start(changes, f"{base}/checkpoint", "having", to_batches(kept.step)))
+    return _plain(spark.read.parquet(kept.log_path).drop("batch"))
 
 
 def running_quantity(spark, sf_dir):
@@ -323,48 +363,25 @@ def q18_by_epoch(spark, sf_dir):
     return _plain(q18.by_epoch(*_logs(spark, sf_dir), last=LAST_EPOCH, bound=BOUND))
 
 
-def _play(*streams, then: Callable[[], None] | None = None) -> None:
-    """Let started queries settle on epoch 0, then give them the later epochs."""
-    *queries, logs = streams
-    for epoch in range(LAST_EPOCH + 1):
-        for path, log in logs.items() if epoch else ():
-            table_log.write_epoch(log, path, epoch)
-        for query in queries:
-            query.processAllAvailable()
-    for query in queries:
-        query.stop()
-
-
-def _first_epoch(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, DataFrame], list[DataFrame], dict]:
-    """Write epoch 0 of the three logs; gives folder, logs, streams and heavy keys."""
-    base = work_dir(spark, "stream")
-    logs = {f"{base}/{tag}": log for tag, log in zip(TAGS, _logs(spark, sf_dir))}
-    for path, log in logs.items():
-        table_log.write_epoch(log, path, 0)
-    streams = [table_log.stream_log(spark, f"{base}/{tag}", tag) for tag in TAGS]
-    heavy = heavy_lists(spark, f"{base}/heavy", {
-        "o_custkey": table_log.read_log(spark, f"{base}/orders", "orders"),
-        "l_orderkey": table_log.read_log(spark, f"{base}/lineitem", "lineitem"),
-    })
-    return base, logs, streams, heavy
-
-
 def q18_stream_netted(spark, sf_dir):
     """A three-way streaming join, summed and cut when read."""
-    base, logs, streams, heavy = _first_epoch(spark, sf_dir)
-    query = q18.start_joined(*streams, f"{base}/out", f"{base}/checkpoint", heavy=heavy)
-    _play(query, logs)
+    base = work_dir(spark, "stream")
+    played = Played(spark, sf_dir, base)
+    query = q18.start_joined(*played.streams(), f"{base}/out", f"{base}/checkpoint", heavy=played.heavy())
+    played.play(query)
     return _plain(q18.read_joined(spark, f"{base}/out", BOUND))
 
 
 def q18_stream_having(spark, sf_dir):
     """Large orders first, as a change log; then joined as streams."""
-    base, logs, (customer, orders, lineitem), heavy = _first_epoch(spark, sf_dir)
+    base = work_dir(spark, "stream")
+    played = Played(spark, sf_dir, base)
+    customer, orders, lineitem = played.streams()
     first = q18.start_large(lineitem, f"{base}/large", f"{base}/checkpoint-large", BOUND)
     first.processAllAvailable()
     large = q18.stream_large(spark, f"{base}/large")
-    second = q18.start_picked(customer, orders, large, f"{base}/out", f"{base}/checkpoint-picked", heavy=heavy)
-    _play(first, second, logs)
+    second = q18.start_picked(customer, orders, large, f"{base}/out", f"{base}/checkpoint-picked", heavy=played.heavy())
+    played.play(first, second)
     return _plain(q18.read_picked(spark, f"{base}/out"))
 
 
@@ -383,9 +400,10 @@ def q3_filtered(spark, sf_dir):
 
 
 def q3_stream(spark, sf_dir):
-    base, logs, streams, heavy = _first_epoch(spark, sf_dir)
-    query = q3.start_joined(*streams, f"{base}/out", f"{base}/checkpoint", PRIORITY, heavy=heavy)
-    _play(query, logs)
+    base = work_dir(spark, "stream")
+    played = Played(spark, sf_dir, base)
+    query = q3.start_joined(*played.streams(), f"{base}/out", f"{base}/checkpoint", PRIORITY, heavy=played.heavy())
+    played.play(query)
     return _plain(q3.read_joined(spark, f"{base}/out", PRIORITY))
 
 

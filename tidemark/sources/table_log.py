@@ -16,8 +16,21 @@ def changes_of_table(table: DataFrame, tag: str, changes: list[tuple[int, int, C
         F.when(which, F.struct(F.lit(epoch).alias("epoch"), F.lit(w).alias("w")))
         for epoch, w, which in changes
     ]
-    log = table.select(F.explode(F.array_compact(F.array(*every))).alias("change"), *table.columns)
-    return canonical(log.select("change.w", "change.epoch", *table.columns), tag)
+    # Typed once per row, before a row becomes several changes.
+    rows = canonical(table, tag)
+    log = rows.select(F.explode(F.array(*every)).alias("change"), *rows.columns)
+    return log.where(F.col("change").isNotNull()).select("change.w", "change.epoch", *rows.columns)
+
+
+def changes_in_epoch(table: DataFrame, tag: str, changes: list[tuple[int, int, Column]], epoch: int) -> DataFrame:
+    """One epoch of `changes_of_table`, reading only the rows that change in it."""
+    chosen = [(1, F.lit(True))] if epoch == 0 else []
+    chosen += [(w, which) for at, w, which in changes if at == epoch]
+    parts = [canonical(table.where(which).withColumn("w", F.lit(w)), tag) for w, which in chosen]
+    log = parts[0] if parts else canonical(table.limit(0).withColumn("w", F.lit(1)), tag)
+    for part in parts[1:]:
+        log = log.unionByName(part)
+    return log.withColumn("epoch", F.lit(epoch))
 
 
 def write_epoch(log: DataFrame, path: str, epoch: int) -> None:
