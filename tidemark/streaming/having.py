@@ -1,17 +1,12 @@
-"""The HAVING change log of a stream, kept up batch by batch.
-
-State is a set of parquet tables of per-key sums: one small table per batch,
-and now and then a compacted one of everything so far.  A batch reads the sums
-of the keys it touches, never rewriting those of the others.
-"""
+"""The HAVING change log of a stream, kept up batch by batch."""
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
 from tidemark.operators.having import transitions
-from tidemark.operators.zset import signed_sum
 from tidemark.session import exists
+from tidemark.streaming.state import Totals
 
 
 @dataclass(frozen=True)
@@ -33,67 +28,18 @@ class HavingLog:
     def log_path(self) -> str:
         return f"{self.path}/log"
 
+    @property
+    def totals(self) -> Totals:
+        return Totals(self.path, [self.key], {self.name: self.value}, self.compact_every)
+
     def step(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         out = f"{self.log_path}/batch={number}"
         # A batch that is run again after its commit must not give new files,
         # which readers of the log would take for new changes.
-        if not exists(spark, f"{out}/_SUCCESS"):
-            sums = self._write_sums(batch, number)
-            before = self._before(sums, number)
-            changes = transitions(before.unionByName(sums), self.key, self.bound, self.name)
+        if not exists(batch.sparkSession, f"{out}/_SUCCESS"):
+            sums = self.totals.add(batch, number)
+            path = self.totals.before(sums, number).unionByName(sums)
+            changes = transitions(path, self.key, self.bound, self.name)
             # What was there before the batch has been reported before.
             changes.where("epoch >= 0").write.mode("overwrite").parquet(out)
-        if (number + 1) % self.compact_every == 0:
-            self._compact(spark, number)
-
-    def _sums_path(self, number: int) -> str:
-        return f"{self.path}/sums/batch={number}"
-
-    def _base_path(self, number: int) -> str:
-        return f"{self.path}/base/upto={number}"
-
-    def _write_sums(self, batch: DataFrame, number: int) -> DataFrame:
-        sums = signed_sum(batch, [self.key], {self.name: self.value}, by_epoch=True)
-        sums.write.mode("overwrite").parquet(self._sums_path(number))
-        return batch.sparkSession.read.parquet(self._sums_path(number))
-
-    def _before(self, sums: DataFrame, number: int) -> DataFrame:
-        """Sums up to the batch, of its keys only, as of an epoch before all others.
-
-        The keys of a small batch are broadcast by Spark's own size check, so
-        the state is filtered where it is read.
-        """
-        state = self._state(sums, number)
-        touched = state.join(sums.select(self.key), self.key, "left_semi")
-        return self._total(touched).withColumn("epoch", F.lit(-1))
-
-    def _state(self, sums: DataFrame, number: int) -> DataFrame:
-        """All sums of the batches before `number`: the last base and what followed."""
-        spark = sums.sparkSession
-        based = number // self.compact_every * self.compact_every
-        columns = [self.key, "n", self.name]
-        state = sums.select(*columns).limit(0)
-        if based > 0:
-            state = state.unionByName(spark.read.parquet(self._base_path(based - 1)).select(*columns))
-        later = [self._sums_path(i) for i in range(based, number)]
-        if later:
-            state = state.unionByName(spark.read.parquet(*later).select(*columns))
-        return state
-
-    def _total(self, sums: DataFrame) -> DataFrame:
-        # Back to the types of one batch's sums, so that a key's total stays
-        # the same type however often it is added up.
-        types = dict(sums.dtypes)
-        return sums.groupBy(self.key).agg(
-            *[F.sum(c).cast(types[c]).alias(c) for c in ("n", self.name)]
-        )
-
-    def _compact(self, spark, number: int) -> None:
-        done = self._base_path(number)
-        if exists(spark, f"{done}/_SUCCESS"):
-            return
-        sums = spark.read.parquet(self._sums_path(number))
-        state = self._state(sums, number).unionByName(sums.select(self.key, "n", self.name))
-        live = self._total(state).where((F.col("n") != 0) | (F.col(self.name) != 0))
-        live.write.mode("overwrite").parquet(done)
+        self.totals.compact(batch.sparkSession, number)
