@@ -22,6 +22,7 @@ from tidemark.plans import joins, q3, q18
 from tidemark.schemas import DELETE_KEYS, canonical
 from tidemark.session import work_dir
 from tidemark.sources import table_log, text_log
+from tidemark.streaming.guard import GuardedLog
 from tidemark.streaming.having import HavingLog
 from tidemark.streaming.ingest import ingest
 from tidemark.streaming.runner import start, to_batches
@@ -109,13 +110,19 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Played:
     """The change stream as files that come in epoch by epoch."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, base: str, tags: tuple[str, ...] = TAGS):
+    def __init__(self, spark: SparkSession, sf_dir: str, base: str, tags: tuple[str, ...] = TAGS,
+                 missing: str = "false"):
         self.spark, self.sf_dir, self.base, self.tags = spark, sf_dir, base, tags
+        # Rows that epoch 0 leaves out, so that their deletes find nothing.
+        self.missing = missing
         self._write(0)
 
     def _write(self, epoch: int) -> None:
         for tag in self.tags:
-            table_log.write_epoch(_epoch(self.spark, self.sf_dir, tag, epoch), f"{self.base}/{tag}", epoch)
+            log = _epoch(self.spark, self.sf_dir, tag, epoch)
+            if epoch == 0:
+                log = log.where(f"NOT ({self.missing})")
+            table_log.write_epoch(log, f"{self.base}/{tag}", epoch)
 
     def stream(self, tag: str) -> DataFrame:
         return table_log.stream_log(self.spark, f"{self.base}/{tag}", tag)
@@ -278,10 +285,22 @@ def guard_customer(spark, sf_dir):
 
 
 def orphan_deletes(spark, sf_dir):
+    """Rows deleted without having been inserted: some orders never come in."""
     log = _log(spark, sf_dir, "orders").where("NOT (epoch = 0 AND o_orderstatus = 'P')")
     return _plain(zset.orphans(log))
 
 
+def guarded_stream(spark, sf_dir):
+    """What a guarded stream lets through of the same changes, netted per epoch."""
+    base = work_dir(spark, "guard")
+    played = Played(spark, sf_dir, base, ("orders",), missing="o_orderstatus = 'P'")
+    columns = _table(spark, sf_dir, "orders").columns
+    kept = GuardedLog(f"{base}/guarded", columns, compact_every=2)
+    changes = played.stream("orders").select("w", "epoch", *columns)
+    played.play(start(changes, f"{base}/checkpoint", "guard", to_batches(kept.step)))
+    return _plain(spark.read.parquet(kept.log_path).drop("batch"))
+
+
 # --- joins ------------------------------------------------------------------
 
 
@@ -407,6 +426,17 @@ def q3_stream(spark, sf_dir):
     return _plain(q3.read_joined(spark, f"{base}/out", PRIORITY))
 
 
+def q3_totals_stream(spark, sf_dir):
+    """The same revenue from running totals in stream state, a stage after the join."""
+    base = work_dir(spark, "stream")
+    played = Played(spark, sf_dir, base)
+    joined = q3.start_joined(*played.streams(), f"{base}/out", f"{base}/checkpoint", PRIORITY, heavy=played.heavy())
+    joined.processAllAvailable()
+    totals = q3.start_totals(spark, f"{base}/out", f"{base}/totals", f"{base}/checkpoint-totals", PRIORITY)
+    played.play(joined, totals)
+    return _plain(q3.read_totals(spark, f"{base}/totals", PRIORITY))
+
+
 def result_text_query(spark, sf_dir):
     rows = q18.rewritten(*_tables(spark, sf_dir), bound=BOUND)
     text = result_text(*q18.KEYS, "sum_qty", amounts=("o_totalprice", "sum_qty"))
@@ -436,6 +466,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delete_by_key": delete_by_key_query,
         "guard_customer": guard_customer,
         "orphan_deletes": orphan_deletes,
+        "guarded_stream": guarded_stream,
         "join_customer_orders": join_customer_orders,
         "join_weighted_delta": join_weighted_delta,
         "join_three_way": join_three_way,
@@ -453,6 +484,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q3_revenue": q3_revenue,
         "q3_filtered": q3_filtered,
         "q3_stream": q3_stream,
+        "q3_totals_stream": q3_totals_stream,
         "result_text": result_text_query,
     }
 

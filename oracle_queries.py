@@ -148,6 +148,13 @@ def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str
             f"SELECT {names('orders')}, CAST(sum(w) AS BIGINT) AS w FROM {logs['orders']} "
             "WHERE NOT (epoch = 0 AND o_orderstatus = 'P') GROUP BY ALL HAVING sum(w) < 0"
         ),
+        "guarded_stream": (
+            f"WITH l AS (SELECT * FROM {logs['orders']} WHERE NOT (epoch = 0 AND o_orderstatus = 'P')), "
+            f"c AS (SELECT *, greatest(sum(w) OVER (PARTITION BY {names('orders')} ORDER BY epoch), 0) AS live FROM l), "
+            f"d AS (SELECT {names('orders')}, epoch, live - coalesce(lag(live) OVER "
+            f"(PARTITION BY {names('orders')} ORDER BY epoch), 0) AS w FROM c) "
+            f"SELECT CAST(w AS BIGINT) AS w, epoch, {names('orders')} FROM d WHERE w <> 0"
+        ),
         "join_customer_orders": f"SELECT *, CAST(1 AS BIGINT) AS w FROM {pairs()}",
         "join_weighted_delta": steps(pairs, Q18_KEYS),
         "join_three_way": (
@@ -190,6 +197,7 @@ def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str
         "q3_revenue": q3(*lives),
         "q3_filtered": q3(*tables, "WHERE c_mktsegment = 'AUTOMOBILE' AND o_orderdate < '1995-03-31'"),
         "q3_stream": q3(*lives),
+        "q3_totals_stream": q3(*lives),
         "result_text": (
             "SELECT printf('(%s, %s, %s, %s, %.6f, %.6f)', c_name, CAST(c_custkey AS VARCHAR), "
             "CAST(o_orderkey AS VARCHAR), o_orderdate, o_totalprice, sum_qty) AS result "
