@@ -20,7 +20,7 @@ from tidemark.operators.lanes import heavy_lists
 from tidemark.operators.maintain import delete_by_key, guard
 from tidemark.plans import joins, q3, q18
 from tidemark.schemas import DELETE_KEYS, canonical
-from tidemark.session import work_dir
+from tidemark.session import work_dir, written
 from tidemark.sources import table_log, text_log
 from tidemark.streaming.guard import GuardedLog
 from tidemark.streaming.having import HavingLog
@@ -65,7 +65,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [canonical(_table(spark, sf_dir, tag), tag) for tag in TAGS]
+    """The tables as they are; quantities are whole numbers, so their sums are exact."""
+    customer, orders, lineitem = [_table(spark, sf_dir, tag) for tag in TAGS]
+    return [customer, orders.withColumn("o_orderdate", F.col("o_orderdate").cast("date")), lineitem]
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of few row groups over all cores; one that has enough stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _which(changes: list) -> list[tuple[int, int, Column]]:
@@ -79,7 +87,7 @@ def _log(spark: SparkSession, sf_dir: str, tag: str, changes: list | None = None
 
 def _epoch(spark: SparkSession, sf_dir: str, tag: str, epoch: int) -> DataFrame:
     """One epoch of `_log`."""
-    return table_log.changes_in_epoch(_table(spark, sf_dir, tag), tag, _which(CHANGES[tag]), epoch)
+    return table_log.changes_in_epoch(_spread(_table(spark, sf_dir, tag)), tag, _which(CHANGES[tag]), epoch)
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -364,7 +372,7 @@ def running_quantity(spark, sf_dir):
 def running_revenue(spark, sf_dir):
     pairs = zset.net_changes(q3.joined(*_logs(spark, sf_dir), priority=PRIORITY), by_epoch=True)
     order = ["epoch", "c_custkey", "l_partkey", "l_extendedprice", "l_discount"]
-    return _plain(q3.running(pairs, order, PRIORITY))
+    return _plain(q3.running(written(pairs, "pairs"), order, PRIORITY))
 
 
 # --- Q18 --------------------------------------------------------------------
@@ -413,7 +421,9 @@ def q3_revenue(spark, sf_dir):
 
 
 def q3_filtered(spark, sf_dir):
-    customer, orders, lineitem = [df.withColumn("w", F.lit(1)) for df in _tables(spark, sf_dir)]
+    customer, orders, lineitem = [
+        canonical(_table(spark, sf_dir, tag).withColumn("w", F.lit(1)), tag) for tag in TAGS
+    ]
     customer, orders = q3.filtered(customer, orders)
     return _plain(q3.result(q3.joined(customer, orders, lineitem, PRIORITY), PRIORITY))
 

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("tidemark-tests")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")

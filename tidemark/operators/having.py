@@ -49,7 +49,12 @@ def _replace(steps: DataFrame, keep: list[str], name: str) -> DataFrame:
 
 
 def having_changelog(log: DataFrame, key: str, value: Column, bound: float, name: str = "sum_qty") -> DataFrame:
-    """The HAVING change log ``(key, epoch, w, sum)`` of a whole change log."""
+    """The HAVING change log ``(key, epoch, w, sum)`` of a whole change log.
+
+    The sums per key and epoch are shuffled once more for the running totals;
+    going by key alone from the start would save that, but would send every row
+    of a heavy key to one task uncombined.
+    """
     sums = signed_sum(log, [key], {name: value}, by_epoch=True)
     return transitions(sums, key, bound, name)
 

@@ -50,18 +50,22 @@ def rewritten(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, bound
 # --- over change logs -------------------------------------------------------
 
 
-def changes(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, bound: float = BOUND) -> DataFrame:
-    """The query's own change log ``(w, epoch, ..., sum_qty)``."""
+def _moves(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, bound: float) -> DataFrame:
     large = having_changelog(lineitem, "l_orderkey", F.col("l_quantity"), bound)
     picked = weighted_join(_orders(orders), large, [("o_orderkey", "l_orderkey")])
-    result = weighted_join(_customers(customer), picked, [("c_custkey", "o_custkey")])
-    return net_changes(result.select("w", "epoch", *KEYS, "sum_qty"), by_epoch=True)
+    moves = weighted_join(_customers(customer), picked, [("c_custkey", "o_custkey")])
+    return moves.select("w", "epoch", *KEYS, "sum_qty")
+
+
+def changes(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, bound: float = BOUND) -> DataFrame:
+    """The query's own change log ``(w, epoch, ..., sum_qty)``."""
+    return net_changes(_moves(customer, orders, lineitem, bound), by_epoch=True)
 
 
 def by_epoch(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, last: int,
              bound: float = BOUND) -> DataFrame:
     """The query's result at the end of each epoch, in one pass over the logs."""
-    return at_epochs(changes(customer, orders, lineitem, bound), last).drop("w")
+    return at_epochs(_moves(customer, orders, lineitem, bound), last).drop("w")
 
 
 def result(pairs: DataFrame, bound: float = BOUND) -> DataFrame:

@@ -5,7 +5,7 @@ import uuid
 from contextlib import contextmanager
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -22,6 +22,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the work folder: computed once, whatever reads it."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @lru_cache(maxsize=1)
 def _local_base() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")

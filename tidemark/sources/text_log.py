@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.columns import flag_of, format_day, parse_day, weight_of
 from tidemark.schemas import DAY, TABLES, TEXT
-from tidemark.session import work_dir
+from tidemark.session import written
 
 # Control lines and the field separator of the format.
 EPOCH_END = "Bye"
@@ -38,21 +38,18 @@ def summarize_splits(lines: DataFrame, first_epoch: int = 0, first_seq: int = 0)
     Written to the work folder and read back, as both the lines and a following
     stream batch need it.
     """
-    spark = lines.sparkSession
     summary = lines.withColumn("at", _place()).groupBy("file", "block").agg(
         F.min("at").alias("start"),
         F.count("*").alias("n"),
         F.array_sort(F.collect_list(F.when(F.col("value") == EPOCH_END, F.col("at")))).alias("marks"),
     )
-    path = work_dir(spark, "splits")
     # One row per split of the input: small enough for one ordered window.
     earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    summary.select(
+    return written(summary.select(
         "file", "block", "start", "marks", "n",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + first_seq).alias("seq0"),
         (F.coalesce(F.sum(F.size("marks")).over(earlier), F.lit(0)) + first_epoch).alias("epoch0"),
-    ).write.parquet(path)
-    return spark.read.parquet(path)
+    ), "splits")
 
 
 def number_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.zset import as_rows, snapshot
-from tidemark.session import exists, settings, work_dir
+from tidemark.session import exists, settings
 from tidemark.sources.jdbc import Database
 
 # Join state keeps every change, so it must be able to outgrow memory.
@@ -88,7 +88,3 @@ def epoch_timings(spark: SparkSession, query: StreamingQuery) -> DataFrame:
         for p in query.recentProgress
     ]
     return spark.createDataFrame(rows, "batch bigint, ms bigint, input_rows bigint, state_rows bigint")
-
-
-def checkpoint_dir(spark: SparkSession, name: str) -> str:
-    return work_dir(spark, f"checkpoint-{name}")
