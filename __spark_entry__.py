@@ -20,7 +20,7 @@ from tidemark.operators.lanes import heavy_lists
 from tidemark.operators.maintain import delete_by_key, guard
 from tidemark.plans import joins, q3, q18
 from tidemark.schemas import DELETE_KEYS, canonical
-from tidemark.session import work_dir, written
+from tidemark.session import prepare, work_dir, written
 from tidemark.sources import table_log, text_log
 from tidemark.streaming.guard import GuardedLog
 from tidemark.streaming.having import HavingLog
@@ -458,45 +458,52 @@ def result_text_query(spark, sf_dir):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Q18 over the smallest test tables."""
-    return q18_rewritten(spark, "/root/testdata/sf0.001")
+    return q18_rewritten(prepare(spark), "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "changelog_ingest": changelog_ingest,
-        "changelog_ingest_stream": changelog_ingest_stream,
-        "changelog_epochs": changelog_epochs,
-        "changelog_route": changelog_route,
-        "changelog_quarantine": changelog_quarantine,
-        "changelog_nation": changelog_nation,
-        "date_roundtrip": date_roundtrip,
-        "snapshot_customer": snapshot_customer,
-        "snapshot_as_of": snapshot_as_of,
-        "change_counts": change_counts,
-        "delete_by_key": delete_by_key_query,
-        "guard_customer": guard_customer,
-        "orphan_deletes": orphan_deletes,
-        "guarded_stream": guarded_stream,
-        "join_customer_orders": join_customer_orders,
-        "join_weighted_delta": join_weighted_delta,
-        "join_three_way": join_three_way,
-        "semi_join_large_orders": semi_join_large_orders,
-        "having_large_orders": having_large_orders,
-        "having_changelog": having_changes,
-        "having_changelog_stream": having_changes_stream,
-        "running_quantity": running_quantity,
-        "running_revenue": running_revenue,
-        "q18_batch": q18_batch,
-        "q18_rewritten": q18_rewritten,
-        "q18_by_epoch": q18_by_epoch,
-        "q18_stream_netted": q18_stream_netted,
-        "q18_stream_having": q18_stream_having,
-        "q3_revenue": q3_revenue,
-        "q3_filtered": q3_filtered,
-        "q3_stream": q3_stream,
-        "q3_totals_stream": q3_totals_stream,
-        "result_text": result_text_query,
-    }
+    return {name: _prepared(query) for name, query in QUERIES.items()}
+
+
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(prepare(spark), sf_dir)
+
+
+QUERIES = {
+    "changelog_ingest": changelog_ingest,
+    "changelog_ingest_stream": changelog_ingest_stream,
+    "changelog_epochs": changelog_epochs,
+    "changelog_route": changelog_route,
+    "changelog_quarantine": changelog_quarantine,
+    "changelog_nation": changelog_nation,
+    "date_roundtrip": date_roundtrip,
+    "snapshot_customer": snapshot_customer,
+    "snapshot_as_of": snapshot_as_of,
+    "change_counts": change_counts,
+    "delete_by_key": delete_by_key_query,
+    "guard_customer": guard_customer,
+    "orphan_deletes": orphan_deletes,
+    "guarded_stream": guarded_stream,
+    "join_customer_orders": join_customer_orders,
+    "join_weighted_delta": join_weighted_delta,
+    "join_three_way": join_three_way,
+    "semi_join_large_orders": semi_join_large_orders,
+    "having_large_orders": having_large_orders,
+    "having_changelog": having_changes,
+    "having_changelog_stream": having_changes_stream,
+    "running_quantity": running_quantity,
+    "running_revenue": running_revenue,
+    "q18_batch": q18_batch,
+    "q18_rewritten": q18_rewritten,
+    "q18_by_epoch": q18_by_epoch,
+    "q18_stream_netted": q18_stream_netted,
+    "q18_stream_having": q18_stream_having,
+    "q3_revenue": q3_revenue,
+    "q3_filtered": q3_filtered,
+    "q3_stream": q3_stream,
+    "q3_totals_stream": q3_totals_stream,
+    "result_text": result_text_query,
+}
 
 
 def oracle_sql() -> dict[str, str]:

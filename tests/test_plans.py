@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import DATA
 from tidemark.operators.zset import snapshot
-from tidemark.plans import q3, q18
+from tidemark.plans import joins, q3, q18
 from tidemark.schemas import TABLES, canonical
-from tidemark.session import settings, work_dir
+from tidemark.session import prepare, settings, work_dir
 from tidemark.sources import table_log
 
 
@@ -61,6 +61,28 @@ def test_no_cross_join_or_python_in_the_plans(spark, tables):
         assert "Cartesian" not in text and "NestedLoop" not in text and "Python" not in text
 
 
+def test_a_heavy_customer_is_split_also_below_a_net(spark):
+    """One customer holds a third of the orders; the join is split and the net still right."""
+    orders = spark.range(30_000).select(
+        F.lit(1).alias("w"), F.lit(0).alias("epoch"), F.col("id").alias("o_orderkey"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500).cast("bigint").alias("o_custkey"))
+    customer = spark.range(500).select(
+        F.lit(1).alias("w"), F.lit(0).alias("epoch"), F.col("id").alias("c_custkey"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
+    }
+    with settings(spark, small):
+        prepare(spark)
+        net = snapshot(joins.customer_orders(customer, orders.repartition(8)))
+        assert len(net.collect()) == 30_000
+        assert "skew=true" in plan(net)
+
+
 def test_work_goes_where_the_session_says(spark, tmp_path):
     base = spark.conf.get("spark.checkpoint.dir")
     assert work_dir(spark, "x").startswith(f"{base}/x-")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.operators.lanes import heavy_lists
 from tidemark.operators.zset import as_rows, last_epoch, snapshot
 from tidemark.plans import q3, q18
+from tidemark.session import prepare
 from tidemark.sources.table_log import read_routed, stream_routed
 from tidemark.streaming.ingest import ingest
 from tidemark.streaming.runner import epoch_timings, finish
@@ -88,7 +89,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("tidemark").getOrCreate()
+    spark = prepare(SparkSession.builder.appName("tidemark").getOrCreate())
     args.run(spark, args).show(args.rows, truncate=False)
 
 

@@ -34,6 +34,18 @@ def _local_base() -> str:
     return tempfile.mkdtemp(prefix="tidemark-")
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let adaptive execution split heavy keys of joins that feed an aggregate.
+
+    Without this it keeps such a join whole, to save the aggregate a shuffle,
+    and one key with a third of the rows stays in one task.
+    """
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Set session options for the length of a block."""
