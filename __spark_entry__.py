@@ -456,7 +456,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _prepared(query) for name, query in QUERIES.items()}
+    return {name: _prepared(query) for name, query in (QUERIES | LLM_QUERIES).items()}
 
 
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -501,4 +501,16 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql(CHANGES, REPEATED, BOUND, LAST_EPOCH)
+    return oracle_queries.oracle_sql(CHANGES, REPEATED, BOUND, LAST_EPOCH) | LLM_SQL
+
+
+# The training-data operators are a part of their own; all else works without them.
+try:
+    import corpus_pipeline
+    from tidemark.llm import sql as llm_sql
+    from tidemark.llm.queries import QUERIES as LLM_QUERIES
+except ImportError:
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = LLM_QUERIES | {"pipeline": corpus_pipeline.run}
+    LLM_SQL = llm_sql.ORACLES
