@@ -2,21 +2,45 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, shards, token_files, url_filter, warc
+from tidemark.llm import bpe, decontaminate, jaccard, near_vectors, quality, shards, token_files, toxicity, url_filter, warc
+from tidemark.llm.labelled import fold, training
 from tidemark.session import work_dir, written
 
 #: Where vocabularies lie; a folder all executors have.
 TOKENIZERS = "/opt/tokenizers"
+#: From which score on a document is of good quality, or toxic.
+QUALITY, TOXIC = 0.7, 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = training(_table(spark, sf_dir, "labels"), "quality", folds=4, held_out=2)
+    scored = quality.scored(documents, *quality.train(documents, labels))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY).cast("int").alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = training(_table(spark, sf_dir, "labels"), "toxic", folds=5, held_out=0)
+    scored = toxicity.scored(documents, toxicity.train(documents, labels))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_vectors.near_groups(_table(spark, sf_dir, "embeddings"), 0.95)
+    return groups.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -33,6 +57,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"), jaccard.Rule(size=4, percent=85))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
@@ -48,10 +76,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
+    "op4_near_vectors": op4_near_vectors,
     "op5_url_filters": op5_url_filters,
     "op6_warc": op6_warc,
     "op7_shards": op7_shards,
+    "op8_jaccard": op8_jaccard,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
 }

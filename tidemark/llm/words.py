@@ -30,8 +30,12 @@ def charset(*ranges: tuple[int, int]) -> np.ndarray:
 
 #: Everything but white space: [^\x20\x09-\x0D].
 NOT_SPACE = ~charset((0x20, 0x20), (0x09, 0x0D))
+#: 1 for digits, letters and all that is not ASCII, 2 for the other signs: runs of signs are words too.
+SIGNS = np.where(NOT_SPACE, 2, 0).astype(np.uint8)
 #: Digits, letters and all that is not ASCII: [^\x00-\x2F\x3A-\x60\x7B-\x7F], once lower-cased.
 ALNUM = ~charset((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+SIGNS[ALNUM] = 1
+SIGNS[65:91] = 1
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[tuple]:
@@ -75,17 +79,13 @@ class Words:
     number of each one's text (`text`); text i has the words first[i] to first[i + 1]."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, member: np.ndarray):
-        inside = member[data]
-        first = np.zeros(len(data) + 1, bool)
-        first[offsets] = True
-        before = np.empty(len(data), bool)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        self.starts = np.flatnonzero(inside & (~before | first[:-1]))
-        after = np.empty(len(data), bool)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
+        """`member` tells which bytes are part of words: 0 for none; a run of one number is a word."""
+        kind = member[data].astype(np.uint8)
+        bound = np.ones(len(data) + 1, bool)
+        bound[1:-1] = kind[1:] != kind[:-1]
+        bound[offsets] = True
+        self.starts = np.flatnonzero(bound[:-1] & (kind > 0))
+        self.ends = np.flatnonzero(bound[1:] & (kind > 0)) + 1
         self.hashes = run_hashes(data, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
