@@ -55,4 +55,54 @@ ORACLES = {
                sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op4_near_vectors": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+            ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+        ), reached AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        ), roots AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+        degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN degrees d ON vec_id = d.a LEFT JOIN roots r ON vec_id = r.a
+    """,
+    "op6_warc": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
+        ), firsts AS (SELECT sha, min(page_id) AS first_page FROM payloads GROUP BY sha)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda k:
+                   array_to_string(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       ((('0x' || substr(sha, 5 * k + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::BIGINT + 1, 1)), '')), '') AS payload_digest,
+               CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first_page THEN first_page END AS refers_to
+        FROM payloads JOIN firsts USING (sha)
+    """,
+    "op8_jaccard": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, hash(array_to_string(w[k : k + least(len(w), 4) - 1], ' ')) AS s
+            FROM words, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS t(k) WHERE len(w) > 0
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+            FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * shared >= 85 * (p.n + q.n - shared)
+        ), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        ), roots AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON doc_id = a
+    """,
 }
