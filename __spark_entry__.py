@@ -16,7 +16,6 @@ import oracle_queries
 from tidemark.functions.columns import format_day, parse_day, result_text
 from tidemark.operators import zset
 from tidemark.operators.having import having_changelog, having_row_changes
-from tidemark.operators.lanes import heavy_lists
 from tidemark.operators.maintain import delete_by_key, guard
 from tidemark.plans import joins, q3, q18
 from tidemark.schemas import DELETE_KEYS, canonical
@@ -48,13 +47,17 @@ CHANGES = {
     ],
     "nation": [],
 }
-# Customers that come twice, leave twice, or leave without having come.
+# Customers that come twice, leave twice, or leave without having come: the
+# steps, two of which make an epoch.
 REPEATED = [
     (1, 1, "c_mktsegment = 'BUILDING'"),
     (2, -1, "c_acctbal < 0"),
     (3, -1, "c_acctbal < 0 AND c_mktsegment = 'BUILDING'"),
     (4, 1, "c_acctbal < 0"),
+    (5, -1, "c_acctbal < 100"),
 ]
+# Rows that epoch 0 leaves out, so that their deletes find nothing.
+ORPHANS = {"customer": "c_acctbal < -500", "orders": "o_orderstatus = 'O'", "lineitem": "l_quantity > 45"}
 
 
 # --- inputs -----------------------------------------------------------------
@@ -88,6 +91,11 @@ def _logs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [_log(spark, sf_dir, tag) for tag in TAGS]
 
 
+def _orphaned_logs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The same logs with rows that are deleted, or come back, without having been inserted."""
+    return [_log(spark, sf_dir, tag).where(f"NOT (epoch = 0 AND {ORPHANS[tag]})") for tag in TAGS]
+
+
 def _lines(spark: SparkSession, sf_dir: str, epoch: int) -> DataFrame:
     """An epoch of the change stream as text."""
     parts = [
@@ -132,13 +140,6 @@ class Played:
     def streams(self) -> list[DataFrame]:
         return [self.stream(tag) for tag in self.tags]
 
-    def heavy(self) -> dict[str, DataFrame]:
-        """The join keys that the first epoch already shows to be heavy."""
-        return heavy_lists(self.spark, f"{self.base}/heavy", {
-            "o_custkey": table_log.read_log(self.spark, f"{self.base}/orders", "orders"),
-            "l_orderkey": table_log.read_log(self.spark, f"{self.base}/lineitem", "lineitem"),
-        })
-
     def play(self, *queries: StreamingQuery) -> None:
         """Let started queries settle on epoch 0, then give them the later epochs."""
         for epoch in range(LAST_EPOCH + 1):
@@ -281,9 +282,11 @@ def delete_by_key_query(spark, sf_dir):
 
 
 def guard_customer(spark, sf_dir):
-    log = _log(spark, sf_dir, "customer", REPEATED)
-    log = log.where("NOT (epoch = 0 AND c_mktsegment = 'MACHINERY')")
-    return _plain(guard(log, ["c_custkey"], ["epoch"]))
+    """Epochs with several changes of a customer, told apart by `seq`."""
+    steps = _log(spark, sf_dir, "customer", REPEATED)
+    steps = steps.where("NOT (epoch = 0 AND c_mktsegment = 'MACHINERY')")
+    log = steps.withColumns({"seq": F.col("epoch").cast("bigint"), "epoch": F.expr("epoch div 2").cast("int")})
+    return _plain(guard(log, ["c_custkey"], ["epoch", "seq"]))
 
 
 def orphan_deletes(spark, sf_dir):
@@ -306,27 +309,29 @@ def guarded_stream(spark, sf_dir):
 # --- joins ------------------------------------------------------------------
 
 
-def _customer_orders(spark, sf_dir) -> DataFrame:
-    customer, orders, _ = _logs(spark, sf_dir)
+def _customer_orders(customer: DataFrame, orders: DataFrame) -> DataFrame:
+    change = [c for c in ("w", "epoch") if c in customer.columns]
     pairs = joins.customer_orders(
-        customer.select("w", "epoch", "c_custkey", "c_name"),
-        orders.select("w", "epoch", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
+        customer.select(*change, "c_custkey", "c_name"),
+        orders.select(*change, "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
     )
-    return pairs.select("w", "epoch", "c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return pairs.select(*change, "c_name", "c_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 
 def join_customer_orders(spark, sf_dir):
     """Customers with their orders after the last epoch."""
-    return _plain(zset.snapshot(_customer_orders(spark, sf_dir)))
+    return _plain(zset.snapshot(_customer_orders(*[zset.snapshot(log) for log in _logs(spark, sf_dir)[:2]])))
 
 
 def join_weighted_delta(spark, sf_dir):
     """What each epoch changed in the join."""
-    return _plain(zset.net_changes(_customer_orders(spark, sf_dir), by_epoch=True))
+    pairs = _customer_orders(*[zset.valid(log) for log in _logs(spark, sf_dir)[:2]])
+    return _plain(zset.net_changes(pairs, by_epoch=True))
 
 
 def join_three_way(spark, sf_dir):
-    return _plain(zset.snapshot(q3.joined(*_logs(spark, sf_dir), priority=PRIORITY)))
+    snapshots = [zset.snapshot(log) for log in _logs(spark, sf_dir)]
+    return _plain(zset.snapshot(q3.joined(*snapshots, priority=PRIORITY)))
 
 
 def semi_join_large_orders(spark, sf_dir):
@@ -364,9 +369,18 @@ def running_quantity(spark, sf_dir):
 
 
 def running_revenue(spark, sf_dir):
-    pairs = zset.net_changes(q3.joined(*_logs(spark, sf_dir), priority=PRIORITY), by_epoch=True)
+    logs = [zset.valid(log) for log in _logs(spark, sf_dir)]
+    pairs = zset.net_changes(q3.joined(*logs, priority=PRIORITY), by_epoch=True)
     order = ["epoch", "c_custkey", "l_partkey", "l_extendedprice", "l_discount"]
-    return _plain(q3.running(written(pairs, "pairs"), order, PRIORITY))
+    return _plain(q3.running(pairs, order, PRIORITY))
+
+
+def running_quantity_nulls(spark, sf_dir):
+    """Quantities of which some are NULL: they change no sum and give no row."""
+    log = _log(spark, sf_dir, "lineitem")
+    log = log.withColumn("l_quantity", F.when(F.col("l_returnflag") != "A", F.col("l_quantity")))
+    order = ["epoch", *[c for c in log.columns if c not in ("w", "epoch")]]
+    return _plain(having_row_changes(log, "l_orderkey", order, F.col("l_quantity"), 100))
 
 
 # --- Q18 --------------------------------------------------------------------
@@ -384,11 +398,16 @@ def q18_by_epoch(spark, sf_dir):
     return _plain(q18.by_epoch(*_logs(spark, sf_dir), last=LAST_EPOCH, bound=BOUND))
 
 
+def q18_by_epoch_orphans(spark, sf_dir):
+    """The same with customers, orders and lines deleted that were never there."""
+    return _plain(q18.by_epoch(*_orphaned_logs(spark, sf_dir), last=LAST_EPOCH, bound=BOUND))
+
+
 def q18_stream_netted(spark, sf_dir):
     """A three-way streaming join, summed and cut when read."""
     base = work_dir(spark, "stream")
     played = Played(spark, sf_dir, base)
-    query = q18.start_joined(*played.streams(), f"{base}/out", f"{base}/checkpoint", heavy=played.heavy())
+    query = q18.start_joined(*played.streams(), f"{base}/out", f"{base}/checkpoint")
     played.play(query)
     return _plain(q18.read_joined(spark, f"{base}/out", BOUND))
 
@@ -401,7 +420,7 @@ def q18_stream_having(spark, sf_dir):
     first = q18.start_large(lineitem, f"{base}/large", f"{base}/checkpoint-large", BOUND)
     first.processAllAvailable()
     large = q18.stream_large(spark, f"{base}/large")
-    second = q18.start_picked(customer, orders, large, f"{base}/out", f"{base}/checkpoint-picked", heavy=played.heavy())
+    second = q18.start_picked(customer, orders, large, f"{base}/out", f"{base}/checkpoint-picked")
     played.play(first, second)
     return _plain(q18.read_picked(spark, f"{base}/out"))
 
@@ -410,8 +429,12 @@ def q18_stream_having(spark, sf_dir):
 
 
 def q3_revenue(spark, sf_dir):
-    pairs = q3.joined(*_logs(spark, sf_dir), priority=PRIORITY)
-    return _plain(q3.result(pairs, PRIORITY))
+    return _plain(q3.batch(*_logs(spark, sf_dir), priority=PRIORITY))
+
+
+def q3_revenue_orphans(spark, sf_dir):
+    """The same with customers, orders and lines deleted that were never there."""
+    return _plain(q3.batch(*_orphaned_logs(spark, sf_dir), priority=PRIORITY))
 
 
 def q3_filtered(spark, sf_dir):
@@ -419,25 +442,34 @@ def q3_filtered(spark, sf_dir):
         canonical(_table(spark, sf_dir, tag).withColumn("w", F.lit(1)), tag) for tag in TAGS
     ]
     customer, orders = q3.filtered(customer, orders)
-    return _plain(q3.result(q3.joined(customer, orders, lineitem, PRIORITY), PRIORITY))
+    return _plain(q3.revenue_of(customer, orders, lineitem, PRIORITY))
+
+
+def _q3_streams(played: Played) -> list[StreamingQuery]:
+    """The two stages: lines' sums, and their join."""
+    base = played.base
+    customer, orders, lineitem = played.streams()
+    sums = q3.start_sums(lineitem, f"{base}/sums", f"{base}/checkpoint-sums")
+    sums.processAllAvailable()
+    stream = q3.stream_sums(played.spark, f"{base}/sums")
+    return [sums, q3.start_joined(customer, orders, stream, f"{base}/out", f"{base}/checkpoint", PRIORITY)]
 
 
 def q3_stream(spark, sf_dir):
-    base = work_dir(spark, "stream")
-    played = Played(spark, sf_dir, base)
-    query = q3.start_joined(*played.streams(), f"{base}/out", f"{base}/checkpoint", PRIORITY, heavy=played.heavy())
-    played.play(query)
-    return _plain(q3.read_joined(spark, f"{base}/out", PRIORITY))
+    """Revenue kept up by a stream, the lines added up before the join."""
+    played = Played(spark, sf_dir, work_dir(spark, "stream"))
+    played.play(*_q3_streams(played))
+    return _plain(q3.read_joined(spark, f"{played.base}/out", PRIORITY))
 
 
 def q3_totals_stream(spark, sf_dir):
     """The same revenue from running totals in stream state, a stage after the join."""
     base = work_dir(spark, "stream")
     played = Played(spark, sf_dir, base)
-    joined = q3.start_joined(*played.streams(), f"{base}/out", f"{base}/checkpoint", PRIORITY, heavy=played.heavy())
-    joined.processAllAvailable()
-    totals = q3.start_totals(spark, f"{base}/out", f"{base}/totals", f"{base}/checkpoint-totals", PRIORITY)
-    played.play(joined, totals)
+    stages = _q3_streams(played)
+    stages[-1].processAllAvailable()
+    stages.append(q3.start_totals(spark, f"{base}/out", f"{base}/totals", f"{base}/checkpoint-totals", PRIORITY))
+    played.play(*stages)
     return _plain(q3.read_totals(spark, f"{base}/totals", PRIORITY))
 
 
@@ -486,13 +518,16 @@ QUERIES = {
     "having_changelog": having_changes,
     "having_changelog_stream": having_changes_stream,
     "running_quantity": running_quantity,
+    "running_quantity_nulls": running_quantity_nulls,
     "running_revenue": running_revenue,
     "q18_batch": q18_batch,
     "q18_rewritten": q18_rewritten,
     "q18_by_epoch": q18_by_epoch,
+    "q18_by_epoch_orphans": q18_by_epoch_orphans,
     "q18_stream_netted": q18_stream_netted,
     "q18_stream_having": q18_stream_having,
     "q3_revenue": q3_revenue,
+    "q3_revenue_orphans": q3_revenue_orphans,
     "q3_filtered": q3_filtered,
     "q3_stream": q3_stream,
     "q3_totals_stream": q3_totals_stream,
@@ -501,7 +536,7 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql(CHANGES, REPEATED, BOUND, LAST_EPOCH) | LLM_SQL
+    return oracle_queries.oracle_sql(CHANGES, REPEATED, ORPHANS, BOUND, LAST_EPOCH) | LLM_SQL
 
 
 # The training-data operators are a part of their own; all else works without them.

@@ -33,12 +33,13 @@ def log(tag: str, changes: list) -> str:
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
-def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str, str]:
+def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: int) -> dict[str, str]:
     logs = {tag: log(tag, changes[tag]) for tag in COLUMNS}
 
-    def live(tag: str, epoch: int = last) -> str:
-        """The rows of a table that exist after an epoch."""
-        return f"(SELECT {names(tag)} FROM {logs[tag]} WHERE epoch <= {epoch} GROUP BY ALL HAVING sum(w) > 0)"
+    def live(tag: str, epoch: int = last, without: str = "false") -> str:
+        """The rows of a table that exist after an epoch; epoch 0 may leave some out."""
+        return (f"(SELECT {names(tag)} FROM {logs[tag]} WHERE epoch <= {epoch} AND NOT (epoch = 0 AND {without}) "
+                "GROUP BY ALL HAVING sum(w) > 0)")
 
     def pairs(epoch: int = last) -> str:
         return (f"(SELECT {Q18_KEYS} FROM {live('customer', epoch)} c JOIN {live('orders', epoch)} o "
@@ -54,6 +55,9 @@ def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str
                 f"(SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING sum(l_quantity) > {above}) "
                 f"GROUP BY {Q18_KEYS}")
 
+    def orphaned(epoch: int) -> list[str]:
+        return [live(tag, epoch, orphans[tag]) for tag in ("customer", "orders", "lineitem")]
+
     def q18_at(epoch: int) -> str:
         return q18(live("customer", epoch), live("orders", epoch), live("lineitem", epoch), bound)
 
@@ -94,6 +98,7 @@ def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str
         "GROUP BY ALL HAVING sum(c.w * o.w * l.w) <> 0"
     )
     ordered = f"PARTITION BY l_orderkey ORDER BY epoch, {names('lineitem')} ROWS UNBOUNDED PRECEDING"
+    ordered_nulls = ordered.replace("l_quantity", "l_quantity NULLS FIRST")
     having_log = steps(large, "l_orderkey, sum_qty")
     order_text = (
         "o_orderkey || chr(9) || o_custkey || chr(9) || o_orderstatus || chr(9) || "
@@ -141,7 +146,7 @@ def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str
             "AND d.l_partkey = i.l_partkey AND d.epoch >= i.epoch)"
         ),
         "guard_customer": (
-            f"SELECT w, epoch, {names('customer')} FROM (SELECT *, coalesce(lag(w) OVER "
+            f"SELECT w, epoch // 2 AS epoch, epoch AS seq, {names('customer')} FROM (SELECT *, coalesce(lag(w) OVER "
             f"(PARTITION BY c_custkey ORDER BY epoch), -1) AS before FROM {repeated_log}) WHERE w <> before"
         ),
         "orphan_deletes": (
@@ -181,6 +186,17 @@ def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str
             "SELECT l_orderkey, epoch, CAST(1 AS BIGINT), now FROM moves "
             "WHERE now IS NOT NULL AND now IS DISTINCT FROM before"
         ),
+        "running_quantity_nulls": (
+            "WITH l AS (SELECT * REPLACE (CASE WHEN l_returnflag <> 'A' THEN l_quantity END AS l_quantity) "
+            f"FROM {logs['lineitem']}), sums AS (SELECT *, sum(w * l_quantity) OVER win AS total, sum(w) OVER win AS n, "
+            f"row_number() OVER win AS place FROM l WINDOW win AS ({ordered_nulls})), "
+            "shown AS (SELECT *, CASE WHEN n > 0 AND total > 100 THEN total END AS now FROM sums), "
+            "moves AS (SELECT *, lag(now) OVER (PARTITION BY l_orderkey ORDER BY place) AS before FROM shown) "
+            "SELECT l_orderkey, epoch, CAST(-1 AS BIGINT) AS w, before AS sum_qty FROM moves "
+            "WHERE before IS NOT NULL AND now IS DISTINCT FROM before UNION ALL "
+            "SELECT l_orderkey, epoch, CAST(1 AS BIGINT), now FROM moves "
+            "WHERE now IS NOT NULL AND now IS DISTINCT FROM before"
+        ),
         "running_revenue": (
             f"WITH j AS ({joined_changes}) SELECT CAST(w AS BIGINT) AS w, epoch, c_custkey, {Q3_KEYS}, l_partkey, "
             f"l_extendedprice, l_discount, CAST(sum(CASE WHEN w > 0 THEN {REVENUE} * CAST(w AS DECIMAL(4,0)) ELSE 0 END) "
@@ -192,9 +208,13 @@ def oracle_sql(changes: dict, repeated: list, bound: int, last: int) -> dict[str
         "q18_by_epoch": " UNION ALL ".join(
             f"SELECT CAST({e} AS BIGINT) AS epoch, * FROM ({q18_at(e)})" for e in range(last + 1)
         ),
+        "q18_by_epoch_orphans": " UNION ALL ".join(
+            f"SELECT CAST({e} AS BIGINT) AS epoch, * FROM ({q18(*orphaned(e), bound)})" for e in range(last + 1)
+        ),
         "q18_stream_netted": q18_at(last),
         "q18_stream_having": q18_at(last),
         "q3_revenue": q3(*lives),
+        "q3_revenue_orphans": q3(*orphaned(last)),
         "q3_filtered": q3(*tables, "WHERE c_mktsegment = 'AUTOMOBILE' AND o_orderdate < '1995-03-31'"),
         "q3_stream": q3(*lives),
         "q3_totals_stream": q3(*lives),

@@ -1,12 +1,12 @@
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from small import all_q18_changes, all_q18_results, c, l, logs, o
 from tidemark.operators import zset
 from tidemark.operators.having import having_changelog, having_row_changes
-from tidemark.operators.lanes import deal, heavy_lists, repeat
+from tidemark.operators.lanes import deal, repeat
 from tidemark.operators.maintain import delete_by_key, guard
 from tidemark.operators.running import previous, running_sums
 from tidemark.plans import joins, q3, q18
@@ -66,37 +66,92 @@ def test_delete_by_key_takes_all_rows_of_the_key(spark):
     assert sorted(int(r.l_quantity) for r in zset.snapshot(lines).collect()) == [6, 7, 8]
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
+@pytest.mark.parametrize("blocks", [1, 4])
 @pytest.mark.parametrize("signs, accepted", [
     ([1, 1, -1, -1, 1], [0, 2, 4]), ([-1, 1, -1], [1, 2]), ([-1, -1], []), ([1, -1, 1, -1], [0, 1, 2, 3])])
-def test_guard(spark, signs, accepted, limit):
-    rows = [(w, i, key) for key in (1, 2) for i, w in enumerate(signs)]
-    log = spark.createDataFrame(rows, "w int, epoch int, c_custkey bigint")
-    kept = guard(log, ["c_custkey"], ["epoch"], limit)
-    assert sorted((r.c_custkey, r.epoch) for r in kept.collect()) == [(k, e) for k in (1, 2) for e in accepted]
+def test_guard(spark, signs, accepted, blocks):
+    rows = [(w, i // 2, i, key) for key in (1, 2, None) for i, w in enumerate(signs)]
+    log = spark.createDataFrame(rows, "w int, epoch int, seq int, c_custkey bigint")
+    kept = guard(log.orderBy(F.desc("seq")), ["c_custkey"], ["epoch", "seq"], blocks)
+    assert kept.columns == log.columns
+    assert {(r.c_custkey, r.seq) for r in kept.collect()} == {(k, e) for k in (1, 2, None) for e in accepted}
+
+
+def test_guard_wants_an_order_within_the_epoch(spark):
+    log = spark.createDataFrame([], "w int, epoch int, c_custkey bigint")
+    with pytest.raises(ValueError, match="seq"):
+        guard(log, ["c_custkey"], ["epoch"])
 
 
 def test_heavy_keys_run_in_blocks(spark):
-    """One key with a third of all rows gives what one window gives."""
+    """Two keys, one of them NULL, with a third of all rows each give what one window gives."""
     rows = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("k"),
+        F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("id") % 40).alias("k"),
         F.xxhash64("id").alias("at"),
         F.when(F.col("id") % 5 != 0, (F.col("id") % 11).cast("decimal(15,2)")).alias("v"),
     )
-    def both(limit):
-        sums = running_sums(rows, ["k"], ["at"], {"total": F.col("v"), "n": F.lit(1)}, limit)
-        return previous(sums, ["k"], ["at"], "v", "before", limit)
-    whole, cut = both(10_000), both(100)
-    assert whole.dtypes == cut.dtypes
-    assert sorted(map(str, whole.collect())) == sorted(map(str, cut.collect()))
+    window = Window.partitionBy("k").orderBy("at")
+    want = rows.withColumns({
+        "total": F.sum("v").over(window), "n": F.sum(F.lit(1)).over(window), "before": F.lag("v").over(window)})
+    for blocks in (1, 30, None):
+        sums = running_sums(rows, ["k"], ["at"], {"total": F.col("v"), "n": F.lit(1)}, blocks)
+        got = previous(sums, ["k"], ["at"], "v", "before", blocks)
+        assert got.dtypes[:3] == want.dtypes[:3] and got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_ties_are_ordered_by_content(spark):
+    """Whatever way rows come in and however they are cut, tied rows get the same sums."""
+    rows = [(1, 0, v) for v in (3, 1, 2, 1, None, 5)]
+    found = set()
+    for part in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for blocks in (1, 5):
+            df = spark.createDataFrame(part, "k int, at int, v int")
+            out = running_sums(df, ["k"], ["at"], {"total": F.col("v")}, blocks)
+            found.add(str(sorted(map(str, out.collect()))))
+    assert len(found) == 1
+
+
+def test_a_null_value_moves_no_result(spark):
+    rows = [(1, 0, 7, None), (1, 1, 7, 350), (1, 2, 7, None), (1, 3, 7, 10), (1, 0, 8, None)]
+    log = spark.createDataFrame(rows, "w int, epoch int, l_orderkey bigint, l_quantity int")
+    for bound in (300, -1):
+        got = having_row_changes(log, "l_orderkey", ["epoch"], F.col("l_quantity"), bound)
+        assert sorted((r.epoch, r.w, r.sum_qty) for r in got.collect()) == [(1, 1, 350), (3, -1, 350), (3, 1, 360)]
+
+
+def test_where_a_row_stood_is_no_part_of_it(spark):
+    log = spark.createDataFrame([(1, 0, 5, 1), (-1, 1, 5, 2), (1, 0, 6, 3)], "w int, epoch int, c_custkey bigint, place bigint")
+    assert [r.c_custkey for r in zset.snapshot(log).collect()] == [6]
+    own = spark.createDataFrame([(1, 0, "a"), (-1, 1, "b")], "w int, epoch int, tag string")
+    assert [r.tag for r in zset.snapshot(own).collect()] == ["a"]
+
+
+def test_orphan_deletes_make_no_rows(spark):
+    """A customer and an order deleted without an insert: their weights must not multiply to a pair."""
+    customer, orders, lines = logs(spark, c(-1, 0, 1), o(-1, 0, 1), l(1, 0, 1, 301), c(1, 0, 2), o(1, 1, 2, 2), l(1, 1, 2, 400),
+                                   l(-1, 0, 2, 150, 9))
+    by_epoch = q18.by_epoch(customer, orders, lines, 1).collect()
+    assert [(r.epoch, r.o_orderkey, int(r.sum_qty)) for r in by_epoch] == [(1, 2, 400)]
+    at = [zset.as_rows(zset.snapshot(log)) for log in (customer, orders, lines)]
+    assert pairs(q18.batch(*at)) == [(2, 400)]
+    assert [(r.o_orderkey, float(r.revenue)) for r in q3.batch(customer, orders, lines).collect()] == [(2, 90.0)]
+    assert zset.net_changes(q18.changes(customer, orders, lines)).count() == 1
+
+
+def test_rows_live_between_their_changes(spark):
+    rows = [(1, 0, "a"), (-1, 2, "a"), (1, 3, "a"), (1, 1, "b"), (-1, 1, "b"), (2, 1, "c"), (-1, 2, "c"), (1, 9, "d"), (-1, 0, "e"), (1, 1, "e")]
+    log = spark.createDataFrame(rows, "w int, epoch int, x string")
+    got = sorted((r.epoch, r.x, r.w) for r in zset.at_epochs(log, 3).collect())
+    assert got == [(0, "a", 1), (1, "a", 1), (1, "c", 2), (2, "c", 1), (3, "a", 1), (3, "c", 1)]
 
 
 def test_row_changes_telescope_to_epoch_changes(spark):
     _, _, lines = logs(spark, l(1, 0, 1, 200), l(1, 0, 1, 150, 2), l(-1, 1, 1, 150, 2), l(1, 2, 1, 102, 3), l(1, 2, 1, 1, 4))
     value = F.col("l_quantity")
     by_epoch = having_changelog(lines, "l_orderkey", value, 300)
-    for limit in (1000, 1):
-        by_row = having_row_changes(lines, "l_orderkey", ["epoch", "l_partkey"], value, 300, limit=limit)
+    for blocks in (1, 5):
+        by_row = having_row_changes(lines, "l_orderkey", ["epoch", "l_partkey"], value, 300, blocks=blocks)
         found = sorted((r.epoch, r.w, int(r.sum_qty)) for r in by_row.collect())
         assert found == [(0, 1, 350), (1, -1, 350), (2, -1, 302), (2, 1, 302), (2, 1, 303)]
         net = zset.net_changes(by_row, by_epoch=True)
@@ -113,21 +168,16 @@ def test_revenue_takes_deletes_back_but_its_running_form_does_not(spark):
     assert [float(r.revenue) for r in running.collect()] == [90, 90]
 
 
-def test_lanes_change_nothing(spark, folder):
+def test_lanes_change_nothing(spark):
     customer, orders, lines = logs(
         spark, *[c(1, 0, k) for k in (1, 2, 3)], c(-1, 1, 1), *[o(1, 0, k, 1 if k < 30 else 2) for k in range(40)],
         *[l(1, 0, k % 7, 10, k) for k in range(60)])
-    heavy = heavy_lists(spark, folder, {"o_custkey": orders, "l_orderkey": lines}, limit=8)
-    assert [r.o_custkey for r in heavy["o_custkey"].orderBy("o_custkey").collect()] == [1, 2]
     plain = joins.customer_orders_lines(customer, orders, lines)
-    spread = joins.customer_orders_lines(customer, orders, lines, heavy)
+    spread = joins.customer_orders_lines(customer, orders, lines, lanes=4)
     assert plain.columns == spread.columns
     assert plain.exceptAll(spread).isEmpty() and spread.exceptAll(plain).isEmpty()
-    assert deal(orders, "o_custkey", heavy["o_custkey"], 8).where("o_custkey = 1").select("lane").distinct().count() > 1
-    assert repeat(customer, "c_custkey", heavy["o_custkey"], 8).where("c_custkey = 3").count() == 1
-    # A later start keeps the first lists.
-    kept = heavy_lists(spark, folder, {"o_custkey": orders.limit(0)}, limit=8)
-    assert kept["o_custkey"].count() == 2
+    assert deal(orders, 8).where("o_custkey = 1").select("many_lane").distinct().count() > 1
+    assert repeat(customer, 8).where("c_custkey = 3").count() == 8
 
 
 def test_database_options():

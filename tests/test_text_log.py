@@ -74,6 +74,10 @@ def test_unknown_table_policies(spark, tmp_path):
     assert text_log.quarantine(records, "drop").count() == 1
     with pytest.raises(Exception, match="unknown table: order"):
         text_log.quarantine(records, "fail").collect()
+    for taken in (text_log.table_changes(records, "orders", "fail"), text_log.routed(records, "fail")):
+        with pytest.raises(Exception, match="unknown table: order"):
+            taken.collect()
+    assert text_log.routed(records, "drop").count() == 1
     with pytest.raises(ValueError):
         text_log.quarantine(records, "ignore")
 
@@ -110,6 +114,16 @@ def test_a_changed_split_size_is_noticed(spark, tmp_path):
             lines.select("*").collect()
 
 
+def test_many_markers_in_one_split(spark, tmp_path):
+    """A split with a hundred thousand epochs: no list of markers grows beyond its bucket of lines."""
+    lines = [line for k in range(100_000) for line in (f"line {k}", "Bye")]
+    write(tmp_path / "log.txt", *lines)
+    raw = text_log.with_position(spark.read.text(str(tmp_path / "log.txt")))
+    assert text_log.summarize_splits(raw).agg(F.max(F.size("marks"))).first()[0] <= 1 << text_log.BUCKET_BITS
+    rows = text_log.read_lines(spark, str(tmp_path / "log.txt"))
+    assert rows.where("epoch * 2 = seq AND value = concat('line ', epoch)").count() == 100_000
+
+
 def test_epoch_folders(spark, tmp_path):
     write(tmp_path / "log" / "epoch=0" / "a.txt", ORDER)
     write(tmp_path / "log" / "epoch=1" / "a.txt", LINE, "End")

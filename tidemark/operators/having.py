@@ -7,7 +7,7 @@ is put in.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.running import ROWS_PER_KEY, running_sums
+from tidemark.operators.running import running_sums
 from tidemark.operators.zset import signed_sum
 
 
@@ -60,13 +60,19 @@ def having_changelog(log: DataFrame, key: str, value: Column, bound: float, name
 
 
 def having_row_changes(log: DataFrame, key: str, order: list[str], value: Column, bound: float,
-                       name: str = "sum_qty", limit: int = ROWS_PER_KEY) -> DataFrame:
+                       name: str = "sum_qty", blocks: int | None = None) -> DataFrame:
     """The HAVING change log with a step per input row, not per epoch.
 
     Rows of a key are taken in `order`; each gives no, one or two result rows.
     """
     log = log.withColumn("change", value * F.col("w"))
-    log = running_sums(log, [key], order, {"now": F.col("change"), "n": F.col("w")}, limit)
-    earlier = log.withColumns({"total_before": F.col("now") - F.col("change"), "n_before": F.col("n") - F.col("w")})
+    has_value = F.col("change").isNotNull().cast("int")
+    log = running_sums(log, [key], order, {"now": F.col("change"), "n": F.col("w"), "values": has_value}, blocks)
+    # A NULL value moves no sum; the sum of no values is NULL.
+    had_values = F.col("values") > has_value
+    earlier = log.withColumns({
+        "total_before": F.when(had_values, F.col("now") - F.coalesce("change", F.lit(0))),
+        "n_before": F.col("n") - F.col("w"),
+    })
     steps = earlier.withColumn("before", _shown("n_before", "total_before", bound))
     return _replace(steps.withColumn("now", _shown("n", "now", bound)), [key, "epoch"], name)

@@ -1,56 +1,24 @@
-"""Spreading the heavy keys of a streaming join over several tasks.
+"""Spreading the keys of a streaming join over several tasks.
 
 Batch joins leave skew to adaptive execution, which streaming joins do not
-have.  There, the rows of a heavy key on the many side are dealt out to lanes,
-and the few rows of that key on the one side are repeated in each lane.  All
-other keys have a single lane.
+have, and which keys will be heavy is not known when a query starts.  So the
+rows of the many side are dealt out to lanes whatever their key, and the one
+side's rows, which are far fewer, are repeated in each lane.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tidemark.operators.running import heavy_keys
-from tidemark.session import exists
+from pyspark.sql import DataFrame, functions as F
 
 # Fixed for the life of a query's checkpoint, like its state partitions.
-LANES = 64
-ROWS_PER_LANE_KEY = 5_000_000
-
-
-def heavy_lists(spark: SparkSession, path: str, backlog: dict[str, DataFrame],
-                limit: int = ROWS_PER_LANE_KEY) -> dict[str, DataFrame]:
-    """Per key column, the keys that are heavy in what a stream has to read so far.
+LANES = 8
 
-    The lists are written to `path` by the first run and kept from then on:
-    rows dealt out by one list would miss rows repeated by another.  At most
-    ``rows / limit`` keys are heavy, so a list can be broadcast.
-    """
-    lists = {}
-    for key, log in backlog.items():
-        if not exists(spark, f"{path}/{key}/_SUCCESS"):
-            heavy_keys(log, [key], limit).write.mode("overwrite").parquet(f"{path}/{key}")
-        lists[key] = spark.read.parquet(f"{path}/{key}")
-    return lists
 
-
-def deal(many: DataFrame, key: str, heavy: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Add ``lane`` to the many side: spread for heavy keys, 0 for the others."""
-    marked = _mark(many, key, heavy)
+def deal(many: DataFrame, lanes: int = LANES) -> DataFrame:
+    """Add ``many_lane`` to the many side, by its rows' content."""
     # A `place` in the source tells even equal rows apart.
     told_by = ["place"] if "place" in many.columns else many.columns
-    spread = F.pmod(F.xxhash64(*told_by), F.lit(lanes)).cast("int")
-    return marked.withColumn("lane", F.when(F.col("is_heavy"), spread).otherwise(0)).drop("is_heavy", "place")
-
-
-def repeat(one: DataFrame, key: str, heavy: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Add ``lane`` to the one side: every lane for heavy keys, 0 for the others."""
-    marked = _mark(one, key, heavy)
-    every = F.sequence(F.lit(0), F.lit(lanes - 1))
-    chosen = F.when(F.col("is_heavy"), every).otherwise(F.array(F.lit(0)))
-    return marked.withColumn("lane", F.explode(chosen)).drop("is_heavy")
+    return many.withColumn("many_lane", F.pmod(F.xxhash64(*told_by), F.lit(lanes)).cast("int")).drop("place")
 
 
-def _mark(df: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    listed = F.broadcast(heavy.select(F.col(heavy.columns[0]).alias("_heavy")))
-    return df.join(listed, F.col(key) == F.col("_heavy"), "left").withColumn(
-        "is_heavy", F.col("_heavy").isNotNull()
-    ).drop("_heavy")
+def repeat(one: DataFrame, lanes: int = LANES) -> DataFrame:
+    """The one side once in every ``lane``."""
+    return one.drop("place").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))

@@ -2,18 +2,21 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.operators.running import ROWS_PER_KEY, previous
+from tidemark.operators.running import previous
 from tidemark.schemas import CHANGE_COLUMNS
 
 
-def guard(log: DataFrame, keys: list[str], order: list[str], limit: int = ROWS_PER_KEY) -> DataFrame:
+def guard(log: DataFrame, keys: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
     """Only the changes that change something.
 
     An insert counts if the key is absent, a delete if it is present.  Whatever
     was accepted, a key is present after an insert and absent after a delete,
-    so the sign of the change before tells which is the case.
+    so the sign of the change before tells which is the case.  `order` must tell
+    a key's changes apart: an epoch may hold several, so it is not enough.
     """
-    seen = previous(log, keys, order, "w", "before", limit)
+    if set(order) <= {"epoch"}:
+        raise ValueError("guard needs an order within the epoch, such as seq")
+    seen = previous(log, keys, order, "w", "before", blocks)
     absent = F.coalesce(F.col("before"), F.lit(-1)) < 0
     accepted = ((F.col("w") > 0) & absent) | ((F.col("w") < 0) & ~absent)
     return seen.where(accepted).drop("before")

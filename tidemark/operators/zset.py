@@ -1,6 +1,6 @@
 """Netting, snapshots, weighted joins and signed aggregates."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.schemas import identity_columns
 
@@ -42,6 +42,27 @@ def as_rows(snap: DataFrame, copies_per_task: int = 1_000_000) -> DataFrame:
     return rows.select(*identity_columns(snap), F.explode(F.sequence(F.lit(1), F.col("w"))).alias("at")).drop("at")
 
 
+def floored(sums: DataFrame, identity: list[str]) -> DataFrame:
+    """From net counts per row and epoch to changes that never go below zero.
+
+    A window holds one row per epoch that touched a row, however many copies it has.
+    """
+    along = Window.partitionBy(*identity).orderBy("epoch")
+    count = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    live = sums.withColumn("live", F.greatest(count, F.lit(0)))
+    change = F.col("live") - F.lag("live", 1, 0).over(along)
+    return live.withColumn("w", change).where(F.col("w") != 0).select("w", "epoch", *identity)
+
+
+def valid(log: DataFrame) -> DataFrame:
+    """The log netted per epoch, with every row's weight held at zero or above.
+
+    What joins and sums of change logs need: a row deleted without having been
+    inserted would give negative weights, and two of them a positive pair.
+    """
+    return floored(net_changes(log, by_epoch=True).withColumnRenamed("w", "n"), identity_columns(log))
+
+
 def orphans(log: DataFrame) -> DataFrame:
     """Rows deleted more often than inserted, with their negative weight."""
     return net_changes(log).where(F.col("w") < 0)
@@ -60,8 +81,8 @@ def weighted_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]])
     """Inner equi-join of two logs or snapshots.
 
     The weight of a pair is the product of the weights, its epoch the later of
-    the two.  As the join is linear in both inputs, joining the change logs and
-    netting afterwards gives the join of the netted tables.  Works on streams.
+    the two.  As the join is linear in both inputs, joining `valid` change logs
+    and netting afterwards gives the join of the netted tables.  Works on streams.
     """
     right = right.withColumnsRenamed({c: f"_{c}" for c in ("w", "epoch") if c in right.columns})
     pairs = left.join(right, [F.col(a) == F.col(b) for a, b in on])
@@ -91,12 +112,16 @@ def existing(groups: DataFrame) -> DataFrame:
 def at_epochs(changes: DataFrame, last_epoch: int) -> DataFrame:
     """What exists at the end of each epoch from 0 to `last_epoch`.
 
-    Nets first, so that a row which comes and goes within an epoch is gone
-    before the rows are repeated for the later epochs they last into.
+    A row's changes become the times between them, with its weight then; only
+    times in which it exists are repeated, epoch by epoch.
     """
-    per_epoch = net_changes(changes, by_epoch=True)
-    spread = per_epoch.withColumn("epoch", F.explode(F.sequence(F.col("epoch"), F.lit(last_epoch))))
-    return net_changes(spread, by_epoch=True).where(F.col("w") > 0)
+    identity = identity_columns(changes)
+    along = Window.partitionBy(*identity).orderBy("epoch")
+    until = F.coalesce(F.lead("epoch").over(along), F.lit(last_epoch + 1)) - 1
+    weight = F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    times = net_changes(changes, by_epoch=True).withColumns({"until": F.least(until, F.lit(last_epoch)), "now": weight})
+    lasting = times.where("now > 0 AND epoch <= until")
+    return lasting.select(F.explode(F.sequence("epoch", "until")).alias("epoch"), *identity, F.col("now").alias("w"))
 
 
 def last_epoch(*logs: DataFrame) -> int:

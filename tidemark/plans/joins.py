@@ -6,28 +6,24 @@ from tidemark.operators.lanes import deal, repeat
 from tidemark.operators.zset import weighted_join
 
 
-def customer_orders(customer: DataFrame, orders: DataFrame, heavy: dict[str, DataFrame] | None = None) -> DataFrame:
+def customer_orders(customer: DataFrame, orders: DataFrame, lanes: int | None = None) -> DataFrame:
     """Customers with their orders."""
-    return _one_to_many(customer, orders, "c_custkey", "o_custkey", heavy)
+    return _one_to_many(customer, orders, "c_custkey", "o_custkey", lanes)
 
 
 def customer_orders_lines(customer: DataFrame, orders: DataFrame, lineitem: DataFrame,
-                          heavy: dict[str, DataFrame] | None = None) -> DataFrame:
+                          lanes: int | None = None) -> DataFrame:
     """Customers with their orders and the orders' lines."""
-    pairs = customer_orders(customer, orders, heavy)
-    return _one_to_many(pairs, lineitem, "o_orderkey", "l_orderkey", heavy)
+    pairs = customer_orders(customer, orders, lanes)
+    return _one_to_many(pairs, lineitem, "o_orderkey", "l_orderkey", lanes)
 
 
-def _one_to_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str,
-                 heavy: dict[str, DataFrame] | None) -> DataFrame:
-    """`heavy` lists, by the many side's key column, keys to spread over lanes."""
+def _one_to_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str, lanes: int | None) -> DataFrame:
+    """`lanes`, for streams: over how many to spread each key's rows."""
     on = [(one_key, many_key)]
-    listed = (heavy or {}).get(many_key)
-    if listed is None:
+    if lanes is None:
         return weighted_join(one.drop("place"), many.drop("place"), on)
-    one = repeat(one.drop("place"), one_key, listed)
-    many = deal(many, many_key, listed).withColumnRenamed("lane", "many_lane")
-    return weighted_join(one, many, [*on, ("lane", "many_lane")]).drop("lane", "many_lane")
+    return weighted_join(repeat(one, lanes), deal(many, lanes), [*on, ("lane", "many_lane")]).drop("lane", "many_lane")
 
 
 def streamed(spark: SparkSession, out: str, epoch: int | None = None) -> DataFrame:

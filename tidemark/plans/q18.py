@@ -4,9 +4,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.having import having, having_changelog
-from tidemark.operators.zset import at_epochs, existing, net_changes, signed_sum, weighted_join
-from tidemark.plans.joins import customer_orders, customer_orders_lines, streamed
-from tidemark.streaming.having import HavingLog
+from tidemark.operators.lanes import LANES
+from tidemark.operators.zset import at_epochs, existing, net_changes, signed_sum, valid, weighted_join
+from tidemark.plans.joins import customer_orders_lines, streamed
+from tidemark.streaming.having import HavingLog, log_path
 from tidemark.streaming.runner import start, to_batches, to_parquet
 
 BOUND = 300
@@ -51,14 +52,23 @@ def rewritten(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, bound
 
 
 def _moves(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, bound: float) -> DataFrame:
+    customer, orders, lineitem = valid(customer), valid(orders), valid(lineitem)
     large = having_changelog(lineitem, "l_orderkey", F.col("l_quantity"), bound)
-    picked = weighted_join(_orders(orders), large, [("o_orderkey", "l_orderkey")])
-    moves = weighted_join(_customers(customer), picked, [("c_custkey", "o_custkey")])
+    return _picked(customer, orders, large)
+
+
+def _picked(customer: DataFrame, orders: DataFrame, large: DataFrame) -> DataFrame:
+    """The large orders first, as they are few; then their customers."""
+    picked = weighted_join(_orders(orders).drop("place"), large, [("o_orderkey", "l_orderkey")])
+    moves = weighted_join(_customers(customer).drop("place"), picked, [("c_custkey", "o_custkey")])
     return moves.select("w", "epoch", *KEYS, "sum_qty")
 
 
 def changes(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, bound: float = BOUND) -> DataFrame:
-    """The query's own change log ``(w, epoch, ..., sum_qty)``."""
+    """The query's own change log ``(w, epoch, ..., sum_qty)``.
+
+    Deletes of absent rows in the logs do no harm.
+    """
     return net_changes(_moves(customer, orders, lineitem, bound), by_epoch=True)
 
 
@@ -94,14 +104,14 @@ def _change(log: DataFrame) -> list[str]:
 
 
 def start_joined(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, out: str, checkpoint: str,
-                 available_now: bool = False, heavy: dict[str, DataFrame] | None = None,
+                 available_now: bool = False, lanes: int | None = LANES,
                  state_partitions: int | None = None) -> StreamingQuery:
     """Join the three streams; read the result with `read_joined`.
 
     The join keeps every line in its state.  `start_large` and `start_picked`
     together need far less.
     """
-    pairs = customer_orders_lines(_customers(customer), _orders(orders), _lines(lineitem), heavy)
+    pairs = customer_orders_lines(_customers(customer), _orders(orders), _lines(lineitem), lanes)
     pairs = pairs.select("w", "epoch", *KEYS, "l_quantity")
     return start(pairs, checkpoint, "q18-joined", to_parquet(out), available_now, state_partitions)
 
@@ -118,19 +128,18 @@ def start_large(lineitem: DataFrame, path: str, checkpoint: str, bound: float =
 
 
 def stream_large(spark: SparkSession, path: str) -> DataFrame:
-    """The first stage's log as a stream."""
-    log = HavingLog(path, "l_orderkey", F.col("l_quantity"), 0)
-    schema = "l_orderkey bigint, epoch int, w int, sum_qty decimal(38,2), batch bigint"
-    return spark.readStream.schema(schema).parquet(log.log_path).drop("batch")
+    """The first stage's log as a stream; wants its first batch to be there."""
+    log = log_path(path)
+    return spark.readStream.schema(spark.read.parquet(log).schema).parquet(log).drop("batch")
 
 
 def start_picked(customer: DataFrame, orders: DataFrame, large: DataFrame, out: str, checkpoint: str,
-                 available_now: bool = False, heavy: dict[str, DataFrame] | None = None,
-                 state_partitions: int | None = None) -> StreamingQuery:
-    """Second stage: customers and orders joined with the large-order log."""
-    pairs = customer_orders(_customers(customer), _orders(orders), heavy)
-    rows = weighted_join(pairs, large, [("o_orderkey", "l_orderkey")])
-    rows = rows.select("w", "epoch", *KEYS, "sum_qty")
+                 available_now: bool = False, state_partitions: int | None = None) -> StreamingQuery:
+    """Second stage: orders joined with the large-order log, then with customers.
+
+    The second join's state holds the picked orders only, so no key is heavy.
+    """
+    rows = _picked(customer, orders, large)
     return start(rows, checkpoint, "q18-picked", to_parquet(out), available_now, state_partitions)
 
 

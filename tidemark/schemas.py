@@ -41,7 +41,7 @@ DELETE_KEYS = {
 }
 
 # Columns that say when a change happened, not what changed.
-CHANGE_COLUMNS = ("w", "epoch", "seq", "batch", "tag")
+CHANGE_COLUMNS = ("w", "epoch", "seq", "place")
 
 
 def identity_columns(log: DataFrame) -> list[str]:

@@ -81,11 +81,6 @@ def _routed_schema() -> StructType:
     return schema.add("batch", KEY).add("tag", TEXT).add("epoch", INT)
 
 
-def write_routed(routed: DataFrame, path: str) -> None:
-    """Write routed records by tag and epoch."""
-    routed.write.mode("overwrite").partitionBy("tag", "epoch").parquet(path)
-
-
 def read_routed(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return _routed_table(spark.read.schema(_routed_schema()).parquet(path), tag)
 

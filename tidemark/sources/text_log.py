@@ -16,8 +16,8 @@ EPOCH_END = "Bye"
 FILE_END = "End"
 TAB = "\t"
 
-# A split summary takes about 200 bytes, so this many are some 200 MB.
-BROADCAST_SPLITS = 1_000_000
+# Lines summarised in one row: a power of two, as a bucket is a line's place shifted.
+BUCKET_BITS = 12
 
 
 # --- lines and epochs -------------------------------------------------------
@@ -33,42 +33,48 @@ def with_position(raw: DataFrame) -> DataFrame:
 
 
 def summarize_splits(lines: DataFrame, first_epoch: int = 0, first_seq: int = 0) -> DataFrame:
-    """One row per file split: the epoch and line number it starts with, its markers.
+    """One row per bucket of consecutive lines of a file split: the epoch and line number it starts with, its markers.
 
-    Written to the work folder and read back, as both the lines and a following
-    stream batch need it.
+    A bucket has at most 4096 lines, so its list of markers is short however
+    many a split has.  Written to the work folder and read back, as both the
+    lines and a following stream batch need it.
     """
-    summary = lines.withColumn("at", _place()).groupBy("file", "block").agg(
+    summary = lines.withColumn("at", _place()).groupBy("file", "block", _bucket().alias("bucket")).agg(
         F.min("at").alias("start"),
         F.count("*").alias("n"),
         F.array_sort(F.collect_list(F.when(F.col("value") == EPOCH_END, F.col("at")))).alias("marks"),
     )
-    # One row per split of the input: small enough for one ordered window.
+    buckets = written(summary, "buckets")
+    counts = {"n": F.sum("n"), "m": F.sum(F.size("marks"))}
+    splits = buckets.groupBy("file", "block").agg(*[total.alias(f"split_{k}") for k, total in counts.items()])
+    # Prefix sums in two levels: over the splits, one row each, and over the buckets of each split.
     earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    return written(summary.select(
-        "file", "block", "start", "marks", "n",
-        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + first_seq).alias("seq0"),
-        (F.coalesce(F.sum(F.size("marks")).over(earlier), F.lit(0)) + first_epoch).alias("epoch0"),
+    splits = splits.select("file", "block", *[
+        F.coalesce(F.sum(f"split_{k}").over(earlier), F.lit(0)).alias(f"{k}_before") for k in counts])
+    inside = Window.partitionBy("file", "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = {k: F.coalesce(total.over(inside), F.lit(0)) for k, total in counts.items()}
+    return written(buckets.withColumns({f"{k}_within": c for k, c in within.items()}).join(splits, ["file", "block"]).select(
+        "file", "block", "bucket", "start", "marks", "n",
+        (F.col("n_before") + F.col("n_within") + first_seq).alias("seq0"),
+        (F.col("m_before") + F.col("m_within") + first_epoch).alias("epoch0"),
     ), "splits")
 
 
 def number_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
     """Give each line of `with_position` its epoch and its line number.
 
-    The lines are not shuffled: the totals of `summarize_splits` come to them.
+    Spark brings the summary to the lines while it is small, by its own size
+    check, and shuffles both beyond.
     """
-    if splits.count() <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    # Both passes must have cut the files alike, or positions would not compare.
-    task = F.shiftright("at", 33)
-    same_cut = F.col("start").isNotNull() & (task == F.shiftright("start", 33))
     passed = F.size(F.filter("marks", lambda mark: mark < F.col("at")))
+    # Both passes must have cut the files alike, or a line would miss its bucket.
+    same_cut = F.col("start").isNotNull()
     epoch = (
         F.when(~same_cut, F.raise_error("the split size changed between two passes").cast("bigint"))
         .when(F.size("marks") == 0, F.col("epoch0"))
         .otherwise(F.col("epoch0") + passed)
     )
-    placed = lines.withColumn("at", _place()).join(splits, ["file", "block"], "left")
+    placed = lines.withColumn("at", _place()).withColumn("bucket", _bucket()).join(splits, ["file", "block", "bucket"], "left")
     return placed.select(
         epoch.cast("int").alias("epoch"),
         (F.col("seq0") + F.col("at") - F.col("start")).alias("seq"),
@@ -76,6 +82,10 @@ def number_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
     )
 
 
+def _bucket() -> Column:
+    return F.shiftright("at", BUCKET_BITS)
+
+
 def _place() -> Column:
     # Rises along each split, as a task reads its splits from top to bottom.
     return F.monotonically_increasing_id()
@@ -173,9 +183,23 @@ def _kept(records: DataFrame) -> list[str]:
     return [c for c in ("epoch", "seq") if c in records.columns]
 
 
-def table_changes(records: DataFrame, tag: str) -> DataFrame:
-    """The typed change log of one table: ``w, epoch[, seq]``, then its own columns."""
-    return records.where(is_good(tag)).select("w", *_kept(records), *_typed(tag))
+def table_changes(records: DataFrame, tag: str, on_unknown: str = "quarantine") -> DataFrame:
+    """The typed change log of one table: ``w, epoch[, seq]``, then its own columns.
+
+    With ``fail`` for `on_unknown` a record of an unknown table stops the job.
+    """
+    good = F.when(_unknown(on_unknown), is_good(tag))
+    return records.where(good).select("w", *_kept(records), *_typed(tag))
+
+
+def _unknown(policy: str) -> Column:
+    """True for every record; ``fail`` raises at one of an unknown table."""
+    if policy not in ("quarantine", "drop", "fail"):
+        raise ValueError(f"on_unknown: {policy}")
+    if policy != "fail":
+        return F.lit(True)
+    stop = F.raise_error(F.concat(F.lit("unknown table: "), F.coalesce("tag", F.lit("")))).cast("boolean")
+    return F.when(F.coalesce(F.col("tag").isin(*TABLES), F.lit(False)), True).otherwise(stop)
 
 
 def quarantine(records: DataFrame, on_unknown: str = "quarantine") -> DataFrame:
@@ -184,24 +208,20 @@ def quarantine(records: DataFrame, on_unknown: str = "quarantine") -> DataFrame:
     `on_unknown` says what an unknown table tag means: ``quarantine`` lists it
     here, ``drop`` leaves it out, ``fail`` stops the job.
     """
-    if on_unknown not in ("quarantine", "drop", "fail"):
-        raise ValueError(f"on_unknown: {on_unknown}")
-    bad = records.select(*_kept(records), "tag", reason().alias("reason"), "value")
+    bad = records.where(_unknown(on_unknown)).select(*_kept(records), "tag", reason().alias("reason"), "value")
     bad = bad.where(F.col("reason").isNotNull())
-    unknown = F.col("reason") == "unknown table"
-    if on_unknown == "drop":
-        return bad.where(~unknown)
-    if on_unknown == "fail":
-        stop = F.raise_error(F.concat(F.lit("unknown table: "), F.col("tag"))).cast("string")
-        return bad.withColumn("reason", F.when(unknown, stop).otherwise(F.col("reason")))
-    return bad
+    return bad.where(F.col("reason") != "unknown table") if on_unknown == "drop" else bad
 
 
-def routed(records: DataFrame) -> DataFrame:
+def routed(records: DataFrame, on_unknown: str = "quarantine") -> DataFrame:
     """All records in one shape: a struct per table, filled for the record's own.
 
-    Bad records get the tag ``quarantine``, their reason and their text.
+    Bad records get the tag ``quarantine``, their reason and their text;
+    `on_unknown` is as in `quarantine`.
     """
+    records = records.where(_unknown(on_unknown))
+    if on_unknown == "drop":
+        records = records.where(F.col("tag").isin(*TABLES))
     whole = {tag: (F.col("tag") == tag) & _full(tag) for tag in TABLES}
     typed = records.select("*", *[F.when(whole[tag], F.struct(*_typed(tag))).alias(tag) for tag in TABLES])
     values = {tag: [F.col(f"{tag}.{name}") for name in TABLES[tag].names] for tag in TABLES}

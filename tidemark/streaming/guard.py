@@ -8,9 +8,10 @@ the insert that follows.
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import exists
+from tidemark.operators.zset import floored
+from tidemark.session import exists, publish
 from tidemark.streaming.state import Totals
 
 
@@ -35,22 +36,12 @@ class GuardedLog:
         return Totals(self.path, self.identity, {}, self.compact_every)
 
     def step(self, batch: DataFrame, number: int) -> None:
-        out = f"{self.log_path}/batch={number}"
-        if not exists(batch.sparkSession, f"{out}/_SUCCESS"):
+        if not exists(batch.sparkSession, f"{self.log_path}/batch={number}"):
             sums = self.totals.add(batch, number)
             path = self.totals.before(sums, number).unionByName(sums)
-            floored(path, self.identity).where("epoch >= 0").write.mode("overwrite").parquet(out)
+            publish(floored(path, self.identity).where("epoch >= 0"), self.log_path, f"batch={number}")
         self.totals.compact(batch.sparkSession, number)
 
     def orphans(self, spark: SparkSession, number: int) -> DataFrame:
         """Rows that batch `number` leaves deleted more often than inserted."""
         return self.totals.totals(spark, number).where("n < 0")
-
-
-def floored(sums: DataFrame, identity: list[str]) -> DataFrame:
-    """From net counts per row and epoch to changes that never go below zero."""
-    along = Window.partitionBy(*identity).orderBy("epoch")
-    count = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    live = sums.withColumn("live", F.greatest(count, F.lit(0)))
-    change = F.col("live") - F.lag("live", 1, 0).over(along)
-    return live.withColumn("w", change).where(F.col("w") != 0).select("w", "epoch", *identity)

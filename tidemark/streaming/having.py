@@ -5,10 +5,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from tidemark.operators.having import transitions
-from tidemark.session import exists
+from tidemark.session import exists, publish
 from tidemark.streaming.state import Totals
 
 
+def log_path(path: str) -> str:
+    """Where a `HavingLog` of this path keeps its result."""
+    return f"{path}/log"
+
+
 @dataclass(frozen=True)
 class HavingLog:
     """``SELECT key, sum(value) ... HAVING sum(value) > bound`` as a change log.
@@ -26,20 +31,17 @@ class HavingLog:
 
     @property
     def log_path(self) -> str:
-        return f"{self.path}/log"
+        return log_path(self.path)
 
     @property
     def totals(self) -> Totals:
         return Totals(self.path, [self.key], {self.name: self.value}, self.compact_every)
 
     def step(self, batch: DataFrame, number: int) -> None:
-        out = f"{self.log_path}/batch={number}"
-        # A batch that is run again after its commit must not give new files,
-        # which readers of the log would take for new changes.
-        if not exists(batch.sparkSession, f"{out}/_SUCCESS"):
+        if not exists(batch.sparkSession, f"{self.log_path}/batch={number}"):
             sums = self.totals.add(batch, number)
             path = self.totals.before(sums, number).unionByName(sums)
             changes = transitions(path, self.key, self.bound, self.name)
             # What was there before the batch has been reported before.
-            changes.where("epoch >= 0").write.mode("overwrite").parquet(out)
+            publish(changes.where("epoch >= 0"), self.log_path, f"batch={number}")
         self.totals.compact(batch.sparkSession, number)

@@ -3,8 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.session import exists
-from tidemark.sources.table_log import write_routed
+from tidemark.session import exists, publish
 from tidemark.sources.text_log import (
     data_lines, number_lines, parse, routed, summarize_splits, with_position,
 )
@@ -16,11 +15,13 @@ SHORT_METHODS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
-           files_per_batch: int | None = None, available_now: bool = True) -> StreamingQuery:
+           files_per_batch: int | None = None, available_now: bool = True,
+           on_unknown: str = "quarantine", state_partitions: int | None = None) -> StreamingQuery:
     """Read the files of `source` as they come and write ``target/batch=i``.
 
     Epochs and line numbers go on from batch to batch; the counters are kept
-    next to the data, in ``target/_counters``.
+    next to the data, in ``target/_counters``.  `on_unknown` is what to do with
+    records of an unknown table, as in `text_log.quarantine`.
     """
     reader = spark.readStream
     if files_per_batch:
@@ -29,8 +30,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        out = f"{target}/batch={number}"
-        if exists(session, f"{out}/_SUCCESS"):
+        if exists(session, f"{target}/batch={number}"):
             return
         epoch, seq = _counters(session, target, number - 1)
         splits = summarize_splits(batch, epoch, seq)
@@ -38,9 +38,10 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str,
             F.coalesce(F.max(F.col("epoch0") + F.size("marks")), F.lit(epoch)).alias("epoch"),
             F.coalesce(F.max(F.col("seq0") + F.col("n")), F.lit(seq)).alias("seq"),
         ).write.mode("overwrite").parquet(_counter_path(target, number))
-        write_routed(routed(parse(data_lines(number_lines(batch, splits)))), out)
+        records = parse(data_lines(number_lines(batch, splits)))
+        publish(routed(records, on_unknown), target, f"batch={number}", partitions=("tag", "epoch"))
 
-    return start(lines, checkpoint, "ingest", to_batches(step), available_now, options=SHORT_METHODS)
+    return start(lines, checkpoint, "ingest", to_batches(step), available_now, state_partitions, options=SHORT_METHODS)
 
 
 def _counter_path(target: str, number: int) -> str:

@@ -1,12 +1,13 @@
 """Starting streams with the right state settings, sinks, and per-batch timings."""
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.operators.zset import as_rows, snapshot
-from tidemark.session import exists, settings
+from tidemark.session import publish, settings
 from tidemark.sources.jdbc import Database
 
 # Join state keeps every change, so it must be able to outgrow memory.
@@ -23,12 +24,13 @@ def start(stream: DataFrame, checkpoint: str, name: str, to: Callable, available
           options: dict[str, str] | None = None) -> StreamingQuery:
     """Start a streaming query; `to` gets the writer and sets its sink.
 
-    The number of state partitions is fixed by a checkpoint's first run.  It is
-    one per core unless given, as each costs a task in every batch.  `options`
-    are session settings for this query alone.
+    The number of state partitions is fixed by a checkpoint's first run.  A
+    local session takes one per core unless it is given; on a cluster, whose
+    cores may come and go, it must be.  `options` are session settings for this
+    query alone.
     """
     spark = stream.sparkSession
-    parts = state_partitions or spark.sparkContext.defaultParallelism
+    parts = state_partitions or _cores(spark)
     writer = stream.writeStream.queryName(name).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -38,6 +40,12 @@ def start(stream: DataFrame, checkpoint: str, name: str, to: Callable, available
         return to(writer).start()
 
 
+def _cores(spark: SparkSession) -> int:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("state_partitions must be given: it lasts as long as the checkpoint")
+    return spark.sparkContext.defaultParallelism
+
+
 def to_parquet(path: str, *partition: str) -> Callable:
     """Append to a folder; a file counts once its batch is committed."""
     return lambda writer: writer.outputMode("append").format("parquet").option("path", path).partitionBy(*partition)
@@ -48,8 +56,19 @@ def to_text(path: str) -> Callable:
     return lambda writer: writer.outputMode("append").format("text").option("path", path)
 
 
-def to_console(rows: int = 20) -> Callable:
-    return lambda writer: writer.outputMode("append").format("console").option("numRows", rows).option("truncate", False)
+def to_console(show: Callable[[str], None] = print) -> Callable:
+    """Print every row of each batch; the driver holds one partition at a time."""
+    def step(batch: DataFrame, number: int) -> None:
+        show(f"batch {number}: {', '.join(batch.columns)}")
+        print_rows(batch, show)
+
+    return to_batches(step)
+
+
+def print_rows(df: DataFrame, show: Callable[[str], None] = print) -> None:
+    """Print all rows, tab-separated."""
+    for row in df.toLocalIterator():
+        show("\t".join("" if value is None else str(value) for value in row))
 
 
 def to_batches(step: Callable[[DataFrame, int], None]) -> Callable:
@@ -65,9 +84,7 @@ def to_database(database: Database, table: str, log_path: str) -> Callable:
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = f"{log_path}/batch={number}"
-        if not exists(spark, f"{path}/_SUCCESS"):
-            batch.write.mode("overwrite").parquet(path)
+        publish(batch, log_path, f"batch={number}")
         log = spark.read.parquet(log_path).drop("batch")
         database.replace(as_rows(snapshot(log)), table)
 
@@ -80,11 +97,34 @@ def finish(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def epoch_timings(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Duration, input rows and state rows of the query's recent batches."""
-    rows = [
-        (p["batchId"], p["batchDuration"], p["numInputRows"],
-         sum(s["numRowsTotal"] for s in p["stateOperators"]))
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, "batch bigint, ms bigint, input_rows bigint, state_rows bigint")
+TIMINGS = "batch bigint, ms bigint, input_rows bigint, state_rows bigint"
+
+
+class Timings(StreamingQueryListener):
+    """Writes duration, input rows and state rows of every batch to a folder, a row per batch."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.spark, self.path, self.name = spark, path, name
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = json.loads(event.progress.json)
+        if progress["name"] == self.name:
+            row = (progress["batchId"], progress["batchDuration"], progress["numInputRows"],
+                   sum(s["numRowsTotal"] for s in progress["stateOperators"]))
+            # A batch without input may report again under its number.
+            self.spark.createDataFrame([row], TIMINGS).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def epoch_timings(spark: SparkSession, path: str) -> DataFrame:
+    """What `Timings` has written: one row for each batch, however many there were."""
+    rows = spark.read.schema(TIMINGS).parquet(path)
+    return rows.groupBy("batch").agg(*[F.max(c).alias(c) for c in ("ms", "input_rows", "state_rows")])
