@@ -11,6 +11,7 @@ from tidemark.plans import joins, q3, q18
 from tidemark.schemas import TABLES, canonical
 from tidemark.session import prepare, settings, work_dir
 from tidemark.sources import table_log
+from tidemark.streaming.state import Totals
 
 
 def plan(df):
@@ -83,6 +84,18 @@ def test_a_heavy_customer_is_split_also_below_a_net(spark):
         assert "skew=true" in plan(net)
 
 
+def test_totals_read_only_the_buckets_of_the_keys_touched(spark, folder):
+    totals = Totals(folder, ["k"], {"total": F.col("v")}, compact_every=2, buckets=16)
+    for number in range(2):
+        totals.add(spark.range(200).selectExpr("1 AS w", f"{number} AS epoch", "id AS k", "id AS v"), number)
+        totals.compact(spark, number)
+    sums = totals.add(spark.range(1).selectExpr("1 AS w", "2 AS epoch", "7L AS k", "1L AS v"), 2)
+    before = totals.before(sums, 2)
+    assert [(r.k, r.n, r.total, r.epoch) for r in before.collect()] == [(7, 2, 14, -1)]
+    bucket = sums.select(totals._bucket()).first()[0]
+    assert re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ = {bucket}\)", plan(before))
+
+
 def test_work_goes_where_the_session_says(spark, tmp_path):
     base = spark.conf.get("spark.checkpoint.dir")
     assert work_dir(spark, "x").startswith(f"{base}/x-")
