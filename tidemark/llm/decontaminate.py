@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.words import ALNUM, LOWER, Words, grams, pieces, widened
+from tidemark.llm.words import ALNUM, LOWER, Words, grams, joined, pieces, widened
 from tidemark.session import written
 
 SIZE, SHINGLE = 10, 5
@@ -41,12 +41,10 @@ def item_windows(benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE)
                 own = words.hashes[words.first[k]:words.first[k + 1]]
                 for at in range(max(1, len(own) - size + 1) if len(own) else 0):
                     window = own[at:at + size]
-                    one = Words.__new__(Words)
-                    one.hashes, one.text = window, np.zeros(len(window), int)
-                    one.first, one.counts = np.array([0, len(window)]), np.array([len(window)])
+                    gram = min(shingle, len(window))
                     ids.append(item)
                     hashes.append(window.view(np.int64))
-                    tokens.append(grams(one, min(shingle, len(window)))[0].view(np.int64))
+                    tokens.append(joined(window, np.arange(len(window) - gram + 1), gram).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
                 ["item_id", "words", "shingles"])
@@ -56,10 +54,6 @@ def item_windows(benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE)
     return found.distinct()
 
 
-def _gram_sizes(size: int, shingle: int) -> range:
-    return range(1, min(size, shingle) + 1)
-
-
 def counts(documents: DataFrame, wanted: np.ndarray, sizes: list[int]) -> DataFrame:
     """How often each of the `wanted` shingles (sorted hashes) occurs in all documents."""
     shared = documents.sparkSession.sparkContext.broadcast(wanted)

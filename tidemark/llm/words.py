@@ -112,15 +112,16 @@ def grams(words: Words, size: int, whole: bool = False) -> tuple[np.ndarray, np.
     """
     position = np.arange(max(0, len(words.hashes) - size + 1))
     position = position[words.text[position] == words.text[position + size - 1]] if len(position) else position
-    found = [(position, _joined(words.hashes, position, size))]
+    found = [(position, joined(words.hashes, position, size))]
     if whole:
         for n in range(1, size):
             begin = words.first[:-1][words.counts == n]
-            found.append((begin, _joined(words.hashes, begin, n)))
+            found.append((begin, joined(words.hashes, begin, n)))
     return np.concatenate([h for _, h in found]), np.concatenate([p for p, _ in found])
 
 
-def _joined(hashes: np.ndarray, position: np.ndarray, size: int) -> np.ndarray:
+def joined(hashes: np.ndarray, position: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` words from each position on."""
     with np.errstate(over="ignore"):
         total = np.full(len(position), size, _U)
         for k in range(size):
