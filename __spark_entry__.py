@@ -251,9 +251,13 @@ def changelog_quarantine(spark, sf_dir):
     return _plain(text_log.quarantine(records).select("epoch", "tag", "reason", "value"))
 
 
-def changelog_nation(spark, sf_dir):
-    nations = text_log.table_changes(_records(spark, sf_dir), "nation")
-    return _plain(nations.select("w", "epoch", "n_nationkey", "n_name", "n_regionkey"))
+def _changelog(tag: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark, sf_dir):
+        """A table's changes as read from text, in all columns that the table has."""
+        changes = text_log.table_changes(_records(spark, sf_dir), tag)
+        return _plain(changes.select("w", "epoch", *canonical(_table(spark, sf_dir, tag), tag).columns))
+
+    return query
 
 
 def date_roundtrip(spark, sf_dir):
@@ -501,7 +505,10 @@ QUERIES = {
     "changelog_epochs": changelog_epochs,
     "changelog_route": changelog_route,
     "changelog_quarantine": changelog_quarantine,
-    "changelog_nation": changelog_nation,
+    "changelog_customer": _changelog("customer"),
+    "changelog_orders": _changelog("orders"),
+    "changelog_lineitem": _changelog("lineitem"),
+    "changelog_nation": _changelog("nation"),
     "date_roundtrip": date_roundtrip,
     "snapshot_customer": snapshot_customer,
     "snapshot_as_of": snapshot_as_of,

@@ -129,7 +129,7 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
             f"ELSE '+' || chr(9) || {order_text} || {day_text} || o_orderpriority || chr(9) || '0' || chr(9) || chr(9) || 'orders' END AS value "
             "FROM orders WHERE o_orderpriority <> '5-LOW'"
         ),
-        "changelog_nation": f"SELECT w, epoch, {names('nation')} FROM {logs['nation']}",
+        **{f"changelog_{tag}": f"SELECT w, epoch, {names(tag)} FROM {logs[tag]}" for tag in COLUMNS},
         "date_roundtrip": (
             "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day_text, "
             "strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders"
