@@ -89,8 +89,47 @@ def test_held_out_rows_and_samples(spark):
     assert brute.rows(sample(own, 10), "doc_id") == brute.rows(sample(own.repartition(5), 10), "doc_id")
 
 
-def test_shared_orders_are_distributions(spark):
-    """Whatever the context, what a lower order gives to all bytes adds up to one at most."""
+def plain_evidence(counts: dict) -> tuple[dict, dict]:
+    """Evidence of grams and of contexts, from (gram -> [n ordinary, n toxic]); one by one."""
+    d, lean = toxicity.DISCOUNT, toxicity.LEAN
+    levels = {toxicity.ORDER: {g: sum(n) for g, n in counts.items()}}
+    for order in range(toxicity.ORDER - 1, 1, -1):
+        levels[order] = {}
+        for gram, n in levels[order + 1].items():
+            low = gram & ((1 << 8 * order) - 1)
+            levels[order][low] = levels[order].get(low, 0) + (n if gram < 1 << 8 * order else 1)
+    totals = {}
+    for order in range(2, toxicity.ORDER):
+        for gram, n in levels[order].items():
+            total, types = totals.get((order, gram >> 8), (0, 0))
+            totals[order, gram >> 8] = (total + n, types + 1)
+
+    def shared(order, gram):
+        if order == 1:
+            return 1 / 256
+        gram &= (1 << 8 * order) - 1
+        total, types = totals[order, gram >> 8]
+        return (max(levels[order][gram] - d, 0) + d * types * shared(order - 1, gram)) / total
+
+    contexts = {}
+    for gram, n in counts.items():
+        own = contexts.setdefault(gram >> 8, [[0, 0], [0, 0], [0, 0]])
+        for c, k in enumerate((*n, sum(n))):
+            own[c][0] += k
+            own[c][1] += k > 0
+
+    def evidence(context, met, below):
+        def estimate(c):
+            total, types = contexts[context][c]
+            return (max(met[c] - d, 0) + d * types * below) / total if total else below
+        leaning = [(contexts[context][c][0] * estimate(c) + lean * estimate(2)) / (contexts[context][c][0] + lean) for c in (0, 1)]
+        return np.log(leaning[1] / leaning[0])
+
+    return ({g: evidence(g >> 8, (*n, sum(n)), shared(toxicity.ORDER - 1, g)) for g, n in counts.items()},
+            {c: evidence(c, (0, 0, 0), 1.0) for c in contexts})
+
+
+def test_models_against_plain_counts(spark):
     documents, labels, _ = corpus(spark, 60)
     halved = training(labels, "toxic", 5, 0).withColumn("half", (F.col("doc_id") % 2).cast("int"))
     counts = toxicity._counted(documents.select("doc_id", "text").join(halved, "doc_id"))
@@ -102,10 +141,16 @@ def test_shared_orders_are_distributions(spark):
                 gram = int.from_bytes(data[max(0, k + 1 - toxicity.ORDER):k + 1], "big")
                 plain[gram, r["label"], r["half"]] = plain.get((gram, r["label"], r["half"]), 0) + 1
     assert {(r["gram"], r["label"], r["half"]): r["n"] for r in counts.collect()} == plain
-    grams, unmet = toxicity.models(counts)
-    assert grams.where("evidence IS NULL OR isnan(evidence)").isEmpty() and unmet.where("evidence IS NULL").isEmpty()
-    # A context that both classes have met equally says nothing of what neither has seen after it.
-    assert unmet.where("model = 2").agg(F.max("evidence")).first()[0] < 2
+    grams, unmet = [df.collect() for df in toxicity.models(counts)]
+    for model, halves in ((toxicity.ALL, (0, 1)), (0, (1,)), (1, (0,))):
+        own = {}
+        for (gram, label, half), n in plain.items():
+            if half in halves:
+                own.setdefault(gram, [0, 0])[label] += n
+        for want, rows in zip(plain_evidence(own), (grams, unmet)):
+            got = {r["gram"]: r["evidence"] for r in rows if r["model"] == model}
+            assert got.keys() == want.keys()
+            assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
 
 
 def test_word_vectors_count_neighbours(spark):
