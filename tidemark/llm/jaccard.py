@@ -7,8 +7,10 @@ here put frequent shingles last, by their count over all documents, and differ i
 how they deal the rest.  A candidate must share prefix shingles under each:
 
 1. Shingles are counted by the leading bits of their hash, packed two bytes each.
-   The most frequent (at most LISTED, each in 8 documents or more) are broadcast;
-   the order of all others needs no table.
+   A bit table of fixed size tells which may occur more than once; the others come
+   first in every order and are never posted, as nothing can share them.  The most
+   frequent (at most LISTED, each in 8 documents or more) have their counts broadcast
+   too and come last by these.
 2. Prefixes under the first order are joined on the shingle.  Some rounds link each
    set only to one hub per shingle; sets that came to lie in one component need no
    further comparing, so large groups of near copies cost no pairs.  The last round
@@ -38,6 +40,8 @@ from tidemark.session import written
 
 #: Most shingles whose count is broadcast, and the least count they may have.
 LISTED, FREQUENT = 1_000_000, 8
+#: Bits of the table of shingles that may occur more than once: 32 MB.  Fuller tables only spare less.
+SHARED_BITS = 28
 #: Seeds of the orders; the first makes the candidates.
 ORDERS = (0x51A3, 0x7F4B, 0x2C19)
 #: Rounds in which each shingle has one hub.
@@ -86,18 +90,24 @@ class Sets:
 
 
 class Frequent:
-    """The counts of the listed shingles; 0 for all others."""
+    """The counts of the listed shingles; 1 for others that may be shared, 0 for those that are not."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, bits: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.n = keys[order].astype(np.uint32), counts[order].astype(np.int64)
+        self.keys, self.n, self.bits = keys[order].astype(np.uint32), counts[order].astype(np.int64), bits
+
+    def shared(self, tokens: np.ndarray) -> np.ndarray:
+        bit = (tokens >> _U(64 - SHARED_BITS)).astype(np.int64)
+        return (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
     def counts(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(tokens), np.int64)
-        keys = (tokens >> _U(32)).astype(np.uint32)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[place] == keys, self.n[place], 0)
+        known = self.shared(tokens).astype(np.int64)
+        if len(self.keys):
+            at = np.flatnonzero(known)
+            keys = (tokens[at] >> _U(32)).astype(np.uint32)
+            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known[at] = np.where(self.keys[place] == keys, self.n[place], 1)
+        return known
 
 
 # --- counting ---------------------------------------------------------------
@@ -138,7 +148,7 @@ def _surveyed(documents: DataFrame, rule: Rule, parts_bits: int) -> DataFrame:
 
 
 def _counted(packed: DataFrame, parts_bits: int) -> DataFrame:
-    """key, n of the shingle keys that occur FREQUENT times or more."""
+    """key, n of the shingle keys that occur FREQUENT times or more; and by part, the bits of all that occur twice."""
     span = 1 << (16 - parts_bits)
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
@@ -152,14 +162,26 @@ def _counted(packed: DataFrame, parts_bits: int) -> DataFrame:
         n = np.diff(np.append(starts, len(keys)))
         often = n >= FREQUENT
         base = key[0].as_py() * span << 16
-        return pa.table({"key": keys[starts[often]].astype(np.int64) + base, "n": n[often]})
+        shared = np.zeros(span << (SHARED_BITS - 16), bool)
+        shared[keys[starts[n > 1]] >> np.uint32(32 - SHARED_BITS)] = True
+        bits = np.packbits(shared, bitorder="little").tobytes()
+        return pa.table({
+            "key": pa.array(np.append(keys[starts[often]].astype(np.int64) + base, base)),
+            "n": pa.array(np.append(n[often], 0)),
+            "bits": pa.array([None] * int(often.sum()) + [bits], pa.binary()),
+        })
 
-    return packed.groupBy("part").applyInArrow(count, "key bigint, n bigint")
+    return packed.groupBy("part").applyInArrow(count, "key bigint, n bigint, bits binary")
 
 
 def _frequent(counted: DataFrame) -> Frequent:
-    """The most frequent keys, at most LISTED."""
-    sizes = counted.groupBy("n").count().orderBy(F.desc("n")).collect()
+    """The most frequent keys, at most LISTED, and the whole bit table."""
+    bits = np.zeros(1 << (SHARED_BITS - 3), np.uint8)
+    for row in counted.where("bits IS NOT NULL").select("key", "bits").toLocalIterator():
+        at = row["key"] >> (32 - SHARED_BITS + 3)
+        bits[at:at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
+    listable = counted.where("bits IS NULL").select("key", "n")
+    sizes = listable.groupBy("n").count().orderBy(F.desc("n")).collect()
     least, listed = None, 0
     for row in sizes:
         listed += row["count"]
@@ -167,16 +189,16 @@ def _frequent(counted: DataFrame) -> Frequent:
             break
         least = row["n"]
     if least is None:
-        return Frequent(np.zeros(0, np.int64), np.zeros(0, np.int64))
-    table = counted.where(F.col("n") >= least).toArrow()
-    return Frequent(table["key"].to_numpy(), table["n"].to_numpy())
+        return Frequent(np.zeros(0, np.int64), np.zeros(0, np.int64), bits)
+    table = listable.where(F.col("n") >= least).toArrow()
+    return Frequent(table["key"].to_numpy(), table["n"].to_numpy(), bits)
 
 
 # --- candidates -------------------------------------------------------------
 
 
 def _posted(documents: DataFrame, rule: Rule, shared) -> DataFrame:
-    """token, set_id, n: each set's prefix under the first order; a task gives a set once."""
+    """token, set_id, n: what may be shared of each set's prefix under the first order; a task gives a set once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for _, data, offsets in pieces(batches, "text"):
@@ -187,6 +209,7 @@ def _posted(documents: DataFrame, rule: Rule, shared) -> DataFrame:
             seen = np.union1d(seen, sets.ids)
             place = sets.prefixes(shared.value, ORDERS[0], rule)
             place = place[fresh[sets.text[place]]]
+            place = place[shared.value.shared(sets.tokens[place])]
             text = sets.text[place]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(sets.tokens[place].view(np.int64)), pa.array(sets.ids[text]), pa.array(sets.n[text])],
@@ -292,10 +315,14 @@ def _linked(live: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             right = rest.select("token", F.col("set_id").alias("y"), F.col("n").alias("nb"), F.col("root").alias("ry"))
             pairs = left.join(right, "token").where("x < y AND rx <> ry")
         pairs = pairs.where(_near_size(rule)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
         found = written(_verified(pairs, sets, rule), "links")
-        links = links.union(found)
-        roots = written(components(links), "roots")
-    return roots
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = written(components(links), "roots")
+    return components(links) if roots is None else roots
 
 
 def classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
