@@ -11,10 +11,12 @@ how they deal the rest.  A candidate must share prefix shingles under each:
    first in every order and are never posted, as nothing can share them.  The most
    frequent (at most LISTED, each in 8 documents or more) have their counts broadcast
    too and come last by these.
-2. Prefixes under the first order are joined on the shingle.  Some rounds link each
-   set only to one hub per shingle; sets that came to lie in one component need no
-   further comparing, so large groups of near copies cost no pairs.  The last round
-   takes all pairs left that lie in different components.
+2. Prefixes under the first order are joined on the shingle, with bounds on the
+   sizes and on the shingle's place in either set: all that comes before it there is
+   not shared.  Some rounds link each set only to one hub per shingle, first the most
+   central; sets that came to lie in one component need no further comparing, so large
+   groups of near copies cost no pairs.  The last round takes all pairs left that lie
+   in different components.
 3. A pair's prefixes under the other orders, kept with the sets, must meet too;
    only then are the whole sets compared.
 
@@ -45,9 +47,11 @@ SHARED_BITS = 28
 #: Seeds of the orders; the first makes the candidates.
 ORDERS = (0x51A3, 0x7F4B, 0x2C19)
 #: Rounds in which each shingle has one hub.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Bits of the table that tells which documents take part in candidates.
 FILTER_BITS = 1 << 26
+#: What the two sides of a pair need, and the letter before x or y that names it.
+COLUMNS = {"set_id": "", "n": "n", "place": "p"}
 _FLUSH = 4_000_000
 _U = np.uint64
 
@@ -62,6 +66,12 @@ class Rule:
     def prefix(self, n):
         return n + 1 + (-self.percent * n) // 100
 
+    def may_link(self, x: str, y: str):
+        """Whether sets of nx and ny shingles whose first common one has the places px and py may be similar."""
+        nx, ny, px, py = [F.col(f"{c}{side}") for c in "np" for side in (x, y)]
+        common = F.least(nx - px, ny - py)
+        return (100 + self.percent) * common >= self.percent * (nx + ny)
+
 
 class Sets:
     """The shingle sets of a piece of documents: `tokens` sorted by document, then hash."""
@@ -82,11 +92,12 @@ class Sets:
             np.cumsum(mix(self.tokens), out=sums[1:])
             self.ids = mix(sums[self.first[1:]] - sums[self.first[:-1]] + self.n.astype(_U)).view(np.int64)
 
-    def prefixes(self, frequent: "Frequent", seed: int, rule: Rule) -> np.ndarray:
-        """Places of all prefix tokens under one order, document by document."""
+    def prefixes(self, frequent: "Frequent", seed: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+        """All prefix tokens under one order, document by document, and their places in it."""
         order = np.lexsort((mix(self.tokens ^ _U(seed)), frequent.counts(self.tokens), self.text))
         rank = np.arange(len(order)) - self.first[self.text[order]]
-        return order[rank < rule.prefix(self.n)[self.text[order]]]
+        inside = rank < rule.prefix(self.n)[self.text[order]]
+        return order[inside], rank[inside]
 
 
 class Frequent:
@@ -198,7 +209,10 @@ def _frequent(counted: DataFrame) -> Frequent:
 
 
 def _posted(documents: DataFrame, rule: Rule, shared) -> DataFrame:
-    """token, set_id, n: what may be shared of each set's prefix under the first order; a task gives a set once."""
+    """token, set_id, n, place, alone: what may be shared of each set's prefix under the first order.
+
+    `alone` counts the shingles that no other set has.  A task gives a set once.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for _, data, offsets in pieces(batches, "text"):
@@ -207,15 +221,17 @@ def _posted(documents: DataFrame, rule: Rule, shared) -> DataFrame:
             fresh = np.zeros(len(sets.n), bool)
             fresh[once] = ~np.isin(sets.ids[once], seen)
             seen = np.union1d(seen, sets.ids)
-            place = sets.prefixes(shared.value, ORDERS[0], rule)
-            place = place[fresh[sets.text[place]]]
-            place = place[shared.value.shared(sets.tokens[place])]
-            text = sets.text[place]
+            known = shared.value.shared(sets.tokens)
+            alone = sets.n - np.bincount(sets.text[known], minlength=len(sets.n))
+            at, place = sets.prefixes(shared.value, ORDERS[0], rule)
+            kept = fresh[sets.text[at]] & known[at]
+            at, place = at[kept], place[kept]
+            text = sets.text[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets.tokens[place].view(np.int64)), pa.array(sets.ids[text]), pa.array(sets.n[text])],
-                ["token", "set_id", "n"])
+                [pa.array(sets.tokens[at].view(np.int64)), *[pa.array(c) for c in (sets.ids[text], sets.n[text], place, alone[text])]],
+                ["token", "set_id", "n", "place", "alone"])
 
-    return documents.select("text").mapInArrow(run, "token bigint, set_id bigint, n bigint")
+    return documents.select("text").mapInArrow(run, "token bigint, set_id bigint, n bigint, place bigint, alone bigint")
 
 
 def _live(posted: DataFrame) -> DataFrame:
@@ -245,7 +261,7 @@ def _kept_sets(documents: DataFrame, rule: Rule, shared, bits) -> DataFrame:
                 sets = Sets(data, offsets, rule.size)
                 others = []
                 for seed in ORDERS[1:]:
-                    place = sets.prefixes(shared.value, seed, rule)
+                    place, _ = sets.prefixes(shared.value, seed, rule)
                     cut = np.searchsorted(sets.text[place], np.arange(len(sets.n) + 1))
                     others.append([np.sort(sets.tokens[place[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:])])
                 tokens = [sets.tokens[a:b].tobytes() for a, b in zip(sets.first[:-1], sets.first[1:])]
@@ -288,10 +304,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return joined.select("a", "b", "a_tokens", "a_prefixes", "b_tokens", "b_prefixes").mapInArrow(run, "a bigint, b bigint")
 
 
-def _near_size(rule: Rule):
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * rule.percent
-
-
 def _linked(live: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(node, root) of the sets that have a link."""
     spark = live.sparkSession
@@ -300,21 +312,24 @@ def _linked(live: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     for round_number in range(HUB_ROUNDS + 1):
         own = live.withColumn("root", F.col("set_id")) if roots is None else (
             live.join(roots, F.col("set_id") == F.col("node"), "left")
-            .select("token", "set_id", "n", F.coalesce("root", "set_id").alias("root")))
+            .select(*live.columns, F.coalesce("root", "set_id").alias("root")))
+        # First the set with the smallest share of shingles of its own, then any.
+        central = F.col("alone") / F.col("n") if round_number == 0 else F.lit(0.0)
         # Tokens whose sets all lie in one component are done.
         split = own.groupBy("token").agg(
             F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min(F.struct(F.xxhash64("set_id", F.lit(round_number)).alias("h"), "set_id", "n", "root")).alias("hub"),
+            F.min(F.struct(central.alias("c"), F.xxhash64("set_id", F.lit(round_number)).alias("h"),
+                           "set_id", "n", "place", "root")).alias("hub"),
         ).where("low < high").select("token", "hub")
         if round_number < HUB_ROUNDS:
             pairs = own.join(split, "token").where("root <> hub.root").select(
-                F.col("set_id").alias("x"), F.col("hub.set_id").alias("y"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
+                *[F.col(c).alias(f"{s}x") for c, s in COLUMNS.items()], *[F.col(f"hub.{c}").alias(f"{s}y") for c, s in COLUMNS.items()])
         else:
             rest = written(own.join(split.select("token"), "token"), "rest")
-            left = rest.select("token", F.col("set_id").alias("x"), F.col("n").alias("na"), F.col("root").alias("rx"))
-            right = rest.select("token", F.col("set_id").alias("y"), F.col("n").alias("nb"), F.col("root").alias("ry"))
+            left = rest.select("token", F.col("root").alias("rx"), *[F.col(c).alias(f"{s}x") for c, s in COLUMNS.items()])
+            right = rest.select("token", F.col("root").alias("ry"), *[F.col(c).alias(f"{s}y") for c, s in COLUMNS.items()])
             pairs = left.join(right, "token").where("x < y AND rx <> ry")
-        pairs = pairs.where(_near_size(rule)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = pairs.where(rule.may_link("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             continue
