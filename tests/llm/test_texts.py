@@ -51,8 +51,9 @@ def test_bpe_frames(spark):
 
 def test_word_encoder_is_the_librarys():
     own, library = token_files.Encoder(WORD), Tokenizer.from_file(WORD)
-    for text in odd_texts(3000):
-        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = odd_texts(6000) + ["Été, où? Straße. 12. a,b .. X.\nİ, <|STARTOFTEXT|> it's IT'S,", "don'T. 'll, ÿ. µ, ª. ²,"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark):

@@ -13,7 +13,9 @@ each, ordered by text; an empty table has an empty manifest; other columns are
 not stored.
 """
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.files import mapped, new_file, writer
+from tidemark.llm.words import pieces
 
 #: Words a worker remembers, and the longest it does.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
+_MARK = re.compile(r"([.,])(?<=[a-z0-9\xdf-\xf6\xf8-\xff][.,])(?=[ \n])")
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, ids_file string, offsets_file string, docs_file string, width int, n_docs bigint, n_tokens bigint"
 
@@ -48,22 +52,55 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or "\0"
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.remembered: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as the bytes of a flat array."""
+        cut = [self._words(text) for text in texts]
         known = self.remembered
-        if new := [w for w in set(words) if w not in known]:
+        if new := {w for words in cut for w in words if w not in known}:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.array(found.ids, self.dtype).tobytes()
-        ids = b"".join(map(known.__getitem__, words))
+                new = {w for words in cut for w in words}
+            self._learn(list(new))
+        found = [b"".join(map(known.__getitem__, words)) for words in cut]
         for word in new:
             if len(word) > LONGEST:
-                known.pop(word)
-        return ids
+                del known[word]
+        return found
+
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Parts that may be encoded one by one."""
+        if "<|" not in text and _latin(text):
+            # Normalisation makes these texts lower case and does no more; a mark after a letter is a pre-token.
+            text = _MARK.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.remembered
+        # A word of letters is one pre-token, whose last id says that it ends.
+        letters = [w for w in words if w.isalpha() and _latin(w)]
+        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, self.dtype)
+        ends = (np.flatnonzero(self.closing[ids]) + 1).tolist()
+        if len(ends) == len(letters):
+            for word, low, high in zip(letters, [0, *ends], ends):
+                known[word] = ids[low:high].tobytes()
+            words = [w for w in words if w not in known]
+        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            known[word] = np.array(found.ids, self.dtype).tobytes()
+
+
+def _latin(text: str) -> bool:
+    """Whether a text holds no letter beyond U+00FF."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
 
 
 @lru_cache(maxsize=2)
@@ -80,16 +117,14 @@ def write(documents: DataFrame, folder: str, path: str, end_id: int) -> DataFram
         n_docs, n_tokens = 0, 0
         with writer(names[0]) as ids, writer(names[1]) as offsets, writer(names[2]) as docs:
             offsets.write(np.zeros(1, "<i8").tobytes())
-            for batch in batches:
-                lengths = []
-                for text in batch.column(1):
-                    data = own.encode(text.as_py() or "") + end
-                    ids.write(data)
-                    lengths.append(len(data) // own.width)
+            for rows, _, _ in pieces(batches, "text"):
+                data = own.encode([text or "" for text in rows.column(1).to_pylist()])
+                ids.write(end.join([*data, b""]))
+                lengths = np.array([len(d) // own.width + 1 for d in data])
                 offsets.write((n_tokens + np.cumsum(lengths)).astype("<i8").tobytes())
-                docs.write(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                n_docs += batch.num_rows
-                n_tokens += sum(lengths)
+                docs.write(rows.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                n_docs += rows.num_rows
+                n_tokens += int(lengths.sum())
         if n_docs:
             row = [TaskContext.get().partitionId(), *names, own.width, n_docs, n_tokens]
             yield pa.RecordBatch.from_arrays(
