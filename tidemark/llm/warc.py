@@ -237,5 +237,7 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
                 ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                 ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    spread = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # A number of its own: the rows are few bytes, but what they point to is not.
+    files = max(1, index.select("file").distinct().count())
+    spread = index.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
     return spread.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
