@@ -13,10 +13,10 @@ how they deal the rest.  A candidate must share prefix shingles under each:
    too and come last by these.
 2. Prefixes under the first order are joined on the shingle, with bounds on the
    sizes and on the shingle's place in either set: all that comes before it there is
-   not shared.  Some rounds link each set only to one hub per shingle, first the most
-   central; sets that came to lie in one component need no further comparing, so large
-   groups of near copies cost no pairs.  The last round takes all pairs left that lie
-   in different components.
+   not shared.  A first round links each set only to one hub per shingle, the most
+   central set; sets that came to lie in one component need no further comparing, so
+   large groups of near copies cost no pairs.  The last round takes all pairs left that
+   lie in different components.
 3. A pair's prefixes under the other orders, kept with the sets, must meet too;
    only then are the whole sets compared.
 
@@ -42,12 +42,12 @@ from tidemark.session import written
 
 #: Most shingles whose count is broadcast, and the least count they may have.
 LISTED, FREQUENT = 1_000_000, 8
-#: Bits of the table of shingles that may occur more than once: 32 MB.  Fuller tables only spare less.
-SHARED_BITS = 28
+#: Bits of the table of shingles that may occur more than once: 8 MB.  Fuller tables only spare less.
+SHARED_BITS = 26
 #: Seeds of the orders; the first makes the candidates.
 ORDERS = (0x51A3, 0x7F4B, 0x2C19)
 #: Rounds in which each shingle has one hub.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 #: Bits of the table that tells which documents take part in candidates.
 FILTER_BITS = 1 << 26
 #: What the two sides of a pair need, and the letter before x or y that names it.
@@ -354,6 +354,9 @@ def classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     bits = _member_bits(first_of.join(taking_part, "set_id"))
     kept = _kept_sets(documents, rule, shared, bits).join(first_of.join(taking_part, "set_id").select("set_id"), "set_id", "left_semi")
     sets = written(kept.dropDuplicates(["set_id"]), "sets")
+    # What the broadcasts were for is in tables now.
+    shared.destroy()
+    bits.destroy()
     roots = _linked(live, sets, rule)
     rooted = sets_of.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root"))
