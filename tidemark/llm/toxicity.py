@@ -298,7 +298,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     own = documents.select("doc_id", "text").join(F.broadcast(sample(halved, most)), "doc_id").select("doc_id", "label", "half", "text")
     table = own.mapInArrow(run, "doc_id bigint, label int, x array<double>").orderBy("doc_id").toArrow()
     x = table["x"].combine_chunks().flatten().to_numpy().reshape(len(table), -1) if len(table) else np.zeros((0, 5))
-    shared.unpersist()
+    shared.destroy()
     return Model(_table(grams, ALL), _table(unmet, ALL), fit(x, table["label"].to_numpy().astype(float)))
 
 
