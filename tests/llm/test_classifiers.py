@@ -153,6 +153,29 @@ def test_models_against_plain_counts(spark):
             assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
 
 
+@pytest.mark.parametrize("block", [1 << 21, 30_000])
+def test_every_gram_keeps_its_evidence(spark, monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block, raising=False)
+    rows = spark.range(100_000).select(F.lit(toxicity.ALL).alias("model"), (F.col("id") * 7919).alias("gram"),
+                                       F.lit(1).cast("long").alias("n"), (F.col("id") / 7).alias("evidence"))
+    table = toxicity._table(rows, toxicity.ALL)
+    known, evidence = table.find(np.arange(100_000) * 7919)
+    assert known.all()
+    assert np.allclose(evidence, np.arange(100_000) / 7)
+    assert not table.find(np.array([1, 7920]))[0].any()
+
+
+def test_blocks_do_not_change_scores(spark, monkeypatch):
+    documents, labels, _ = corpus(spark, 100)
+    told = []
+    for block in (1 << 21, 500):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        model = toxicity.train(documents, training(labels, "toxic", 5, 0))
+        assert (len(model.met.blocks) > 1) == (block == 500)
+        told.append(brute.rows(toxicity.scored(documents, model), "doc_id", F.round("score", 9)))
+    assert told[0] == told[1]
+
+
 def test_word_vectors_count_neighbours(spark):
     documents = spark.createDataFrame([(1, "a b, c"), (2, "a b"), (3, None)], "doc_id bigint, text string")
     want = np.zeros((quality.CELLS, quality.DIMS))

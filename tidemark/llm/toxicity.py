@@ -14,8 +14,9 @@ most toxic window, and by its two most toxic words; a logistic fit turns these
 into a score.  It learns from documents scored by models of the other half of the
 labelled documents, at most SAMPLE of them.
 
-The models' tables go to the tasks hashed into CELLS cells each, so their size is
-fixed; of grams that share a cell the most frequent stays.
+The evidence of every gram and context goes to the tasks, in broadcast blocks of
+about BLOCK grams.  Driver and tasks hold one block of a table at a time, so none is
+dropped and memory stays bounded.
 
 Cases: an empty or null text has no evidence, zeros, and a score like any other;
 repeated rows are scored each; without labels of both kinds every score is 0;
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.labelled import sample, with_score
@@ -36,7 +38,9 @@ from tidemark.session import written
 ORDER, DISCOUNT, WINDOW = 6, 0.75, 10
 #: A class counts as much as both together once it has met a context so often.
 LEAN = 4.0
-CELLS, SAMPLE = 1 << 21, 20_000
+SAMPLE = 20_000
+#: Grams in a broadcast: 12 bytes each.
+BLOCK = 1 << 21
 #: Models: of the one half of the documents, of the other, of all.
 HALVES, ALL = 2, 2
 _FLUSH = 3_000_000
@@ -118,7 +122,7 @@ def _suffix(column: str, order: int):
 
 
 def models(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(model, gram, n, evidence) and (model, context, n, evidence), the latter for grams never met."""
+    """(model, gram, evidence) of grams, and of contexts for grams never met."""
     # A model of one half is for the other half's documents.
     uses = counts.withColumn("model", F.explode(F.array(F.lit(ALL), 1 - F.col("half"))))
     top = written(uses.groupBy("model", "gram").agg(
@@ -170,44 +174,69 @@ def models(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = (
         top.withColumn("context", F.shiftright("gram", 8)).withColumn("suffix", _suffix("gram", ORDER - 1))
         .join(contexts, ["model", "context"]).join(lower, ["model", "suffix"])
-        .select("model", "gram", n(2).alias("n"), evidence(lambda c: F.greatest(n(c) - DISCOUNT, F.lit(0.0)), F.col("p")))
+        .select("model", "gram", evidence(lambda c: F.greatest(n(c) - DISCOUNT, F.lit(0.0)), F.col("p")))
     )
     # All that a gram never met has is the shared part, whose size cancels out.
-    unmet = contexts.select("model", F.col("context").alias("gram"), total(2).alias("n"), evidence(lambda c: F.lit(0.0), F.lit(1.0)))
+    unmet = contexts.select("model", F.col("context").alias("gram"), evidence(lambda c: F.lit(0.0), F.lit(1.0)))
     return grams, unmet
 
 
 class Table:
-    """Evidence by gram in cells of fixed number; a tag tells most strangers apart."""
+    """The evidence of all grams: blocks of (sorted grams, evidence), each a broadcast."""
 
-    def __init__(self, cells: np.ndarray, tags: np.ndarray, evidence: np.ndarray):
-        self.tags, self.evidence = np.zeros(CELLS, np.uint16), np.zeros(CELLS, np.float32)
-        self.tags[cells], self.evidence[cells] = tags, evidence
+    def __init__(self, blocks: list[Broadcast]):
+        self.blocks = blocks
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = mix(grams.astype(_U))
-        cells = (hashes & _U(CELLS - 1)).astype(np.int64)
-        return self.tags[cells] == _tags(hashes), self.evidence[cells]
+        """Whether each gram is in the table, and its evidence."""
+        asked, which = np.unique(grams, return_inverse=True)
+        known, evidence = np.zeros(len(asked), bool), np.zeros(len(asked), np.float32)
+        own = _block_of(asked, len(self.blocks))
+        for k, block in enumerate(self.blocks):
+            at = np.flatnonzero(own == k)
+            keys, values = _loaded(block, len(self.blocks) == 1)
+            place = np.minimum(np.searchsorted(keys, asked[at]), len(keys) - 1)
+            same = keys[place] == asked[at]
+            known[at[same]], evidence[at[same]] = True, values[place[same]]
+        return known[which], evidence[which]
 
+    def destroy(self) -> None:
+        for block in self.blocks:
+            block.destroy()
 
-def _tags(hashes: np.ndarray) -> np.ndarray:
-    """1 to 65535; 0 marks an empty cell."""
-    return ((hashes >> _U(40)) % _U(65535) + _U(1)).astype(np.uint16)
+
+def _loaded(block: Broadcast, keep: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The value, kept in the process only on demand; an encrypted one is there already."""
+    path = getattr(block, "_path", None)
+    return block.value if keep or path is None else block.load_from_path(path)
+
+
+def _block_of(grams: np.ndarray, number: int) -> np.ndarray:
+    return (mix(grams.astype(_U)) % _U(max(1, number))).astype(np.int32)
 
 
 def _table(rows: DataFrame, model: int) -> Table:
+    own = rows.where(F.col("model") == model).select("gram", F.col("evidence").cast("float").alias("evidence"))
+    number = -(-own.count() // BLOCK)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = mix(batch.column(0).to_numpy().astype(_U))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((hashes & _U(CELLS - 1)).astype(np.int32)), pa.array(_tags(hashes).astype(np.int32)), batch.column(1), batch.column(2)],
-                ["cell", "tag", "n", "evidence"])
-
-    placed = rows.where(F.col("model") == model).select("gram", "n", "evidence").mapInArrow(
-        place, "cell int, tag int, n bigint, evidence double")
-    best = placed.groupBy("cell").agg(F.max(F.struct("n", "tag", F.col("evidence").cast("float").alias("evidence"))).alias("best"))
-    table = best.select("cell", "best.tag", "best.evidence").toArrow()
-    return Table(*[table[c].to_numpy() for c in ("cell", "tag", "evidence")])
+            block = pa.array(_block_of(batch.column(0).to_numpy(), number))
+            yield pa.RecordBatch.from_arrays([block, *batch.columns], ["block", "gram", "evidence"])
+
+    if number > 1:
+        # In order, so that each block is read alone.
+        placed = own.mapInArrow(place, "block int, gram bigint, evidence float")
+        own = written(placed.sortWithinPartitions("block"), "blocks")
+    blocks = []
+    for k in range(number):
+        found = (own.where(F.col("block") == k) if number > 1 else own).select("gram", "evidence").toArrow()
+        # An empty block would have no gram to compare with.
+        grams = found["gram"].to_numpy() if len(found) else np.full(1, -1)
+        evidence = found["evidence"].to_numpy() if len(found) else np.zeros(1, np.float32)
+        order = np.argsort(grams)
+        blocks.append(rows.sparkSession.sparkContext.broadcast((grams[order], evidence[order])))
+    return Table(blocks)
 
 
 # --- scores -----------------------------------------------------------------
@@ -282,26 +311,27 @@ class Model:
 
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """The model of all of `labels` (doc_id, label)."""
-    spark = documents.sparkSession
     halved = labels.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(HALVES)).cast("int"))
     counts = written(_counted(documents.select("doc_id", "text").join(halved, "doc_id")), "counts")
     grams, unmet = [written(df, "evidence") for df in models(counts)]
     halves = [Model(_table(grams, k), _table(unmet, k)) for k in range(HALVES)]
-    shared = spark.sparkContext.broadcast(halves)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches, "text"):
-            both = np.stack([features(data, offsets, m.met, m.unmet) for m in shared.value])
+            both = np.stack([features(data, offsets, m.met, m.unmet) for m in halves])
             own = both[rows.column(2).to_numpy(), np.arange(rows.num_rows)]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(list(own), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     own = documents.select("doc_id", "text").join(F.broadcast(sample(halved, most)), "doc_id").select("doc_id", "label", "half", "text")
     table = own.mapInArrow(run, "doc_id bigint, label int, x array<double>").orderBy("doc_id").toArrow()
     x = table["x"].combine_chunks().flatten().to_numpy().reshape(len(table), -1) if len(table) else np.zeros((0, 5))
-    shared.destroy()
+    for half in halves:
+        half.met.destroy()
+        half.unmet.destroy()
     return Model(_table(grams, ALL), _table(unmet, ALL), fit(x, table["label"].to_numpy().astype(float)))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """`documents` with the score of each row."""
-    return with_score(documents, model, lambda own, data, offsets: own.fit.score(features(data, offsets, own.met, own.unmet)))
+    met, unmet = model.met, model.unmet
+    return with_score(documents, model.fit, lambda own, data, offsets: own.score(features(data, offsets, met, unmet)))
