@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 
 import brute
@@ -91,6 +92,20 @@ def test_url_rules_against_every_rule(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id bigint, url string"), url_filter.rules_table(spark)).count() == 0
 
 
+def test_url_index_against_every_pattern(spark):
+    """The rule as the SQL has it, on each URL."""
+    whole = re.compile(r"(?i)://[^/?#]*\b(casino|pills|adult|(poker|roulette)-?online)\b|\.(exe|msi|apk)([?#]|$)", re.ASCII)
+    words = ["poker", "roulette", "Poker", "casino", "pills", "adult", "chess"]
+    urls = [f"{scheme}{before}{word}{join}{end}{tail}" for scheme in ("http://", "x") for before in ("", "www.", "my-", "my")
+            for word in words for join in ("", "-", "--", ".", "_", "/") for end in ("online", "ONLINE", "onlines", "") for tail in (".com/", ".io/x.apk?q")]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), url_filter.rules_table(spark)).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert r["verdict"] == ("block" if whole.search(urls[r["page_id"]]) else "allow"), urls[r["page_id"]]
+    told = {urls[r["page_id"]]: r["verdict"] for r in got}
+    assert told["http://pokeronline.com/"] == told["http://www.roulette-online.com/"] == told["http://www.rouletteonline.io/x.apk?q"] == "block"
+
+
 def test_url_rules_stay_off_python(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id bigint, url string").persist()
     plan = url_filter.judge(pages, url_filter.rules_table(spark))._jdf.queryExecution().toString()

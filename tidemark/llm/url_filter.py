@@ -25,7 +25,11 @@ HOST_RULES = [
 PATTERN_RULES = [
     (r"(?i)://[^/?#]*\bcasino\b", ["casino"], "block"),
     (r"(?i)://[^/?#]*\bpills\b", ["pills"], "block"),
-    (r"(?i)://[^/?#]*\b(?:poker|roulette)-?online\b", ["online"], "block"),
+    # Without the hyphen it is another token, so each spelling is a rule.
+    (r"(?i)://[^/?#]*\bpoker-online\b", ["poker", "online"], "block"),
+    (r"(?i)://[^/?#]*\bpokeronline\b", ["pokeronline"], "block"),
+    (r"(?i)://[^/?#]*\broulette-online\b", ["roulette", "online"], "block"),
+    (r"(?i)://[^/?#]*\brouletteonline\b", ["rouletteonline"], "block"),
     (r"(?i)://[^/?#]*\badult\b", ["adult"], "block"),
     (r"(?i)\.(?:exe|msi|apk)(?:[?#]|$)", [], "block"),
 ]
