@@ -159,6 +159,14 @@ def test_classes_with_listed_shingles_and_a_large_group(spark, monkeypatch):
         assert got == want
 
 
+def test_one_row_of_each_with_repeated_and_null_ids(spark):
+    x, y, z = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(5, x), (5, x), (None, x), (None, x), (7, x), (7, y), (None, z), (None, z), (None, None), (None, ""), (9, None)]
+    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert brute.rows(left, "doc_id", "text") == sorted([(5, x), (7, y), (None, z), (None, None), (None, ""), (9, None)], key=repr)
+    assert jaccard.one_of_each(brute.empty(spark)).count() == 0
+
+
 def test_classes_of_nulls_and_nothing(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (2, None), (1, "")]
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))

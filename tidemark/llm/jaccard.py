@@ -366,6 +366,19 @@ def classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """`documents` without those that are linked, directly or over others, to one with a smaller doc_id."""
-    away = classes(documents, rule).where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(away, "doc_id", "left_anti")
+    """`documents` with one row of each group of rows that are linked, directly or over others.
+
+    It is the row of the smallest doc_id, null last, then of the smallest md5 of
+    the text; of rows with the same doc_id and text, any.  Rows are told apart
+    whatever their doc_id, and those without words are linked to none.
+    """
+    row = "row_number"
+    while row in [c.lower() for c in documents.columns]:
+        row += "_"
+    numbered = written(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = written(classes(numbered.select(F.col(row).alias("doc_id"), "text"), rule).select(
+        F.col("doc_id").alias(row), "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5("text").alias("digest"), row)
+    keep = numbered.select(row, order.alias("own")).join(groups, row).groupBy("component_id").agg(F.min("own").alias("own"))
+    away = groups.select(row).join(keep.select(F.col(f"own.{row}").alias(row)), row, "left_anti")
+    return numbered.join(away, row, "left_anti").select(*documents.columns)
