@@ -2,7 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import bpe, decontaminate, jaccard, near_vectors, quality, shards, token_files, toxicity, url_filter, warc
+from tidemark.llm import (
+    bpe, bpe_matrix, decontaminate, jaccard, lexical, near_vectors, quality, shards, spelling, token_files, toxicity,
+    url_filter, warc,
+)
 from tidemark.llm.labelled import fold, training
 from tidemark.session import work_dir, written
 
@@ -75,6 +78,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_bpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_matrix.digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(_table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -86,4 +103,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe_matrix": op11_bpe_matrix,
+    "op12_lexical": op12_lexical,
+    "op13_spelling": op13_spelling,
 }

@@ -105,4 +105,68 @@ ORACLES = {
         SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
         FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON doc_id = a
     """,
+    "op12_lexical": """
+        WITH doc_terms AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents
+        ), item_terms AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+            FROM benchmark
+        ), totals AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM doc_terms WHERE len(w) > 0),
+        held AS (
+            SELECT doc_id, m, term, count(*) AS tf FROM (
+                SELECT doc_id, 50 + (50 * len(w) * docs) // terms AS m, unnest(w) AS term FROM doc_terms, totals
+            ) SEMI JOIN item_terms USING (term) GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term, docs
+        ), scores AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+            FROM held JOIN weights USING (term) JOIN item_terms USING (term) GROUP BY ALL
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 50
+    """,
+    "op13_spelling": """
+        WITH RECURSIVE powers AS (
+            -- CRC-32 of each byte: eight steps of the reversed polynomial.
+            SELECT b::BIGINT AS c, b, 0 AS k FROM range(256) AS t(b)
+            UNION ALL
+            SELECT CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b, k + 1 FROM powers WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY b) AS bytes FROM powers WHERE k = 8),
+        runs AS (
+            SELECT doc_id, run, count(*) AS times FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+            ) GROUP BY ALL
+        ), hashed AS (
+            SELECT run, times, xor(4294967295, list_reduce(
+                       list_prepend(4294967295, list_transform(range(strlen(key)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                       lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1]))) AS h
+            FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS key, hex(encode(key)) AS h FROM runs), crc
+        ), spoiled AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                   ELSE run END AS word, times FROM hashed
+        ), words AS (
+            SELECT word, sum(times)::BIGINT AS n FROM spoiled WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+        ), cut AS (
+            SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(p)
+        ), near AS (
+            SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.rest = y.rest AND x.p = y.p AND x.word <> y.word
+            UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.rest = w.word
+            UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.rest = w.word
+        ), best AS (
+            SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS b, max(n) AS b_n FROM near JOIN words ON b = word GROUP BY a
+        ), formed AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 2 * n THEN b END AS form,
+                   CASE WHEN b_n >= 2 * n THEN b_n END AS form_n
+            FROM words LEFT JOIN best USING (word)
+        ), led AS (
+            SELECT word, word AS root FROM words
+            UNION SELECT l.word, f.form FROM led l JOIN formed f ON l.root = f.word WHERE f.form IS NOT NULL
+        )
+        SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n FROM formed f JOIN led l ON f.word = l.word
+        WHERE l.root IN (SELECT word FROM formed WHERE form IS NULL)
+    """,
 }
