@@ -49,8 +49,8 @@ MOST = 50
 BUCKET, COORDINATES, FOCUS = 4096, 1 << 20, 6
 #: Text of the items that are searched together.
 BLOCK_BYTES = 4 << 20
-#: Vectors that a search for first thresholds reads.
-SEED = 20_000
+#: Vectors that a search for first thresholds reads, or more if they are equally long.
+SEED = 4096
 #: Text that goes through numpy together.
 PIECE = 1 << 20
 #: Bounds are in doubles; they are widened by this much before they rule out.
@@ -267,6 +267,17 @@ def _searched(found: DataFrame, shared: Broadcast, thresholds: np.ndarray, most:
     return found.select("doc_id", "terms", "impacts", "length").mapInArrow(run, "item int, doc_id bigint, score bigint")
 
 
+def _length_of_longest(found: DataFrame, many: int) -> float:
+    """A length that some `many` vectors reach, from counts by logarithm: a few hundred numbers."""
+    steps = F.floor(F.log2("length") * 8).alias("step")
+    counts = sorted(((r["step"], r["count"]) for r in found.groupBy(steps).count().collect()), reverse=True)
+    for step, n in counts:
+        many -= n
+        if many <= 0:
+            return 2.0 ** (step / 8)
+    return 0.0
+
+
 def _first(found: DataFrame, partition: list[str], most: int) -> DataFrame:
     along = Window.partitionBy(*partition).orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= most)
@@ -284,7 +295,7 @@ def _block(documents: DataFrame, texts: list[str], most: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(items)
     found = written(vectors(counted, shared, totals[0], totals[1] or 1), "vectors")
     # Thresholds from some of the longest vectors: no search can end below them.
-    longest = found.orderBy(F.desc("length")).limit(SEED)
+    longest = found.where(F.col("length") >= _length_of_longest(found, SEED))
     thresholds = np.zeros(len(texts), np.int64)
     for row in _first(_searched(longest, shared, thresholds, most), ["item"], most).where(F.col("rank") == most).collect():
         thresholds[row["item"]] = row["score"]
