@@ -3,37 +3,44 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, jaccard, quality, toxicity
-from tidemark.llm.labelled import training
+from tidemark.llm.labelled import fresh, training
 from tidemark.llm.queries import QUALITY, TOKENIZERS, TOXIC
-from tidemark.session import written
+from tidemark.session import prepare, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models score as toxic go."""
+    prepare(spark)
     labels = training(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", folds=5, held_out=0)
-    scored = toxicity.scored(docs, toxicity.train(docs, labels))
-    return scored.where(scored["score"] < TOXIC).select(*docs.columns)
+    score = fresh("score", docs.columns)
+    scored = toxicity.scored(docs, toxicity.train(docs, labels), score)
+    return scored.where(scored[score] < TOXIC).select(*docs.columns)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores as poor go."""
+    prepare(spark)
     labels = training(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", folds=4, held_out=2)
-    scored = quality.scored(docs, *quality.train(docs, labels))
-    return scored.where(scored["score"] >= QUALITY).select(*docs.columns)
+    score = fresh("score", docs.columns)
+    scored = quality.scored(docs, *quality.train(docs, labels), score)
+    return scored.where(scored[score] >= QUALITY).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the document of the smallest id stays."""
+    prepare(spark)
     return jaccard.one_of_each(docs, jaccard.Rule(size=5, percent=80))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
+    prepare(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and the text that they decode to."""
+    prepare(spark)
     path = f"{TOKENIZERS}/byte_bpe_50k.json"
     return bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path).drop("text")
 
