@@ -56,3 +56,29 @@ def test_no_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, DATA), name)
         assert docs.count() == 0
+
+
+def test_columns_of_clashing_names_keep_their_values(spark):
+    """Extra columns of the names that operators use come through the filters as they were."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(150)
+    own = {"score": F.lit(7.25), "n_words": F.lit("w"), "n_hit": F.lit(-1), "item_ids": F.col("doc_id"), "spans": F.lit("s"),
+           "row_number": F.col("doc_id") * 2, "label": F.lit("l"), "half": F.lit(0.5), "component_id": F.lit("c")}
+    unnamed = docs.limit(2).withColumn("doc_id", F.lit(None).cast("bigint"))
+    docs = written(docs.union(unnamed).union(docs.limit(3)).withColumns(own), "docs")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, docs, DATA)
+        assert kept.columns == docs.columns and kept.schema == docs.schema
+        rows = kept.collect()
+        assert rows and all((r["score"], r["n_words"], r["n_hit"], r["spans"], r["label"], r["half"], r["component_id"])
+                            == (7.25, "w", -1, "s", "l", 0.5, "c") for r in rows), name
+        assert all(r["item_ids"] == r["doc_id"] and (r["doc_id"] is None or r["row_number"] == 2 * r["doc_id"]) for r in rows)
+
+
+def test_items_without_id_hit(spark):
+    words = " ".join(f"w{k}" for k in range(14))
+    docs = spark.createDataFrame([(1, f"x y {words} z"), (2, "x y z"), (3, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, words), (5, " ".join(f"w{k}" for k in range(12)))], "item_id bigint, text string")
+    from tidemark.llm import decontaminate
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.marked(docs, items).collect()}
+    assert got == {1: (17, 14, ["5"]), 2: (3, 0, []), 3: (0, 0, [])}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).orderBy("doc_id").collect()] == [2, 3]

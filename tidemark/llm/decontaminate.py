@@ -5,15 +5,16 @@ Its set is its shingles of `shingle` words.  A document must hold the whole set,
 so one shingle is the necessary prefix: the window's rarest over the documents.
 A document's shingles that are some window's prefix give candidates; one whose
 window would begin before or end after the document is out (length and position);
-the rest are verified word by word.
+the rest are verified word by word, by the words' 64-bit hashes.
 
 The windows go in blocks of at most BLOCK, each broadcast to one pass over the
 documents, so neither their number nor any document's is bounded.
 
-Cases: null and empty texts have no words; items without words have no window
-and items without an id cannot be named and are left out; items with equal
-windows are all found; repeated documents are judged each; an empty benchmark
-leaves all documents clean; extra columns are carried by `clean`.
+Cases: null and empty texts have no words; items without words have no window;
+the windows of items without an id hit like others, but there is nothing to name;
+items with equal windows are all found; repeated documents are judged each; an empty
+benchmark leaves all documents clean; `marked` replaces columns of the names it
+adds, `clean` gives back all columns as they were.
 """
 
 from collections.abc import Iterator
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
+from tidemark.llm.labelled import fresh
 from tidemark.llm.words import ALNUM, LOWER, Words, grams, joined, pieces, widened
 from tidemark.session import written
 
 SIZE, SHINGLE = 10, 5
 #: Windows in a broadcast: some 100 bytes each.
 BLOCK = 200_000
+ADDED = {"n_words": "bigint", "n_hit": "bigint", "item_ids": "array<string>", "spans": "array<array<bigint>>"}
 
 
 def item_windows(benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE) -> DataFrame:
@@ -49,7 +52,7 @@ def item_windows(benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE)
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(tokens, pa.list_(pa.int64()))],
                 ["item_id", "words", "shingles"])
 
-    found = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text").mapInArrow(
+    found = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(
         run, "item_id bigint, words array<bigint>, shingles array<bigint>")
     return found.distinct()
 
@@ -88,7 +91,7 @@ class Block:
         self.words = np.zeros((len(keys), size), np.uint64)
         for k, w in enumerate(keys):
             self.words[k, :len(w)] = np.array(w, np.int64).view(np.uint64)
-        self.items = [sorted(set(windows[w][2])) for w in keys]
+        self.items = [sorted(set(windows[w][2]) - {None}) for w in keys]
         self.sizes = sorted({r["gram"] for r in rows})
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +145,10 @@ def blocks(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, shingle
 def marked(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE,
            most: int = BLOCK) -> DataFrame:
     """`documents` with n_words, n_hit, item_ids (sorted as strings) and spans (first and last word hit, by block)."""
-    added = {"n_words": "bigint", "n_hit": "bigint", "item_ids": "array<string>", "spans": "array<array<bigint>>"}
-    result = documents.drop(*added)
+    result = documents.drop(*ADDED)
     plain = result
     for name in ("item_ids", "spans"):
-        result = result.withColumn(name, F.array().cast(added[name]))
+        result = result.withColumn(name, F.array().cast(ADDED[name]))
     found = list(blocks(plain, benchmark, size, shingle, most))
     for k, block in enumerate([*found, None]):
         result = _marked(result, block, k == len(found))
@@ -208,4 +210,8 @@ def _covered(spans: list[list[int]]) -> int:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of any item."""
-    return marked(documents, benchmark).where("n_hit = 0").select(*documents.columns)
+    # Columns of the names that `marked` adds wait under others.
+    taken = list(documents.columns)
+    names = {c: fresh(c + "_", taken) for c in taken if c.lower() in ADDED}
+    kept = marked(documents.withColumnsRenamed(names), benchmark).where("n_hit = 0")
+    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in taken])

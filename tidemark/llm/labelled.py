@@ -4,9 +4,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
-from tidemark.llm.words import pieces, widened
+from tidemark.llm.words import pieces
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -25,14 +24,26 @@ def sample(labels: DataFrame, most: int) -> DataFrame:
     return labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def with_score(documents: DataFrame, model, score: Callable) -> DataFrame:
-    """`documents` with a column score of `score(model, bytes, offsets)`, whatever else they hold."""
-    source = documents.drop("score")
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, or the same with lines under it if a column has it already."""
+    while name.lower() in [c.lower() for c in taken]:
+        name += "_"
+    return name
+
+
+def with_score(documents: DataFrame, model, score: Callable, into: str = "score") -> DataFrame:
+    """`documents` with a column `into` of `score(model, bytes, offsets)`.
+
+    Only the texts go to Python and only scores come back.  A column of the name
+    `into` is replaced; `fresh` gives a name that is free.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches, "text"):
-            found = pa.array(score(shared.value, data, offsets), pa.float64())
-            yield pa.RecordBatch.from_arrays([*rows.columns, found], [*rows.schema.names, "score"])
+    @F.arrow_udf("double")
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            batch = pa.RecordBatch.from_arrays([text], ["text"])
+            found = [pa.array(score(shared.value, data, offsets), pa.float64()) for _, data, offsets in pieces([batch], "text")]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.float64())
 
-    return source.mapInArrow(run, widened(source.schema, score=DoubleType()))
+    return documents.drop(into).withColumn(into, scores("text"))

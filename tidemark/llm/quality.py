@@ -9,8 +9,9 @@ SAMPLE labelled documents; a part of them sets the temperature of its
 probabilities.
 
 Cases: an empty or null text has the features of no tokens, zeros, and gets a
-score like any other; rows repeat as they come; without labels of both kinds
-every score is the share of label 1, or 0.5; other columns are ignored.
+score like any other; rows repeat as they come, a null doc_id has no label; without
+labels of both kinds every score is the share of label 1, or 0.5; other columns are
+carried along, but for one of the name of the result, which is replaced.
 """
 
 from collections.abc import Iterator
@@ -161,6 +162,6 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[
     return vectors, fit(x, table["label"].to_numpy().astype(float))
 
 
-def scored(documents: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """`documents` with the score of each row."""
-    return with_score(documents, (vectors, network), lambda own, data, offsets: own[1].score(features(data, offsets, own[0])))
+def scored(documents: DataFrame, vectors: np.ndarray, network: Network, into: str = "score") -> DataFrame:
+    """`documents` with the score of each row in the column `into`."""
+    return with_score(documents, (vectors, network), lambda own, data, offsets: own[1].score(features(data, offsets, own[0])), into)

@@ -34,7 +34,7 @@ ORACLES = {
         ), item_words AS (
             SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                        'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-            FROM benchmark WHERE item_id IS NOT NULL
+            FROM benchmark
         ), windows AS (
             SELECT DISTINCT item_id, least(len(w), 10) AS n,
                    array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS words
@@ -48,7 +48,7 @@ ORACLES = {
         ), hit AS (
             SELECT doc_id, count(DISTINCT p) AS n_hit FROM found, unnest(range(k, k + n)) AS t(p) GROUP BY doc_id
         ), items AS (
-            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+            SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
             FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id
         )
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,

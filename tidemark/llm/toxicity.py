@@ -19,8 +19,9 @@ about BLOCK grams.  Driver and tasks hold one block of a table at a time, so non
 dropped and memory stays bounded.
 
 Cases: an empty or null text has no evidence, zeros, and a score like any other;
-repeated rows are scored each; without labels of both kinds every score is 0;
-other columns are ignored.
+repeated rows are scored each, with a null doc_id too, which no label is of; without
+labels of both kinds every score is 0; other columns are carried along, but for one of
+the name of the result, which is replaced.
 """
 
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ SAMPLE = 20_000
 BLOCK = 1 << 21
 #: Models: of the one half of the documents, of the other, of all.
 HALVES, ALL = 2, 2
-_FLUSH = 3_000_000
+_FLUSH = 500_000
 _U = np.uint64
 
 
@@ -331,7 +332,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     return Model(_table(grams, ALL), _table(unmet, ALL), fit(x, table["label"].to_numpy().astype(float)))
 
 
-def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """`documents` with the score of each row."""
+def scored(documents: DataFrame, model: Model, into: str = "score") -> DataFrame:
+    """`documents` with the score of each row in the column `into`."""
     met, unmet = model.met, model.unmet
-    return with_score(documents, model.fit, lambda own, data, offsets: own.score(features(data, offsets, met, unmet)))
+    return with_score(documents, model.fit, lambda own, data, offsets: own.score(features(data, offsets, met, unmet)), into)

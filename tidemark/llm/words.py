@@ -1,6 +1,6 @@
 """Words of many texts at once: numpy over the bytes of an Arrow column.
 
-A batch is cut into pieces of a few MB, so a task's memory depends on the piece
+A batch is cut into pieces of a MB, so a task's memory depends on the piece
 and the longest text only.  Words get 64-bit hashes that depend on their bytes
 alone.
 """
@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql.types import StructField, StructType, DataType
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
