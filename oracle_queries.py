@@ -107,7 +107,7 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
     day_text = "strftime(o_orderdate, '%d/%m/%Y') || chr(9)"
     rest = "o_orderpriority || chr(9) || chr(9) || '0' || chr(9) || chr(9)"
 
-    return {
+    found = {
         "changelog_ingest": ingest,
         "changelog_ingest_stream": ingest,
         "changelog_epochs": (
@@ -224,3 +224,8 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
             f"FROM ({q18(*tables, bound)})"
         ),
     }
+    # Streams that keep up what a batch query gives.
+    kept = {"delete_by_key": "delete_by_key_stream", "guard_customer": "guard_customer_stream",
+            "running_quantity": "running_quantity_stream", "q18_stream_having": "q18_delta_join",
+            "q3_revenue": "q3_live_tuples"}
+    return found | {stream: found[batch] for batch, stream in kept.items()}

@@ -65,12 +65,20 @@ def having_row_changes(log: DataFrame, key: str, order: list[str], value: Column
 
     Rows of a key are taken in `order`; each gives no, one or two result rows.
     """
-    log = log.withColumn("change", value * F.col("w"))
-    has_value = F.col("change").isNotNull().cast("int")
-    log = running_sums(log, [key], order, {"now": F.col("change"), "n": F.col("w"), "values": has_value}, blocks)
+    rows = log.select(*dict.fromkeys([key, "epoch", "w", *order]), (value * F.col("w")).alias("change"))
+    return row_changes(running_sums(rows, [key], order, row_sums(F.col("change")), blocks), key, bound, name)
+
+
+def row_sums(change: Column) -> dict[str, Column]:
+    """What `row_changes` needs summed along a key, given a row's weighted value."""
+    return {"now": change, "n": F.col("w"), "values": change.isNotNull().cast("int")}
+
+
+def row_changes(rows: DataFrame, key: str, bound: float, name: str = "sum_qty") -> DataFrame:
+    """The steps of rows that have ``w``, ``change`` and the running `row_sums`."""
     # A NULL value moves no sum; the sum of no values is NULL.
-    had_values = F.col("values") > has_value
-    earlier = log.withColumns({
+    had_values = F.col("values") > F.col("change").isNotNull().cast("int")
+    earlier = rows.withColumns({
         "total_before": F.when(had_values, F.col("now") - F.coalesce("change", F.lit(0))),
         "n_before": F.col("n") - F.col("w"),
     })

@@ -1,8 +1,8 @@
 """Applying changes to a table: guards against bad changes, delete by key."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.operators.running import previous
+from tidemark.operators.running import Names, previous
 from tidemark.schemas import CHANGE_COLUMNS
 
 
@@ -14,12 +14,21 @@ def guard(log: DataFrame, keys: list[str], order: list[str], blocks: int | None
     so the sign of the change before tells which is the case.  `order` must tell
     a key's changes apart: an epoch may hold several, so it is not enough.
     """
+    tells_apart(order)
+    before = Names(log)("before")
+    seen = previous(log, keys, order, "w", before, blocks)
+    return seen.where(accepted(before)).drop(before)
+
+
+def tells_apart(order: list[str]) -> None:
     if set(order) <= {"epoch"}:
         raise ValueError("guard needs an order within the epoch, such as seq")
-    seen = previous(log, keys, order, "w", "before", blocks)
-    absent = F.coalesce(F.col("before"), F.lit(-1)) < 0
-    accepted = ((F.col("w") > 0) & absent) | ((F.col("w") < 0) & ~absent)
-    return seen.where(accepted).drop("before")
+
+
+def accepted(before: str) -> Column:
+    """Whether a change counts, by the sign of the key's change before it (NULL: none)."""
+    absent = F.coalesce(F.col(before), F.lit(-1)) < 0
+    return ((F.col("w") > 0) & absent) | ((F.col("w") < 0) & ~absent)
 
 
 def delete_by_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -27,8 +36,9 @@ def delete_by_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
     An inserted row stays iff no delete of its key comes later in `order`.
     """
-    place = F.struct(*order)
-    deletes = log.where(F.col("w") < 0).groupBy(*keys).agg(F.max(place).alias("deleted"))
-    inserts = log.where(F.col("w") > 0).withColumn("at", place)
-    left = inserts.join(deletes, keys, "left").where(F.col("deleted").isNull() | (F.col("at") > F.col("deleted")))
+    place, own = F.struct(*order), Names(log)
+    deletes = log.where(F.col("w") < 0).groupBy(*[F.col(k).alias(own(k)) for k in keys]).agg(F.max(place).alias(own("deleted")))
+    inserts = log.where(F.col("w") > 0).withColumn(own("at"), place)
+    left = inserts.join(deletes, [F.col(k) == F.col(own(k)) for k in keys], "left")
+    left = left.where(F.col(own("deleted")).isNull() | (F.col(own("at")) > F.col(own("deleted"))))
     return left.select(*[c for c in log.columns if c not in CHANGE_COLUMNS])

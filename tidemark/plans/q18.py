@@ -5,8 +5,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.having import having, having_changelog
 from tidemark.operators.lanes import LANES
-from tidemark.operators.zset import at_epochs, existing, net_changes, signed_sum, valid, weighted_join
+from tidemark.operators.zset import at_epochs, existing, net_changes, signed_sum, snapshot, valid, weighted_join
 from tidemark.plans.joins import customer_orders_lines, streamed
+from tidemark.streaming.delta import DeltaJoin, both, payload
 from tidemark.streaming.having import HavingLog, log_path
 from tidemark.streaming.runner import start, to_batches, to_parquet
 
@@ -146,3 +147,34 @@ def start_picked(customer: DataFrame, orders: DataFrame, large: DataFrame, out:
 def read_picked(spark: SparkSession, out: str, epoch: int | None = None) -> DataFrame:
     rows = net_changes(streamed(spark, out, epoch).drop("epoch"))
     return rows.where(F.col("w") > 0).drop("w")
+
+
+# --- over streams, with tables of what exists -------------------------------
+
+
+def delta_joins(customer: DataFrame, orders: DataFrame, large: DataFrame, path: str) -> tuple[DeltaJoin, DeltaJoin]:
+    """Orders with their large sums, and customers with these: each side kept as the rows that exist."""
+    orders, customer = payload(_orders(orders)), payload(_customers(customer))
+    picked = DeltaJoin(f"{path}/picked", orders, payload(large), ("o_orderkey", "l_orderkey"))
+    found = payload_of_log(picked)
+    return picked, DeltaJoin(f"{path}/found", customer, found, ("c_custkey", "o_custkey"))
+
+
+def payload_of_log(join: DeltaJoin):
+    return type(join.left)([*join.left.fields, *join.right.fields])
+
+
+def start_delta(customer: DataFrame, orders: DataFrame, large: DataFrame, path: str, checkpoint: str,
+                available_now: bool = False) -> list[StreamingQuery]:
+    """After `start_large`: both joins, the second on the first's log.  Read with `read_delta`."""
+    picked, found = delta_joins(customer, orders, large, path)
+    inputs = [both(_orders(orders), large), both(_customers(customer), picked.stream(customer.sparkSession))]
+    return [
+        start(stream, f"{checkpoint}-{name}", f"q18-{name}", to_batches(join.step), available_now)
+        for name, stream, join in zip(("picked-delta", "found-delta"), inputs, (picked, found))
+    ]
+
+
+def read_delta(found: DeltaJoin, spark: SparkSession, epoch: int | None = None) -> DataFrame:
+    """The result of the second of `delta_joins`, maybe as of an epoch."""
+    return snapshot(found.read(spark), epoch).select(*KEYS, "sum_qty")

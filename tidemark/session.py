@@ -83,14 +83,31 @@ def publish(df: DataFrame, folder: str, name: str, partitions: tuple[str, ...] =
     aside = f"{folder}/_aside/{name}"
     rows = df.hint("rebalance", *partitions) if partitions else df
     rows.write.mode("overwrite").partitionBy(*partitions).parquet(aside)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.rename(path(aside), path(target)):
+    system, own = _located(spark, aside)
+    if not system.rename(own, _located(spark, target)[1]):
         raise OSError(f"{aside} could not be renamed")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether `path` exists on its own file system."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return jvm_path.getFileSystem(conf).exists(jvm_path)
+    system, own = _located(spark, path)
+    return system.exists(own)
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    """`path`, as a folder that is there, so that a stream may wait for its first file."""
+    system, own = _located(spark, path)
+    system.mkdirs(own)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the library's own that nothing refers to any more."""
+    system, own = _located(spark, path)
+    system.delete(own, True)
+
+
+def _located(spark: SparkSession, path: str):
+    """The file system of a path, and the path on it."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), own
