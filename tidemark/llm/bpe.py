@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from tidemark.llm.words import widened
+from tidemark.llm.words import released, widened
 
 #: Fixed value: the public pattern that cuts text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -160,6 +160,31 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", into: str = "d
     return source.mapInArrow(run, schema)
 
 
+def round_trip(documents: DataFrame, path: str, column: str = "text", into: str = "token_ids",
+               back: str = "decoded") -> DataFrame:
+    """`documents` with the ids of each text and the text of the ids: `encode` and `decode` in one worker.
+
+    What the worker remembers goes with the task.
+    """
+    source = documents.drop(into, back)
+    schema = widened(source.schema, **{into: ArrayType(IntegerType()), back: StringType()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column))
+            for start in range(0, batch.num_rows, 64):
+                rows = batch.slice(start, 64)
+                ids = [own.encode(t or "") for t in texts.slice(start, 64).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())],
+                    [*rows.schema.names, into, back])
+        own.remembered.clear()
+        released()
+
+    return source.mapInArrow(run, schema)
+
+
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text: both ways in one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ and the longest text only.  Words get 64-bit hashes that depend on their bytes
 alone.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
+_C = ctypes.CDLL(None)
 
 
 def charset(*ranges: tuple[int, int]) -> np.ndarray:
@@ -51,6 +53,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
             low, high = int(offsets[start]), int(offsets[stop])
             yield batch.slice(start, stop - start), data[low:high], offsets[start:stop + 1] - low
             start = stop
+    released()
+
+
+def released() -> None:
+    """Give memory that is free back to the system: a worker waits for its next task with what it needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_C, "malloc_trim", None):
+        trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
