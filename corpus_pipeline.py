@@ -39,10 +39,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and the text that they decode to."""
+    """doc_id, the ids of each text, and the text that they decode to; a null text has none and decodes to an empty one."""
     prepare(spark)
-    path = f"{TOKENIZERS}/byte_bpe_50k.json"
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path).drop("text")
+    return bpe.round_trip(docs.select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json").drop("text")
 
 
 STAGES = [
