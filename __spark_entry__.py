@@ -17,13 +17,16 @@ from tidemark.functions.columns import format_day, parse_day, result_text
 from tidemark.operators import zset
 from tidemark.operators.having import having_changelog, having_row_changes, row_changes, row_sums
 from tidemark.operators.maintain import delete_by_key, guard
+from tidemark.operators.support import anti_join_changes, semi_join_changes
 from tidemark.plans import joins, q3, q18
 from tidemark.schemas import DELETE_KEYS, canonical
 from tidemark.session import prepare, work_dir, written
 from tidemark.sources import table_log, text_log
 from tidemark.streaming.guard import GuardedLog
 from tidemark.streaming.delta import payload
+from tidemark.streaming.gate import EpochGate, marked
 from tidemark.streaming.having import HavingLog
+from tidemark.streaming.history import History
 from tidemark.streaming.ingest import ingest
 from tidemark.streaming.rows import DeletedByKey, GuardedKeys, RunningLog
 from tidemark.streaming.runner import start, to_batches
@@ -279,6 +282,16 @@ def snapshot_as_of(spark, sf_dir):
     return _plain(zset.snapshot(_log(spark, sf_dir, "lineitem"), epoch=1))
 
 
+def snapshot_as_of_intervals(spark, sf_dir):
+    """The orders at every epoch, read from intervals that a stream keeps."""
+    base = work_dir(spark, "history")
+    log = _log(spark, sf_dir, "orders")
+    kept = History(f"{base}/kept", payload(log))
+    _play_steps(spark, log, "epoch", LAST_EPOCH, base, kept.step)
+    epochs = [kept.as_of(spark, LAST_EPOCH, epoch).withColumn("epoch", F.lit(epoch)) for epoch in range(LAST_EPOCH + 1)]
+    return _plain(epochs[0].unionByName(epochs[1]).unionByName(epochs[2]))
+
+
 def change_counts(spark, sf_dir):
     return _plain(zset.change_counts(_log(spark, sf_dir, "orders"), "o_custkey"))
 
@@ -376,6 +389,21 @@ def semi_join_large_orders(spark, sf_dir):
     return _plain(orders.join(large, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"))
 
 
+def _orders_and_large(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    _, orders, lineitem = [zset.valid(log) for log in _logs(spark, sf_dir)]
+    return [orders, having_changelog(lineitem, "l_orderkey", F.col("l_quantity"), BOUND)]
+
+
+def semi_join_changelog(spark, sf_dir):
+    """What each epoch changed among the large orders: a sum that merely changes moves no order."""
+    return _plain(semi_join_changes(*_orders_and_large(spark, sf_dir), ("o_orderkey", "l_orderkey")))
+
+
+def anti_join_changelog(spark, sf_dir):
+    """The same of the orders that are not large."""
+    return _plain(anti_join_changes(*_orders_and_large(spark, sf_dir), ("o_orderkey", "l_orderkey")))
+
+
 # --- aggregates -------------------------------------------------------------
 
 
@@ -484,6 +512,30 @@ def q18_delta_join(spark, sf_dir):
     return _plain(q18.read_delta(q18.delta_joins(customer, orders, large, f"{base}/delta")[1], spark))
 
 
+def q18_complete_epochs(spark, sf_dir):
+    """The result of each epoch, shown when the slowest of three sources has finished it."""
+    base = work_dir(spark, "gate")
+    logs = dict(zip(TAGS, _logs(spark, sf_dir)))
+    gate = EpochGate(f"{base}/gate", {tag: payload(log) for tag, log in logs.items()})
+    streams = {}
+
+    def result(tables: dict[str, DataFrame], last: int) -> DataFrame:
+        return q18.by_epoch(*[tables[tag] for tag in TAGS], last=last, bound=BOUND)
+
+    for epoch in range(LAST_EPOCH + 1):
+        for tag, log in logs.items():
+            rows = marked(log.where(F.col("epoch") == epoch), epoch)
+            rows.write.mode("append").parquet(f"{base}/in/{tag}")
+            if tag not in streams:
+                stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in/{tag}")
+                streams[tag] = start(stream, f"{base}/checkpoint-{tag}", f"gate-{tag}", to_batches(gate.take(tag)))
+            streams[tag].processAllAvailable()
+            gate.release(spark, result)
+    for query in streams.values():
+        query.stop()
+    return _plain(gate.read(spark))
+
+
 # --- Q3 ---------------------------------------------------------------------
 
 
@@ -576,6 +628,7 @@ QUERIES = {
     "date_roundtrip": date_roundtrip,
     "snapshot_customer": snapshot_customer,
     "snapshot_as_of": snapshot_as_of,
+    "snapshot_as_of_intervals": snapshot_as_of_intervals,
     "change_counts": change_counts,
     "delete_by_key": delete_by_key_query,
     "delete_by_key_stream": delete_by_key_stream,
@@ -587,6 +640,8 @@ QUERIES = {
     "join_weighted_delta": join_weighted_delta,
     "join_three_way": join_three_way,
     "semi_join_large_orders": semi_join_large_orders,
+    "semi_join_changelog": semi_join_changelog,
+    "anti_join_changelog": anti_join_changelog,
     "having_large_orders": having_large_orders,
     "having_changelog": having_changes,
     "having_changelog_stream": having_changes_stream,
@@ -598,6 +653,7 @@ QUERIES = {
     "q18_rewritten": q18_rewritten,
     "q18_by_epoch": q18_by_epoch,
     "q18_by_epoch_orphans": q18_by_epoch_orphans,
+    "q18_complete_epochs": q18_complete_epochs,
     "q18_stream_netted": q18_stream_netted,
     "q18_stream_having": q18_stream_having,
     "q18_delta_join": q18_delta_join,

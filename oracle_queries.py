@@ -55,6 +55,10 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
                 f"(SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING sum(l_quantity) > {above}) "
                 f"GROUP BY {Q18_KEYS}")
 
+    def by_large(within: str):
+        return lambda epoch: (f"(SELECT * FROM {live('orders', epoch)} WHERE o_orderkey {within} "
+                              f"(SELECT l_orderkey FROM {large(epoch)}))")
+
     def orphaned(epoch: int) -> list[str]:
         return [live(tag, epoch, orphans[tag]) for tag in ("customer", "orders", "lineitem")]
 
@@ -136,6 +140,10 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
         ),
         "snapshot_customer": f"SELECT * FROM {live('customer')}",
         "snapshot_as_of": f"SELECT *, CAST(1 AS BIGINT) AS w FROM {live('lineitem', 1)}",
+        "snapshot_as_of_intervals": " UNION ALL ".join(
+            f"SELECT *, CAST(1 AS BIGINT) AS w, CAST({e} AS BIGINT) AS epoch FROM {live('orders', e)}"
+            for e in range(last + 1)
+        ),
         "change_counts": (
             "SELECT o_custkey, count(*) FILTER (WHERE w > 0) AS inserts, count(*) FILTER (WHERE w < 0) AS deletes, "
             f"CAST(sum(w) AS BIGINT) AS live FROM {logs['orders']} GROUP BY o_custkey"
@@ -170,6 +178,8 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
             f"SELECT * FROM {tables[1]} WHERE o_orderkey IN "
             f"(SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > {bound})"
         ),
+        "semi_join_changelog": steps(by_large("IN"), names("orders")),
+        "anti_join_changelog": steps(by_large("NOT IN"), names("orders")),
         "having_large_orders": (
             "SELECT l_orderkey, sum(l_quantity) AS sum_qty FROM lineitem "
             f"GROUP BY l_orderkey HAVING sum(l_quantity) > {bound}"
@@ -211,6 +221,9 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
         "q18_by_epoch_orphans": " UNION ALL ".join(
             f"SELECT CAST({e} AS BIGINT) AS epoch, * FROM ({q18(*orphaned(e), bound)})" for e in range(last + 1)
         ),
+        "q18_complete_epochs": " UNION ALL ".join(
+            f"SELECT CAST({e} AS BIGINT) AS epoch, * FROM ({q18_at(e)})" for e in range(last + 1)
+        ),
         "q18_stream_netted": q18_at(last),
         "q18_stream_having": q18_at(last),
         "q3_revenue": q3(*lives),
