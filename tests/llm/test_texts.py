@@ -56,6 +56,22 @@ def test_word_encoder_is_the_librarys():
         assert np.frombuffer(ids, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_with_another_vocabulary():
+    own, library = token_files.Encoder(BYTE), Tokenizer.from_file(BYTE)
+    assert not own.by_words and token_files.Encoder(WORD).by_words
+    texts = odd_texts(500) + ["Hello, World. It's  two spaces\nand a line."]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_token_files_tell_no_id_from_the_smallest(spark):
+    documents = spark.createDataFrame([(None, "b"), (-(1 << 63), "a"), (None, "c"), (7, "d")], "doc_id bigint, text string")
+    folder = work_dir(spark, "tokens")
+    token_files.write(documents, folder, WORD, 1)
+    found = token_files.read(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, None, -(1 << 63), 7]
+
+
 def test_token_files_round_trip(spark):
     documents = brute.odd_documents(spark, many=15)
     documents = documents.union(documents.where("doc_id = 12").limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))

@@ -8,9 +8,10 @@ sums over the manifest give each partition's base, so document i of a partition
 begins at base + offsets[i] of the whole.  Readers map the files into memory.
 
 Cases: a null text is an empty one and holds only the end id; a null doc_id sorts
-first and is stored as the smallest 64-bit number; equal doc_ids keep one row
-each, ordered by text; an empty table has an empty manifest; other columns are
-not stored.
+first and is stored as the smallest 64-bit number, and the manifest tells how many
+of a partition's first documents have none, so that number itself is an id like any
+other; equal doc_ids keep one row each, ordered by text; an empty table has an empty
+manifest; other columns are not stored.
 """
 
 import json
@@ -33,14 +34,23 @@ from tidemark.llm.words import pieces
 REMEMBERED, LONGEST = 1_000_000, 64
 _MARK = re.compile(r"([.,])(?<=[a-z0-9\xdf-\xf6\xf8-\xff][.,])(?=[ \n])")
 NULL_ID = -(1 << 63)
-MANIFEST = "part int, ids_file string, offsets_file string, docs_file string, width int, n_docs bigint, n_tokens bigint"
+MANIFEST = ("part int, ids_file string, offsets_file string, docs_file string, width int, n_docs bigint, "
+            "n_null bigint, n_tokens bigint")
+# The steps of a tokenizer file under which a text's words may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 class Encoder:
     """A tokenizer of the tokenizers library that remembers the words it has met.
 
-    Its pre-tokens never hold white space and normalisation never reaches across
-    it, so a text's ids are those of its parts between spaces or line ends.
+    That is for files of the steps above: their pre-tokens never hold white space and
+    normalisation never reaches across it, so a text's ids are those of its parts between
+    spaces or line ends.  Under any other file texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,13 +62,17 @@ class Encoder:
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or "\0"
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = wordwise(steps)
+        suffix = steps["model"].get("end_of_word_suffix") or "\0"
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.remembered: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of a flat array."""
+        if not self.by_words:
+            return [self._bytes(found) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [self._words(text) for text in texts]
         known = self.remembered
         if new := {w for words in cut for w in words if w not in known}:
@@ -91,7 +105,17 @@ class Encoder:
                 known[word] = ids[low:high].tobytes()
             words = [w for w in words if w not in known]
         for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            known[word] = np.array(found.ids, self.dtype).tobytes()
+            known[word] = self._bytes(found)
+
+    def _bytes(self, found) -> bytes:
+        return np.array(found.ids, self.dtype).tobytes()
+
+
+def wordwise(steps: dict) -> bool:
+    """Whether a tokenizer file's steps are those that `Encoder` may follow word by word."""
+    plain = all("<|" in t["content"] and not any(c.isspace() for c in t["content"])
+                and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in steps["added_tokens"])
+    return plain and steps["normalizer"] == NORMALIZER and steps["pre_tokenizer"] == PRE_TOKENIZER and not steps["model"].get("dropout")
 
 
 def _latin(text: str) -> bool:
@@ -114,7 +138,7 @@ def write(documents: DataFrame, folder: str, path: str, end_id: int) -> DataFram
         own = encoder(path)
         end = np.array([end_id], own.dtype).tobytes()
         names = [new_file(folder, s) for s in (".ids", ".offsets", ".docs")]
-        n_docs, n_tokens = 0, 0
+        n_docs, n_null, n_tokens = 0, 0, 0
         with writer(names[0]) as ids, writer(names[1]) as offsets, writer(names[2]) as docs:
             offsets.write(np.zeros(1, "<i8").tobytes())
             for rows, _, _ in pieces(batches, "text"):
@@ -124,12 +148,13 @@ def write(documents: DataFrame, folder: str, path: str, end_id: int) -> DataFram
                 offsets.write((n_tokens + np.cumsum(lengths)).astype("<i8").tobytes())
                 docs.write(rows.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 n_docs += rows.num_rows
+                n_null += rows.column(0).null_count
                 n_tokens += int(lengths.sum())
         if n_docs:
-            row = [TaskContext.get().partitionId(), *names, own.width, n_docs, n_tokens]
+            row = [TaskContext.get().partitionId(), *names, own.width, n_docs, n_null, n_tokens]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], t) for v, t in zip(row, (pa.int32(), *[pa.string()] * 3, pa.int32(), pa.int64(), pa.int64()))],
-                ["part", "ids_file", "offsets_file", "docs_file", "width", "n_docs", "n_tokens"])
+                [pa.array([v], t) for v, t in zip(row, (pa.int32(), *[pa.string()] * 3, pa.int32(), *[pa.int64()] * 3))],
+                ["part", "ids_file", "offsets_file", "docs_file", "width", "n_docs", "n_null", "n_tokens"])
 
     ranged = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
@@ -165,7 +190,7 @@ def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
                     last = pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64()) if digest else pa.array(
                         [x.astype("i8") for x in lists], pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(row["base"] + at[:-1]),
+                        [pa.array(doc_ids, mask=np.arange(low, low + len(doc_ids)) < row["n_null"]), pa.array(row["base"] + at[:-1]),
                          pa.array(np.diff(at)), last],
                         ["doc_id", "start", "n_tokens", kind.split()[0]])
 
