@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 import oracle_queries
 from tidemark.functions.columns import format_day, parse_day, result_text
 from tidemark.operators import zset
+from tidemark.operators.audit import suspects
 from tidemark.operators.having import having_changelog, having_row_changes, row_changes, row_sums
 from tidemark.operators.maintain import delete_by_key, guard
 from tidemark.operators.support import anti_join_changes, semi_join_changes
@@ -32,6 +33,8 @@ from tidemark.streaming.rows import DeletedByKey, GuardedKeys, RunningLog
 from tidemark.streaming.runner import start, to_batches
 
 BOUND = 200
+# Sums above this are off by one in the result that `epoch_audit` looks at.
+PLANTED = 300
 LAST_EPOCH = 2
 PRIORITY = "o_orderpriority"
 TAGS = ("customer", "orders", "lineitem")
@@ -418,12 +421,25 @@ def having_changes(spark, sf_dir):
 
 def having_changes_stream(spark, sf_dir):
     """The same change log, kept up by a stream, epoch by epoch."""
+    return _plain(_kept_having(spark, sf_dir))
+
+
+def epoch_audit(spark, sf_dir):
+    """The kept change log with wrong sums planted in it, held against the batch query: the rows that differ."""
+    kept = _kept_having(spark, sf_dir).select("w", "epoch", "l_orderkey", "sum_qty")
+    kept = kept.withColumn("sum_qty", F.col("sum_qty") + F.when(F.col("sum_qty") > PLANTED, 1).otherwise(0))
+    wanted = having_changelog(_log(spark, sf_dir, "lineitem"), "l_orderkey", F.col("l_quantity"), BOUND)
+    types = {c: F.col(c).cast(kind) for c, kind in kept.dtypes}
+    return _plain(suspects(kept, wanted.withColumns(types).select(*kept.columns), ["l_orderkey"]))
+
+
+def _kept_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_dir(spark, "having")
     played = Played(spark, sf_dir, base, ("lineitem",))
     kept = HavingLog(f"{base}/having", "l_orderkey", F.col("l_quantity"), BOUND, compact_every=2)
     changes = played.stream("lineitem").select("w", "epoch", "l_orderkey", "l_quantity")
     played.play(start(changes, f"{base}/checkpoint", "having", to_batches(kept.step)))
-    return _plain(spark.read.parquet(kept.log_path).drop("batch"))
+    return spark.read.parquet(kept.log_path).drop("batch")
 
 
 def running_quantity(spark, sf_dir):
@@ -645,6 +661,7 @@ QUERIES = {
     "having_large_orders": having_large_orders,
     "having_changelog": having_changes,
     "having_changelog_stream": having_changes_stream,
+    "epoch_audit": epoch_audit,
     "running_quantity": running_quantity,
     "running_quantity_stream": running_quantity_stream,
     "running_quantity_nulls": running_quantity_nulls,
@@ -668,7 +685,7 @@ QUERIES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql(CHANGES, REPEATED, ORPHANS, BOUND, LAST_EPOCH) | LLM_SQL
+    return oracle_queries.oracle_sql(CHANGES, REPEATED, ORPHANS, BOUND, LAST_EPOCH, PLANTED) | LLM_SQL
 
 
 # The training-data operators are a part of their own; all else works without them.

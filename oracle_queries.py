@@ -33,7 +33,7 @@ def log(tag: str, changes: list) -> str:
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
-def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: int) -> dict[str, str]:
+def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: int, planted: int) -> dict[str, str]:
     logs = {tag: log(tag, changes[tag]) for tag in COLUMNS}
 
     def live(tag: str, epoch: int = last, without: str = "false") -> str:
@@ -186,6 +186,12 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
         ),
         "having_changelog": having_log,
         "having_changelog_stream": having_log,
+        "epoch_audit": (
+            "SELECT epoch, CAST(sum(w) AS BIGINT) AS w, l_orderkey, sum_qty FROM ("
+            f"SELECT epoch, w, l_orderkey, sum_qty + 1 AS sum_qty FROM ({having_log}) WHERE sum_qty > {planted} UNION ALL "
+            f"SELECT epoch, -w, l_orderkey, sum_qty FROM ({having_log}) WHERE sum_qty > {planted}) "
+            "GROUP BY ALL HAVING sum(w) <> 0"
+        ),
         "running_quantity": (
             "WITH sums AS (SELECT *, sum(w * l_quantity) OVER win AS total, sum(w) OVER win AS n, "
             f"row_number() OVER win AS place FROM {logs['lineitem']} WINDOW win AS ({ordered})), "
