@@ -29,6 +29,7 @@ from tidemark.streaming.gate import EpochGate, marked
 from tidemark.streaming.having import HavingLog
 from tidemark.streaming.history import History
 from tidemark.streaming.ingest import ingest
+from tidemark.streaming.rolled import RolledOutput
 from tidemark.streaming.rows import DeletedByKey, GuardedKeys, RunningLog
 from tidemark.streaming.runner import start, to_batches
 
@@ -615,6 +616,18 @@ def result_text_query(spark, sf_dir):
     return rows.select(text.alias("result"))
 
 
+def rolled_output(spark, sf_dir):
+    """The orders' changes as lines of files rolled by size, what is left at the end."""
+    base = work_dir(spark, "rolled")
+    log = _log(spark, sf_dir, "orders")
+    out = RolledOutput(f"{base}/out", most_bytes=1 << 20)
+    text = F.concat_ws("\t", "epoch", "w", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    lines = log.select("epoch", text.alias("value"))
+    _play_steps(spark, lines, "epoch", LAST_EPOCH, base, lambda batch, number: out.step(batch.select("value"), number))
+    out.roll(spark, now=True)
+    return out.read(spark)
+
+
 # --- contract ---------------------------------------------------------------
 
 
@@ -681,6 +694,7 @@ QUERIES = {
     "q3_totals_stream": q3_totals_stream,
     "q3_live_tuples": q3_live_tuples,
     "result_text": result_text_query,
+    "rolled_output": rolled_output,
 }
 
 

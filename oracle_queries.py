@@ -219,6 +219,10 @@ def oracle_sql(changes: dict, repeated: list, orphans: dict, bound: int, last: i
             f"OVER (PARTITION BY {Q3_KEYS} ORDER BY epoch, c_custkey, l_partkey, l_extendedprice, l_discount "
             "ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS revenue FROM j"
         ),
+        "rolled_output": (
+            "SELECT epoch || chr(9) || w || chr(9) || o_orderkey || chr(9) || o_custkey || chr(9) || o_orderstatus "
+            f"|| chr(9) || o_orderpriority AS value FROM {logs['orders']}"
+        ),
         "q18_batch": q18(*tables, 270),
         "q18_rewritten": q18(*tables, 300),
         "q18_by_epoch": " UNION ALL ".join(

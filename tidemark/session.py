@@ -68,21 +68,22 @@ def settings(spark: SparkSession, values: dict[str, str]):
                 spark.conf.set(key, value)
 
 
-def publish(df: DataFrame, folder: str, name: str, partitions: tuple[str, ...] = ()) -> None:
+def publish(df: DataFrame, folder: str, name: str, partitions: tuple[str, ...] = (), text: bool = False) -> None:
     """Write `df` as ``folder/name``, which appears whole or not at all.
 
     It is written aside and then renamed, so a reader that takes files as they
     come never sees those of a write that was lost half way.  A folder that is
     there already stays as it is: running a batch again gives no new files.
     Wants a file system whose rename of a folder is atomic, as HDFS's is.
-    Rows of one of the `partitions` go to one file, or some if they are many.
+    Rows of one of the `partitions` go to one file, or some if they are many.  With
+    `text` they are lines, dealt to tasks as `df` has them.
     """
     spark, target = df.sparkSession, f"{folder}/{name}"
     if exists(spark, target):
         return
     aside = f"{folder}/_aside/{name}"
-    rows = df.hint("rebalance", *partitions) if partitions else df
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(aside)
+    rows = df.hint("rebalance", *partitions) if partitions and not text else df
+    rows.write.mode("overwrite").partitionBy(*partitions).format("text" if text else "parquet").save(aside)
     system, own = _located(spark, aside)
     if not system.rename(own, _located(spark, target)[1]):
         raise OSError(f"{aside} could not be renamed")
