@@ -1,5 +1,6 @@
 """Vectors, URL rules, archives and shards against plain versions."""
 
+import hashlib
 import math
 import random
 import re
@@ -119,32 +120,96 @@ def test_loser_tree_merges_like_sorting():
         assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
 
 
-def test_archives_round_trip(spark):
+def odd_pages(spark):
     html = [None, "", "<p>a</p>", "<p>a</p>", "é\r\n\r\nWARC/1.1\r\n中" * 50, "x" * 300_000, ""]
-    urls = [None, "http://b.a.net/x", "http://a.net/", "http://a.net/", "bad\r\nurl: 1", "http://é.org/", "http://a.net/"]
+    urls = [None, "http://b.a.net/x", "http://a.net/", "http://a.net/", "bad\r\nurl: 1", "http://é.org/", "http://A.net/#x"]
     rows = [(k, urls[k % 7], html[k % 7], "x") for k in range(40)] + [(3, urls[3], html[3], "x")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, file string").repartition(5)
-    captures = warc.write(pages, work_dir(spark, "warc"))
-    index = written(warc.merged(captures), "index")
-    parts = index.rdd.mapPartitions(lambda it: [[(r.url_key, r.stamp, r.page_id) for r in it]]).collect()
-    for part in parts:
-        assert part == sorted(part)
-    starts = sorted(p for p in parts if p)
-    assert all(a[-1] <= b[0] for a, b in zip(starts, starts[1:]))
+    rows += [(None, "http://a.net/", "<p>a</p>", "x"), (None, "http://a.net/", "alone", "x"), (None, "http://a.net/", "alone", "x")]
+    return rows, spark.createDataFrame(rows, "page_id bigint, url string, html string, file string").repartition(5)
+
+
+def history(rows) -> list[tuple]:
+    """What the archives must give, in the order of the index, by one plain sort."""
     first = {}
     for k, _, h, _ in rows:
-        first[h or ""] = min(k, first.get(h or "", k))
-    want = sorted(((k, len((h or "").encode()), warc.digest((h or "").encode()), "response" if first[h or ""] == k else "revisit",
-                    None if first[h or ""] == k else first[h or ""]) for k, _, h, _ in rows), key=repr)
-    got = brute.rows(warc.read(spark, index), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    assert got == want
+        if k is not None:
+            first[h or ""] = min(k, first.get(h or "", k))
+    key = {None: "", "http://b.a.net/x": "net,a,b)/x", "http://a.net/": "net,a)/", "http://A.net/#x": "net,a)/",
+           "bad\r\nurl: 1": ")", "http://é.org/": "org,é)/"}
+    ordered = sorted((key[u], k is not None, k or 0, hashlib.sha1((h or "").encode()).hexdigest(), h or "") for k, u, h, _ in rows)
+    out = []
+    for place, (url_key, there, k, _, h) in enumerate(ordered):
+        same = place and ordered[place - 1][0] == url_key
+        before = ordered[place - 1][2] if same and ordered[place - 1][1] else None
+        refers_to = first.get(h) if not (there and k == first.get(h)) else None
+        out.append((k if there else None, len(h.encode()), warc.digest(h.encode()), "response" if refers_to is None else "revisit",
+                    refers_to, place, before))
+    return out
+
+
+NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "place", "previous"]
+
+
+@pytest.mark.parametrize("fan_in, range_rows, block_rows", [(128, 20_000, 512), (2, 4, 2), (3, 7, 1), (128, 1, 3)])
+def test_archives_round_trip(spark, fan_in, range_rows, block_rows):
+    rows, pages = odd_pages(spark)
+    runs = warc.write(pages, work_dir(spark, "warc"), block_rows=block_rows)
+    index = written(warc.merged(runs, fan_in, range_rows, block_rows), "index")
+    got = sorted((tuple(r) for r in warc.read(spark, index).select(*NAMES).collect()), key=lambda r: r[5])
+    assert got == history(rows)
+
+
+def test_archives_of_nothing(spark):
+    _, pages = odd_pages(spark)
     nothing = warc.write(pages.limit(0), work_dir(spark, "warc"))
     assert warc.read(spark, warc.merged(nothing)).count() == 0
 
 
+def test_merge_holds_a_block_of_each_run(spark, tmp_path, monkeypatch):
+    """However long the runs, the merge of a range has read no more blocks than it has given rows of, and one a run."""
+    runs, blocks = 5, 40
+    parts = []
+    for r in range(runs):
+        out = warc.RunWriter(str(tmp_path), r)
+        told = []
+        for k in range(blocks * warc.BLOCK_ROWS):
+            told += out.add((f"k{k:07d}", "20240101000000", k * runs + r, "", f"f{r}", k, 1, "response", None))
+        parts.append(told + out.close())
+    assert all(len(p) == blocks for p in parts)
+    read = []
+    plain = warc.reader
+    monkeypatch.setattr(warc, "reader", lambda path: read.append(path) or plain(path))
+    taken = [0] * runs
+
+    def counted(r):
+        for item in warc._cursor(parts[r][0]["path"], 0, blocks - 1, None, None):
+            taken[r] += 1
+            yield item
+
+    last = None
+    for n, (key, _) in enumerate(warc.LoserTree([counted(r) for r in range(runs)], warc._by_key), 1):
+        assert last is None or last < key
+        last = key
+        assert sum(taken) <= n + runs
+    assert n == runs * blocks * warc.BLOCK_ROWS and len(read) == runs
+
+
+def test_a_range_opens_runs_where_it_begins(spark):
+    pages = spark.range(4000).selectExpr("id AS page_id", "concat('http://h', id % 50, '.net/') AS url", "'' AS html").repartition(3)
+    runs = warc.write(pages, work_dir(spark, "warc"), block_rows=20)
+    cuts = warc._cuts(runs, 500)
+    assert len(cuts) >= 4 and cuts == sorted(set(cuts))
+    assert runs.count() >= 200
+    index = warc.merged(runs, range_rows=500)
+    got = [tuple(r) for r in index.orderBy("place").select("url_key", "page_id", "previous", "place").collect()]
+    want = sorted((f"net,h{k % 50})/", k) for k in range(4000))
+    assert [r[:2] for r in got] == want and [r[3] for r in got] == list(range(4000))
+    assert [r[2] for r in got] == [want[k - 1][1] if k and want[k - 1][0] == want[k][0] else None for k in range(4000)]
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, None, "ab"), (2, None, "ab"), (3, None, "abcd"), (4, None, "abcd")], "page_id bigint, url string, html string")
-    captures = warc.write(pages, work_dir(spark, "warc"), at_least=3)
+    captures = warc.merged(warc.write(pages, work_dir(spark, "warc"), at_least=3))
     assert brute.rows(captures, "page_id", "refers_to") == [(1, None), (2, None), (3, None), (4, 3)]
 
 

@@ -49,8 +49,8 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.write(_table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
-    index = written(warc.merged(captures), "index")
+    runs = warc.write(_table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
+    index = written(warc.merged(runs), "index")
     return warc.read(spark, index)
 
 

@@ -73,14 +73,24 @@ ORACLES = {
         FROM embeddings LEFT JOIN degrees d ON vec_id = d.a LEFT JOIN roots r ON vec_id = r.a
     """,
     "op6_warc": """
-        WITH payloads AS (
-            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages
+        WITH parts AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha,
+                   CASE WHEN url IS NULL THEN '' ELSE array_to_string(list_reverse(string_split(translate(
+                       regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '.')), ',') || ')' || lower(regexp_extract(url, '^.*?://[^/?#]*([^#]*)', 1)) END AS url_key,
+                   (page_id % 315360000 + 315360000) % 315360000 AS stamp
+            FROM pages
+        ), payloads AS (
+            SELECT page_id, payload_bytes, sha,
+                   row_number() OVER (ORDER BY url_key, stamp, page_id, sha) - 1 AS place,
+                   lag(page_id) OVER (PARTITION BY url_key ORDER BY stamp, page_id, sha) AS previous
+            FROM parts
         ), firsts AS (SELECT sha, min(page_id) AS first_page FROM payloads GROUP BY sha)
         SELECT page_id, payload_bytes, array_to_string(list_transform(range(8), lambda k:
                    array_to_string(list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                        ((('0x' || substr(sha, 5 * k + 1, 5))::BIGINT >> (15 - 5 * j)) & 31)::BIGINT + 1, 1)), '')), '') AS payload_digest,
                CASE WHEN page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN page_id > first_page THEN first_page END AS refers_to
+               CASE WHEN page_id > first_page THEN first_page END AS refers_to, place, previous
         FROM payloads JOIN firsts USING (sha)
     """,
     "op8_jaccard": """

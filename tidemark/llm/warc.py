@@ -1,45 +1,75 @@
 """WARC archives of pages, and a globally ordered index of their captures.
 
 Each task writes one archive (a gzip member per record) in the order of URL key
-and timestamp, so its captures form a sorted run.  The runs are dealt into key
-ranges; within a range a loser tree merges all runs' captures, so the ranges
-together are the captures' history, ordered by URL key and timestamp.
+and timestamp, and beside it a run: a file of its captures in blocks of Arrow.
+What Spark carries of a run is one row per block, with its first and last key.
+
+The index is an external merge of these runs.  Cuts between key ranges come from
+the blocks' first keys; a task per range opens each run at the block where its
+range begins and reads one block at a time, and a loser tree yields the captures
+in order.  So a task holds a block per run, however large the range.  More runs
+than `FAN_IN` are first merged to fewer, in passes.  The captures' places, and
+the capture before each of the same URL, are told from that order alone.
 
 Of records with equal payloads the one with the smallest page_id is a response
 and the others revisit it.
 
 Cases: a null or empty html is an empty payload; a null url has an empty key and
 no target line; rows with the response's own page_id and payload are responses
-too; a null page_id sorts first; an empty table gives no archive; other columns
-are not stored; line ends in a url are percent-encoded.
+too; a null page_id sorts first in the history, but is larger than any other when
+the response is chosen, and payloads that only such rows have are responses; an
+empty table gives no archive; other columns are not stored; line ends in a url
+are percent-encoded; captures equal in key, time, page_id and payload follow each
+other in the order of their files and offsets.
 """
 
 import base64
 import gzip
 import hashlib
 import io
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.files import new_file, reader, writer
 from tidemark.llm.url_filter import host
-from tidemark.session import written
-
-CAPTURE = ("url_key string, stamp string, page_id bigint, record_type string, refers_to bigint, "
-           "file string, offset bigint, length bigint, run int")
-KEYS = ["url_key", "stamp", "page_id", "file", "offset"]
+from tidemark.session import work_dir, written
+
+KEYS = ["url_key", "stamp", "page_id", "sha", "file", "offset"]
+KEY = "url_key string, stamp string, page_id bigint, sha string, file string, offset bigint"
+CAPTURE = f"{KEY}, length bigint, record_type string, refers_to bigint"
+#: A block of a run: its file and number there, its captures and the keys of the first and the last.
+BLOCKS = f"run int, path string, block int, n bigint, first struct<{KEY}>, last struct<{KEY}>"
+#: Most captures of a block, and characters of URL keys after which it is full.
+BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 18
+#: Most runs that one task merges.
+FAN_IN = 128
+#: Captures of a key range, as long as there are no more ranges than the second; then ranges grow.
+RANGE_ROWS, MAX_RANGES = 20_000, 10_000
+#: Characters of a URL key that a cut keeps.  A longer key's captures fall on one side of it, whole.
+CUT_CHARS = 1024
+
+_KEY_FIELDS = [("url_key", pa.string()), ("stamp", pa.string()), ("page_id", pa.int64()), ("sha", pa.string()),
+               ("file", pa.string()), ("offset", pa.int64())]
+_CAPTURE = pa.schema([*_KEY_FIELDS, ("length", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+_BLOCKS = pa.schema([("run", pa.int32()), ("path", pa.string()), ("block", pa.int32()), ("n", pa.int64()),
+                     ("first", pa.struct(_KEY_FIELDS)), ("last", pa.struct(_KEY_FIELDS))])
 
 
 class LoserTree:
-    """Merges sorted sequences: each inner node keeps the loser of its match, the winner moves up."""
+    """Merges sorted sequences: each inner node keeps the loser of its match, the winner moves up.
 
-    def __init__(self, runs: Sequence[Sequence], key: Callable):
-        self.runs, self.key = runs, key
+    Of each sequence it holds the next item only.
+    """
+
+    def __init__(self, runs: Sequence[Iterable], key: Callable):
+        self.runs, self.key = [iter(r) for r in runs], key
         self.size = max(1, len(runs))
-        self.place = [0] * len(runs)
+        self.items = [None] * len(runs)
         self.heads = [self._head(r) for r in range(len(runs))]
         # Nodes 1 to size - 1 are matches, size to 2 size - 1 the runs.
         winners = [0] * self.size + list(range(self.size))
@@ -51,8 +81,10 @@ class LoserTree:
 
     def _head(self, run: int):
         """The key of a run's next item; None when it has ended, which loses against all."""
-        place = self.place[run]
-        return self.key(self.runs[run][place]) if place < len(self.runs[run]) else None
+        for item in self.runs[run]:
+            self.items[run] = item
+            return self.key(item)
+        return None
 
     def _before(self, a: int, b: int) -> bool:
         first, second = self.heads[a], self.heads[b]
@@ -63,8 +95,7 @@ class LoserTree:
     def __iter__(self) -> Iterator:
         while self.heads and self.heads[self.winner] is not None:
             run = self.winner
-            yield self.runs[run][self.place[run]]
-            self.place[run] += 1
+            yield self.items[run]
             self.heads[run] = self._head(run)
             node = (run + self.size) // 2
             while node:
@@ -97,12 +128,12 @@ def decided(pages: DataFrame, at_least: int = 0) -> DataFrame:
     firsts = narrow.where(F.col("n") >= at_least).groupBy("sha").agg(F.min("page_id").alias("first_page"))
     marks = (
         narrow.select("page_id", "sha").distinct().join(firsts, "sha")
-        .where("first_page <> page_id").select(F.col("page_id").alias("marked"), F.col("sha").alias("marked_sha"), "first_page")
+        .where("first_page IS NOT NULL AND first_page IS DISTINCT FROM page_id").select(F.col("page_id").alias("marked"), F.col("sha").alias("marked_sha"), "first_page")
     )
     rows = pages.select("page_id", "url", "html").withColumn("sha", F.sha1(payload))
     same = rows["page_id"].eqNullSafe(marks["marked"]) & (rows["sha"] == marks["marked_sha"])
     return rows.join(marks, same, "left").select(
-        "page_id", "url", "html", url_key(F.col("url")).alias("url_key"), stamp(F.col("page_id")).alias("stamp"),
+        "page_id", "url", "html", "sha", url_key(F.col("url")).alias("url_key"), stamp(F.col("page_id")).alias("stamp"),
         F.col("first_page").alias("refers_to"))
 
 
@@ -153,91 +184,210 @@ def parsed(data: bytes) -> dict:
             "record_type": fields["WARC-Type"], "refers_to": page("WARC-Refers-To")}
 
 
-# --- archives and index -----------------------------------------------------
+# --- archives and runs ------------------------------------------------------
+
+
+class RunWriter:
+    """Writes sorted captures to a file, opened at the first, and tells its blocks."""
+
+    def __init__(self, folder: str, run: int, block_rows: int = BLOCK_ROWS):
+        self.folder, self.run, self.block_rows = folder, run, block_rows
+        self.path, self.out, self.file = None, None, None
+        self.rows, self.chars, self.count = [], 0, 0
+
+    def add(self, row: tuple) -> list[dict]:
+        """Take a capture; gives the block that it filled, if any."""
+        self.rows.append(row)
+        self.chars += len(row[0])
+        return self._block() if len(self.rows) >= self.block_rows or self.chars >= BLOCK_CHARS else []
 
+    def close(self) -> list[dict]:
+        last = self._block() if self.rows else []
+        if self.file:
+            self.file.close()
+            self.out.close()
+        return last
 
-def write(pages: DataFrame, folder: str, at_least: int = 0) -> DataFrame:
-    """Write the archives below `folder`; gives the captures, a sorted run for each archive."""
-    schema = pa.schema([("url_key", pa.string()), ("stamp", pa.string()), ("page_id", pa.int64()),
-                        ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()),
-                        ("offset", pa.int64()), ("length", pa.int64()), ("run", pa.int32())])
+    def _block(self) -> list[dict]:
+        if self.file is None:
+            self.path = new_file(self.folder, ".run")
+            self.out = writer(self.path)
+            self.file = pa.ipc.new_file(self.out, _CAPTURE)
+        self.file.write_batch(_batch(self.rows, _CAPTURE))
+        first, last = (dict(zip(KEYS, row)) for row in (self.rows[0], self.rows[-1]))
+        told = {"run": self.run, "path": self.path, "block": self.count, "n": len(self.rows), "first": first, "last": last}
+        self.rows, self.chars, self.count = [], 0, self.count + 1
+        return [told]
 
+
+def write(pages: DataFrame, folder: str, at_least: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Write archives and runs below `folder`; gives the runs' blocks (`BLOCKS`)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, at, number, out = new_file(folder, ".warc.gz"), 0, TaskContext.get().partitionId(), None
+        at, name, out = 0, None, None
+        captures = RunWriter(f"{folder}/runs", TaskContext.get().partitionId(), block_rows)
         for batch in batches:
-            rows = []
+            blocks = []
             for k in range(batch.num_rows):
                 page = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
-                out = out or writer(name)
+                if out is None:
+                    name = new_file(folder, ".warc.gz")
+                    out = writer(name)
                 data = gzip.compress(record(page), 6, mtime=0)
                 out.write(data)
-                rows.append({"url_key": page["url_key"], "stamp": page["stamp"], "page_id": page["page_id"],
-                             "record_type": "response" if page["refers_to"] is None else "revisit",
-                             "refers_to": page["refers_to"], "file": name, "offset": at, "length": len(data), "run": number})
+                kind = "response" if page["refers_to"] is None else "revisit"
+                blocks += captures.add((page["url_key"], page["stamp"], page["page_id"], page["sha"], name, at, len(data),
+                                        kind, page["refers_to"]))
                 at += len(data)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(blocks, _BLOCKS)
+        yield pa.RecordBatch.from_pylist(captures.close(), _BLOCKS)
         if out:
             out.close()
 
-    ordered = decided(pages, at_least).sortWithinPartitions("url_key", "stamp", "page_id")
-    return written(ordered.mapInArrow(run, CAPTURE), "captures")
+    ordered = decided(pages, at_least).sortWithinPartitions("url_key", "stamp", "page_id", "sha")
+    return written(ordered.mapInArrow(run, BLOCKS), "runs")
+
+
+# --- the merge --------------------------------------------------------------
+
+
+def merged(runs: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The index: all captures of `runs`, with their place in the history and the capture before of the same URL.
+
+    `place` counts from 0 in the order of `KEYS` over everything; `previous` is the page_id of the capture
+    just before of the same url_key, null where there is none or it has none.
+    """
+    spark = runs.sparkSession
+    while (runs.agg(F.max("run")).first()[0] or 0) >= fan_in:
+        runs = _fewer(runs, fan_in, work_dir(spark, "merged-runs"), block_rows)
+    captures = written(_in_ranges(runs, _cuts(runs, range_rows)), "history")
+    # A row per range, so at most MAX_RANGES: its captures' places begin after those of the ranges before.
+    ends = captures.groupBy("part").agg(
+        F.count("*").alias("n"), F.max_by(F.struct("url_key", "page_id"), "at").alias("end"))
+    order = Window.orderBy("part")
+    ranges = ends.select(
+        "part", (F.sum("n").over(order) - F.col("n")).alias("before"), F.lag("end").over(order).alias("end_before"))
+    carried = (F.col("at") == 0) & (F.col("end_before.url_key") == F.col("url_key"))
+    return captures.join(ranges, "part").select(
+        *_CAPTURE.names, (F.col("before") + F.col("at")).alias("place"),
+        F.when(carried, F.col("end_before.page_id")).otherwise(F.col("previous")).alias("previous"))
 
 
-def merged(captures: DataFrame) -> DataFrame:
-    """All captures in the order of KEYS: part k's last comes before part k + 1's first."""
-    names = captures.columns
+def order(row: Sequence) -> tuple:
+    """What captures are ordered by, from a row that begins with `KEYS`."""
+    return row[0], row[1], row[2] is not None, row[2] or 0, row[3], row[4], row[5]
 
-    def key(row: tuple) -> tuple:
-        return row[0], row[1], row[2] is not None, row[2] or 0, row[3], row[4]
 
+def _fewer(runs: DataFrame, fan_in: int, folder: str, block_rows: int) -> DataFrame:
+    """One pass: each `fan_in` runs become one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[tuple]] = {}
-        schema = None
+        for part, cursors in _parts(batches, []):
+            out = RunWriter(folder, part, block_rows)
+            for _, row in LoserTree(cursors, _by_key):
+                if blocks := out.add(row):
+                    yield pa.RecordBatch.from_pylist(blocks, _BLOCKS)
+            yield pa.RecordBatch.from_pylist(out.close(), _BLOCKS)
+
+    groups = runs.agg(F.max("run")).first()[0] // fan_in + 1
+    dealt = runs.select(F.floor(F.col("run") / fan_in).cast("int").alias("part"), "run", "path", "block")
+    return written(_spread(dealt, groups).mapInArrow(run, BLOCKS), "runs")
+
+
+def _cuts(runs: DataFrame, range_rows: int) -> list[tuple]:
+    """Keys that part the captures into ranges of some `range_rows`, at most `MAX_RANGES`."""
+    many = min(MAX_RANGES, (runs.agg(F.sum("n")).first()[0] or 0) // range_rows)
+    if many < 2:
+        return []
+    keys = runs.select("first.*").withColumn("url_key", F.substring("url_key", 1, CUT_CHARS))
+    firsts = keys.repartitionByRange(many, *KEYS).withColumn("part", F.spark_partition_id())
+    found = firsts.groupBy("part").agg(F.min(F.struct(*KEYS)).alias("cut")).collect()
+    return sorted({order(row["cut"]) for row in found})[1:]
+
+
+def _in_ranges(runs: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """Captures merged range by range, with the range (`part`), place there (`at`) and `previous` in it."""
+    shared = runs.sparkSession.sparkContext.broadcast(cuts)
+    added = [("part", pa.int32()), ("at", pa.int64()), ("previous", pa.int64())]
+    schema = pa.schema([*_CAPTURE, *added])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = batch.schema
-            picked = batch.select(KEYS + [n for n in names if n not in KEYS])
-            for row in zip(*[c.to_pylist() for c in picked.columns]):
-                runs.setdefault(row[-1], []).append(row)
-        if schema is None:
-            return
-        order = KEYS + [n for n in names if n not in KEYS]
-        tree, some = LoserTree(list(runs.values()), key), []
-        for row in tree:
-            some.append(row)
-            if len(some) == 4096:
-                yield _batch(some, order, schema)
-                some = []
-        if some:
-            yield _batch(some, order, schema)
-
-    columns = captures.select(*[n for n in names if n != "run"], "run")
-    names = columns.columns
-    ranged = columns.repartitionByRange(*KEYS).sortWithinPartitions("run", *KEYS)
-    return ranged.mapInArrow(run, columns.schema)
-
-
-def _batch(rows: list[tuple], order: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    columns = dict(zip(order, zip(*rows)))
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+            rows = []
+            for b in batch.to_pylist():
+                low, high = (bisect_right(shared.value, order([b[end][k] for k in KEYS])) for end in ("first", "last"))
+                rows += [{"part": p, "run": b["run"], "path": b["path"], "block": b["block"]} for p in range(low, high + 1)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), *[_BLOCKS.field(k) for k in range(3)]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cursors in _parts(batches, shared.value):
+            some, last = [], None
+            for at, (_, row) in enumerate(LoserTree(cursors, _by_key)):
+                before = last[2] if last and last[0] == row[0] else None
+                some.append((*row, part, at, before))
+                last = row
+                if len(some) == 4096:
+                    yield _batch(some, schema)
+                    some = []
+            if some:
+                yield _batch(some, schema)
+
+    dealt = runs.mapInArrow(deal, "part int, run int, path string, block int")
+    return _spread(dealt, len(cuts) + 1).mapInArrow(run, f"{CAPTURE}, part int, at bigint, previous bigint")
+
+
+def _spread(dealt: DataFrame, parts: int) -> DataFrame:
+    """For each part, in a partition of its own, the stretch of blocks it reads of each run."""
+    stretches = dealt.groupBy("part", "run", "path").agg(F.min("block").alias("start"), F.max("block").alias("end"))
+    return stretches.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "run")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], cuts: list[tuple]) -> Iterator[tuple[int, list[Iterator]]]:
+    """Each part of a partition, with a cursor over each of its runs."""
+    stretches = (row for batch in batches for row in batch.to_pylist())
+    for part, own in groupby(stretches, lambda row: row["part"]):
+        low = cuts[part - 1] if cuts and part else None
+        high = cuts[part] if part < len(cuts) else None
+        yield part, [_cursor(row["path"], row["start"], row["end"], low, high) for row in own]
+
+
+def _cursor(path: str, start: int, end: int, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """A run's captures from key `low` on and below `high`, one block in memory."""
+    with reader(path) as file, pa.ipc.open_file(file) as blocks:
+        for k in range(start, end + 1):
+            for row in zip(*[c.to_pylist() for c in blocks.get_batch(k).columns]):
+                key = order(row)
+                if high is not None and key >= high:
+                    return
+                if low is None or key >= low:
+                    yield key, row
+
+
+def _by_key(item: tuple) -> tuple:
+    return item[0]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def read(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """The records that an index (file, offset, length) points to, read from the archives."""
+    """The records that an index points to, read from the archives, with `place` and `previous` from it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, file = None, None
         for batch in batches:
             found = []
-            for path, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
+            for path, offset, length, place, previous in zip(*[c.to_pylist() for c in batch.columns]):
                 if path != name:
                     name, file = path, reader(path)
                 file.seek(offset)
                 with gzip.GzipFile(fileobj=io.BytesIO(file.read(length))) as member:
-                    found.append(parsed(member.read()))
+                    found.append({**parsed(member.read()), "place": place, "previous": previous})
             yield pa.RecordBatch.from_pylist(found, pa.schema([
                 ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                ("record_type", pa.string()), ("refers_to", pa.int64())]))
+                ("record_type", pa.string()), ("refers_to", pa.int64()), ("place", pa.int64()), ("previous", pa.int64())]))
 
     # A number of its own: the rows are few bytes, but what they point to is not.
     files = max(1, index.select("file").distinct().count())
-    spread = index.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
-    return spread.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    picked = index.select("file", "offset", "length", "place", "previous")
+    spread = picked.repartition(files, "file").sortWithinPartitions("file", "offset")
+    return spread.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, "
+                                  "refers_to bigint, place bigint, previous bigint")
