@@ -1,10 +1,11 @@
 """From documents to token ids: each stage works on what the one before kept."""
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, jaccard, quality, toxicity
 from tidemark.llm.labelled import fresh, training
-from tidemark.llm.queries import QUALITY, TOKENIZERS, TOXIC
+from tidemark.llm.queries import QUALITY, TOXIC
 from tidemark.session import prepare, written
 
 
@@ -41,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of each text, and the text that they decode to; a null text has none and decodes to an empty one."""
     prepare(spark)
-    return bpe.round_trip(docs.select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json").drop("text")
+    return bpe.round_trip(docs.select("doc_id", "text"), path("byte_bpe_50k.json")).drop("text")
 
 
 STAGES = [
