@@ -1,11 +1,11 @@
 """The pipeline's stages on the smallest table, each against a plain version on what it was given."""
 
 import brute
+import public_tokenizers
 from conftest import DATA
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm.queries import TOKENIZERS
 from tidemark.session import written
 from tokenizers import Tokenizer
 
@@ -37,7 +37,7 @@ def test_stages(spark):
             wanted = {w for i in items for w in windows(i, True)}
             assert kept == {d for d, t in given[name].items() if not windows(t) & wanted}
         else:
-            library = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+            library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
             for r in docs.collect():
                 assert r["token_ids"] == library.encode(given[name][r["doc_id"]] or "", add_special_tokens=False).ids
                 assert r["decoded"] == (given[name][r["doc_id"]] or "")

@@ -9,16 +9,16 @@ import zlib
 from collections import Counter
 
 import brute
+import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_matrix, lexical, spelling
-from tidemark.llm.queries import TOKENIZERS
 from tidemark.session import written
 from test_texts import odd_texts
 
-RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 # --- matrix BPE -------------------------------------------------------------
@@ -32,7 +32,7 @@ def library(path=RANKS):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k", "byte_bpe_multi_50k"])
 def test_matrix_bpe_is_the_librarys(name):
-    path = f"{TOKENIZERS}/{name}.tiktoken"
+    path = public_tokenizers.path(f"{name}.tiktoken")
     own, other = bpe_matrix.Codec(path), library(path)
     rand = random.Random(8)
     long = ["a" * 100_001, " " * 7000, "abc" * 700 + "é" * 400, "=-" * 3000 + "x",

@@ -5,15 +5,15 @@ import zlib
 
 import brute
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, decontaminate, jaccard, token_files
-from tidemark.llm.queries import TOKENIZERS
 from tidemark.session import work_dir
 
-BYTE, WORD = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = list("abz'stA  \n\t\r\x0b\x1c\x1f\x85\xa0\u2000\u2028\u3000\u0301éßΣσς12½²٣!?.,<|>中👍\u200d\u1100\u1161İǅﬁ\x00\x7f\ufeff") + [
     "<|endoftext|>", "<|startoftext|>", "'ll", "  ", "\n\n"]
 

@@ -7,8 +7,10 @@ A document's shingles that are some window's prefix give candidates; one whose
 window would begin before or end after the document is out (length and position);
 the rest are verified word by word, by the words' 64-bit hashes.
 
-The windows go in blocks of at most BLOCK, each broadcast to one pass over the
-documents, so neither their number nor any document's is bounded.
+The windows go in blocks of about BLOCK, each broadcast to one pass over the
+documents and freed after it.  The driver holds two blocks at most, so neither
+the windows' number nor any document's is bounded; a benchmark of several blocks
+takes a pass and a written copy of the documents for each but the last.
 
 Cases: null and empty texts have no words; items without words have no window;
 the windows of items without an id hit like others, but there is nothing to name;
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
@@ -57,8 +60,8 @@ def item_windows(benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE)
     return found.distinct()
 
 
-def counts(documents: DataFrame, wanted: np.ndarray, sizes: list[int]) -> DataFrame:
-    """How often each of the `wanted` shingles (sorted hashes) occurs in all documents."""
+def counts(documents: DataFrame, wanted: np.ndarray, sizes: list[int]) -> dict[int, int]:
+    """How often each of the `wanted` shingles (sorted hashes, those of a block) occurs in all documents."""
     shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +77,10 @@ def counts(documents: DataFrame, wanted: np.ndarray, sizes: list[int]) -> DataFr
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(table[seen].view(np.int64)), pa.array(total[seen])], ["token", "n"])
 
-    return documents.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    found = documents.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    told = {r["token"]: r["n"] for r in found.collect()}
+    shared.destroy()
+    return told
 
 
 class Block:
@@ -131,7 +137,7 @@ def blocks(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, shingle
         wanted = np.sort(np.array([r[0] for r in tokens.collect()], np.int64).view(np.uint64))
         gram = F.least(F.size("words"), F.lit(shingle))
         sizes = [r[0] for r in own.select(gram).distinct().collect()]
-        told = {r["token"]: r["n"] for r in counts(documents, wanted, sizes).collect()}
+        told = counts(documents, wanted, sizes)
         rows = []
         for r in own.select("item_id", "words", "shingles", gram.alias("gram")).collect():
             offset, token = min(enumerate(r["shingles"]), key=lambda x: (told.get(x[1], 0), x[1]))
@@ -149,17 +155,18 @@ def marked(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, shingle
     plain = result
     for name in ("item_ids", "spans"):
         result = result.withColumn(name, F.array().cast(ADDED[name]))
-    found = list(blocks(plain, benchmark, size, shingle, most))
-    for k, block in enumerate([*found, None]):
-        result = _marked(result, block, k == len(found))
-        if block is not None and k + 1 < len(found):
-            result = written(result, "marked")
-    return result
-
-
-def _marked(documents: DataFrame, block: Block | None, last: bool) -> DataFrame:
-    """`documents` with what a block finds added; the last call counts the words."""
-    shared = documents.sparkSession.sparkContext.broadcast(block)
+    found = blocks(plain, benchmark, size, shingle, most)
+    block, after = next(found, None), next(found, None)
+    while after is not None:
+        shared = documents.sparkSession.sparkContext.broadcast(block)
+        result = written(_marked(result, shared, False), "marked")
+        shared.destroy()
+        block, after = after, next(found, None)
+    return _marked(result, documents.sparkSession.sparkContext.broadcast(block), True)
+
+
+def _marked(documents: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
+    """`documents` with what a block (None: no windows) finds added; the last call counts the words."""
     schema = documents.schema
     if last:
         schema = widened(schema, n_words=LongType(), n_hit=LongType())

@@ -1,5 +1,6 @@
 """The queries opN_<name>: each operator over its whole table."""
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import (
@@ -9,8 +10,6 @@ from tidemark.llm import (
 from tidemark.llm.labelled import fold, training
 from tidemark.session import work_dir, written
 
-#: Where vocabularies lie; a folder all executors have.
-TOKENIZERS = "/opt/tokenizers"
 #: From which score on a document is of good quality, or toxic.
 QUALITY, TOXIC = 0.7, 0.5
 
@@ -28,7 +27,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.digests(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "tokens")
-    token_files.write(_table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
+    token_files.write(_table(spark, sf_dir, "documents"), folder, path("word_bpe_49k.json"), end_id=1)
     return token_files.read(spark, folder, digest=True)
 
 
@@ -79,7 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_matrix.digests(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return bpe_matrix.digests(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"))
 
 
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
