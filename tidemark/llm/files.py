@@ -4,6 +4,33 @@ import uuid
 
 import numpy as np
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.session import remove, work_dir
+
+
+class Scratch:
+    """Tables of one job's own, which it deletes when all that was made of them is written too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_dir(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables."""
+        for table, path in self.tables:
+            if any(table is t for t in tables):
+                remove(self.spark, path)
+        self.tables = [(t, path) for t, path in self.tables if not any(t is x for x in tables)]
+
+    def drop_all(self) -> None:
+        self.drop(*[t for t, _ in self.tables])
 
 
 def located(url: str) -> tuple[fs.FileSystem, str]:

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.files import Scratch
 from tidemark.llm.words import LOWER, NOT_SPACE, Words, grams, mix, pieces
 from tidemark.session import written
 
@@ -304,7 +305,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return joined.select("a", "b", "a_tokens", "a_prefixes", "b_tokens", "b_prefixes").mapInArrow(run, "a bigint, b bigint")
 
 
-def _linked(live: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _linked(live: DataFrame, sets: DataFrame, rule: Rule, scratch: Scratch) -> DataFrame:
     """(node, root) of the sets that have a link."""
     spark = live.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
@@ -325,18 +326,19 @@ def _linked(live: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             pairs = own.join(split, "token").where("root <> hub.root").select(
                 *[F.col(c).alias(f"{s}x") for c, s in COLUMNS.items()], *[F.col(f"hub.{c}").alias(f"{s}y") for c, s in COLUMNS.items()])
         else:
-            rest = written(own.join(split.select("token"), "token"), "rest")
+            rest = scratch.written(own.join(split.select("token"), "token"), "rest")
             left = rest.select("token", F.col("root").alias("rx"), *[F.col(c).alias(f"{s}x") for c, s in COLUMNS.items()])
             right = rest.select("token", F.col("root").alias("ry"), *[F.col(c).alias(f"{s}y") for c, s in COLUMNS.items()])
             pairs = left.join(right, "token").where("x < y AND rx <> ry")
         pairs = pairs.where(rule.may_link("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
+        pairs = scratch.written(pairs, "pairs")
         if pairs.isEmpty():
             continue
-        found = written(_verified(pairs, sets, rule), "links")
+        found = scratch.written(_verified(pairs, sets, rule), "links")
+        scratch.drop(pairs)
         if not found.isEmpty():
             links = links.union(found)
-            roots = written(components(links), "roots")
+            roots = scratch.written(components(links), "roots")
     return components(links) if roots is None else roots
 
 
@@ -344,23 +346,28 @@ def classes(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of each document."""
     documents = documents.select(F.col("doc_id").cast("long"), "text")
     parts_bits = min(14, max(6, (2 * documents.rdd.getNumPartitions()).bit_length()))
-    surveyed = written(_surveyed(documents, rule, parts_bits), "surveyed")
-    sets_of = surveyed.where("part = -1").select("doc_id", "set_id", "n")
-    counted = written(_counted(surveyed.where("part >= 0").select("part", "keys"), parts_bits), "counted")
+    scratch = Scratch(documents.sparkSession)
+    surveyed = scratch.written(_surveyed(documents, rule, parts_bits), "surveyed")
+    sets_of = scratch.written(surveyed.where("part = -1").select("doc_id", "set_id", "n"), "sets-of")
+    counted = scratch.written(_counted(surveyed.where("part >= 0").select("part", "keys"), parts_bits), "counted")
     shared = documents.sparkSession.sparkContext.broadcast(_frequent(counted))
-    live = written(_live(written(_posted(documents, rule, shared), "posted")), "live")
+    scratch.drop(surveyed, counted)
+    posted = scratch.written(_posted(documents, rule, shared), "posted")
+    live = scratch.written(_live(posted), "live")
+    scratch.drop(posted)
     taking_part = live.select("set_id").distinct()
     first_of = sets_of.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     bits = _member_bits(first_of.join(taking_part, "set_id"))
     kept = _kept_sets(documents, rule, shared, bits).join(first_of.join(taking_part, "set_id").select("set_id"), "set_id", "left_semi")
-    sets = written(kept.dropDuplicates(["set_id"]), "sets")
+    sets = scratch.written(kept.dropDuplicates(["set_id"]), "sets")
     # What the broadcasts were for is in tables now.
     shared.destroy()
     bits.destroy()
-    roots = _linked(live, sets, rule)
+    roots = _linked(live, sets, rule, scratch)
     rooted = sets_of.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("root"))
     rooted = written(rooted, "rooted")
+    scratch.drop_all()
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
