@@ -198,3 +198,14 @@ def test_guarded_stream_never_goes_below_zero(spark, folder):
     assert [(r.o_orderkey, r.n) for r in kept.orphans(spark, 0).collect()] == [(2, -1)]
     assert [(r.o_orderkey, r.n) for r in kept.orphans(spark, 2).collect()] == [(3, -1)]
     assert kept.orphans(spark, 3).isEmpty()
+
+
+def test_on_a_cluster_state_takes_the_shuffle_partitions(spark, folder, monkeypatch):
+    """No local master and no number given: the session's, for the life of the checkpoint."""
+    spark.range(5).write.parquet(f"{folder}/in")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    counts = spark.readStream.schema("id bigint").parquet(f"{folder}/in").groupBy("id").count()
+    with settings(spark, {"spark.sql.shuffle.partitions": "3"}):
+        query = start(counts, f"{folder}/checkpoint", "counts", lambda w: w.outputMode("update").format("noop"), True)
+        finish(query)
+    assert query.lastProgress["stateOperators"][0]["numShufflePartitions"] == 3

@@ -79,7 +79,7 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--to", help="folder to write the whole result to, as CSV")
         sub.add_argument("--rows", type=int, help="show only so many rows")
         sub.add_argument("--files", type=int, help="most files in a batch")
-        sub.add_argument("--state-partitions", type=int, help="of new checkpoints; needed on a cluster")
+        sub.add_argument("--state-partitions", type=int, help="of new checkpoints; else one per local core, or the shuffle partitions of a cluster's session")
         sub.set_defaults(run=run)
         return sub
 
