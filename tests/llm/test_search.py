@@ -9,7 +9,9 @@ import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -136,6 +138,37 @@ def test_search_against_all_scores(spark, monkeypatch, bucket, block):
         assert brute.rows(got, "item_id", "rank", "doc_id", "score") == best(rows, items, most)
 
 
+def test_bucket_with_short_vectors_before_longer_ones(spark):
+    """A task reads several files, so a bucket may begin with the short vectors that end one of them."""
+    items = lexical._items(["aa"])
+    items.weights = np.array([100])
+    rows = [(1, [0], [10], 100.0), (2, [0], [500], 5000.0)]
+    found = spark.createDataFrame(rows, "doc_id bigint, terms array<int>, impacts array<bigint>, length double").coalesce(1)
+    got = lexical._searched(found, spark.sparkContext.broadcast(items), np.array([40_000]), 50)
+    assert [tuple(r) for r in got.collect()] == [(0, 2, 50_000)]
+
+
+def test_best_keeps_the_best_of_many():
+    rand = random.Random(3)
+    for many in (201, 500, 5000):
+        for _ in range(20):
+            scores = np.array([rand.randint(1, many) for _ in range(many)])
+            kept = lexical.Best(50, 1)
+            kept.offer(scores, pa.array(range(many)))
+            wanted = sorted((-s, k) for k, s in enumerate(scores.tolist()))[:50]
+            assert sorted((-e[0], -e[2]) for e in kept.heap) == wanted
+
+
+def test_length_of_a_small_vector_behind_large_ones(spark):
+    """A vector's length is that of its own coordinates, whatever is before it in the batch."""
+    items = lexical._items(["aa bb"])
+    items.weights = np.array([1, 14_000])[np.argsort(np.argsort(items.terms))]
+    rows = [(k, 1, [1], [1]) for k in range(5000)] + [(9000, 2_000_000, [0], [1])]
+    counted = spark.createDataFrame(rows, "doc_id bigint, n bigint, terms array<int>, tfs array<bigint>").coalesce(1)
+    found = lexical.vectors(counted, spark.sparkContext.broadcast(items), 5001, 2_005_000).where("doc_id = 9000").first()
+    assert found["length"] == found["impacts"][0] > 0
+
+
 def test_thresholds_prune(spark):
     """Most vectors are ruled out by their length or a few coordinates, not scored."""
     items = lexical._items(["aa bb cc dd ee ff gg hh"])

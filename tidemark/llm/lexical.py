@@ -144,13 +144,12 @@ def vectors(counted: DataFrame, shared: Broadcast, documents: int, occurrences:
             many = np.diff(terms.offsets.to_numpy())
             tf, place = _flat(tfs), _flat(terms)
             impacts = 1_000_000_000 * tf // (1000 * tf + 20 * np.repeat(m, many))
-            square = np.concatenate([[0.0], np.cumsum(weights[place].astype(np.float64) * impacts * impacts)])
-            ends = np.cumsum(many)
-            # Sums of a row alone, not differences of the running sum.
+            # Sums of a row alone: differences of a running sum would lose what is small beside it.
+            square = weights[place].astype(np.float64) * impacts * impacts
             own = np.zeros(len(many))
             some = np.flatnonzero(many)
             if len(some):
-                own[some] = np.add.reduceat(np.diff(square), (ends - many)[some])
+                own[some] = np.add.reduceat(square, (np.cumsum(many) - many)[some])
             begin = pa.array((terms.offsets.to_numpy() - terms.offsets[0].as_py()).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [doc_id, terms, pa.ListArray.from_arrays(begin, pa.array(impacts)), pa.array(np.sqrt(own))],
@@ -210,7 +209,7 @@ class Best:
 
     def offer(self, scores: np.ndarray, ids: pa.Array) -> None:
         if len(scores) > 4 * self.most:
-            good = np.flatnonzero(scores >= -np.partition(-scores, self.most)[self.most - 1])
+            good = np.flatnonzero(scores >= -np.partition(-scores, self.most - 1)[self.most - 1])
             scores, ids = scores[good], ids.take(pa.array(good))
         for score, doc_id in zip(scores.tolist(), ids.to_pylist()):
             # Larger is better: of equal scores the smaller id, null last.
@@ -246,9 +245,11 @@ def _searched(found: DataFrame, shared: Broadcast, thresholds: np.ndarray, most:
         best = [Best(most, max(1, int(t))) for t in thresholds]
         values = np.zeros(len(items.terms), np.int64)
         for batch in batches:
+            lengths = batch.column(3).to_numpy()
             for low, high in _cuts(np.diff(batch.column(1).offsets.to_numpy())):
                 bucket = None
-                longest = batch.column(3)[low].as_py()
+                # Not the first: a bucket may begin at the end of one file and go on into one of longer vectors.
+                longest = lengths[low:high].max()
                 limits = np.array([b.threshold for b in best])
                 for k in np.flatnonzero((roots > 0) & (longest * roots * SLACK + 1 >= limits)):
                     bucket = bucket or Bucket(batch.slice(low, high - low))
