@@ -4,12 +4,13 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from small import all_q18_changes, all_q18_results, c, l, logs, o
-from tidemark.operators import zset
+from tidemark.operators import running, zset
 from tidemark.operators.having import having_changelog, having_row_changes
 from tidemark.operators.lanes import deal, repeat
 from tidemark.operators.maintain import delete_by_key, guard
 from tidemark.operators.running import previous, running_sums
 from tidemark.plans import joins, q3, q18
+from tidemark.session import SMALL_TASKS, written
 from tidemark.sources.jdbc import Database, Split
 
 
@@ -185,3 +186,16 @@ def test_database_options():
     assert db.query_options("SELECT 1") == {"url": "jdbc:x:y", "user": "u", "query": "SELECT 1"}
     split = db.query_options("SELECT a FROM t", Split("a", "0", "100", 4))
     assert split["dbtable"] == "(SELECT a FROM t) q" and split["numPartitions"] == "4" and "query" not in split
+
+
+def test_rows_of_running_sums_are_written_by_small_tasks(spark, monkeypatch):
+    """What feeds running sums is computed by tasks of bounded input; the session's settings come back."""
+    def current():
+        return {key: spark.conf.get(key) for key in SMALL_TASKS}
+
+    seen, before = [], current()
+    monkeypatch.setattr(running, "written", lambda df, name: seen.append(current()) or written(df, name))
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 7), (2, 1, 1)], "k int, at int, v int")
+    got = running_sums(rows, ["k"], ["at"], {"total": F.col("v")})
+    assert sorted((r.k, r.at, r.total) for r in got.collect()) == [(1, 1, 5), (1, 2, 12), (2, 1, 1)]
+    assert seen == [SMALL_TASKS] != [before] and current() == before
