@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.words import LOWER
+from tidemark.llm.words import LOWER, released
 from tidemark.session import written
 
 LEAST_LENGTH, LEAST_COUNT, RATIO, SPOILED = 5, 3, 2, 97
@@ -87,6 +87,8 @@ def words(documents: DataFrame, least_length: int = LEAST_LENGTH, least_count: i
                     held = Counter()
         if held:
             yield rows(held)
+        held.clear()
+        released()
 
     found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "word string, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
@@ -211,6 +213,8 @@ def pairs(listed: DataFrame, tile: int = TILE) -> DataFrame:
                 held = held.slice(int(begins[-1]))
         if held is not None and held.num_rows:
             yield output(held.combine_chunks())
+        held = None
+        released()
 
     return dealt.mapInArrow(run, "word string, near string, near_n bigint")
 
