@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from itertools import chain
 
 import brute
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, decontaminate, jaccard, token_files
-from tidemark.session import work_dir
+from tidemark.session import settings, work_dir
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = list("abz'stA  \n\t\r\x0b\x1c\x1f\x85\xa0\u2000\u2028\u3000\u0301éßΣσς12½²٣!?.,<|>中👍\u200d\u1100\u1161İǅﬁ\x00\x7f\ufeff") + [
@@ -39,6 +40,21 @@ def test_bpe_decodes_broken_sequences_like_the_library():
         assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_merges_again_only_what_went_out_of_use(monkeypatch):
+    own, other = bpe.Codec(BYTE), bpe.Codec(BYTE)
+    merged, plain = [], own.merged
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    own.merged = lambda data: merged.append(data) or plain(data)
+    for k in range(12):
+        text = f"always qx{chr(97 + k)} zy{chr(97 + k)}"
+        assert own.encode(text) == list(chain.from_iterable(map(other.merged, map(str.encode, other.pattern.findall(text)))))
+        assert len(own.remembered) + len(own.earlier) <= 8
+    assert merged.count(b"always") == 1 and len(merged) == 25
+    own.forget()
+    own.encode("always")
+    assert merged.count(b"always") == 2
+
+
 def test_bpe_frames(spark):
     documents = brute.odd_documents(spark, many=5).withColumn("token_ids", F.lit("clash"))
     both = bpe.decode(bpe.encode(documents, BYTE), BYTE)
@@ -183,6 +199,18 @@ def test_one_row_of_each_with_repeated_and_null_ids(spark):
     assert jaccard.one_of_each(brute.empty(spark)).count() == 0
 
 
+def test_only_texts_that_may_go_are_dealt_out(spark):
+    """Of many documents few are copies: the join that leaves them out reads few others."""
+    rows = [(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i}") for i in range(300)]
+    rows += [(1000 + i, text) for i, text in rows[:10]]
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(r.doc_id for r in left.collect()) == list(range(300))
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+    before_join = plan[plan.index("Join LeftAnti"):]
+    assert "marked(" in before_join and "Union" in plan[:plan.index("Join LeftAnti")]
+
+
 def test_classes_of_nulls_and_nothing(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (2, None), (1, "")]
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string"))

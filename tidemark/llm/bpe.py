@@ -26,8 +26,8 @@ from tidemark.llm.words import released, widened
 
 #: Fixed value: the public pattern that cuts text before byte-level merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces a worker remembers, and the longest it does.
-REMEMBERED, LONGEST = 400_000, 64
+#: Pieces a worker remembers, as many again from before these, and the longest it does.
+REMEMBERED, LONGEST = 300_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -54,14 +54,17 @@ class Codec:
         self.bytes = {i: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
                       for i, s in self.strings.items()}
         self.first = [vocab[letter] for letter in letters]
+        # A pair of ids in one number gives the merge's rank and new id in one: small numbers are quick to hash and compare.
+        self.wide = max(vocab.values()).bit_length()
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.merges[vocab[left] << self.wide | vocab[right]] = rank << self.wide | vocab[left + right]
         self.special = special
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")")
         self.pattern = regex.compile(PATTERN)
         self.remembered: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -74,45 +77,56 @@ class Codec:
 
     def _pieces(self, pieces: list[str]) -> Iterator[int]:
         known = self.remembered
-        new = {p for p in pieces if p not in known}
+        new = set(pieces).difference(known)
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(pieces)
+            # What is in use comes over from the earlier ones; the rest goes with the next change.
+            self.earlier, known = known, {}
+            self.remembered, new = known, set(pieces)
+        earlier = self.earlier
         for piece in new:
-            known[piece] = self.merged(piece.encode())
-        yield from chain.from_iterable(map(known.__getitem__, pieces))
+            ids = earlier.get(piece)
+            known[piece] = self.merged(piece.encode()) if ids is None else ids
+        found = chain.from_iterable([known[piece] for piece in pieces])
         for piece in new:
             if len(piece) > LONGEST:
                 del known[piece]
+        return found
+
+    def forget(self) -> None:
+        self.remembered, self.earlier = {}, {}
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """The ids of one piece."""
-        ids = [self.first[b] for b in data]
+        first, merges, wide = self.first, self.merges, self.wide
+        ids = [first[b] for b in data]
         n = len(ids)
+        # An entry is a merge and the place of its left symbol, in one number: lowest rank first, then leftmost.
+        bits = n.bit_length()
+        queue = [found << bits | k for k, pair in enumerate(zip(ids, ids[1:]))
+                 if (found := merges.get(pair[0] << wide | pair[1])) is not None]
+        if not queue:
+            return tuple(ids)
+        heapq.heapify(queue)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue: list[tuple[int, int, int, int]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right < n and (found := self.merges.get((ids[left], ids[right]))):
-                heapq.heappush(queue, (found[0], left, ids[left], ids[right]))
-
-        for k in range(n - 1):
-            offer(k)
+        place, number = (1 << bits) - 1, (1 << wide) - 1
         while queue:
-            _, left, a, b = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            left, merge = entry & place, entry >> bits
             right = after[left]
             # Stale: one of the two has been merged since.
-            if ids[left] != a or right >= n or ids[right] != b:
+            if right >= n or merges.get(ids[left] << wide | ids[right]) != merge:
                 continue
-            ids[left], ids[right] = self.merges[a, b][1], -1
-            after[left] = after[right]
-            if after[right] < n:
-                before[after[right]] = left
-            offer(left)
-            if before[left] >= 0:
-                offer(before[left])
-        return tuple(i for i in ids if i >= 0)
+            own = ids[left] = merge & number
+            ids[right] = -1
+            right = after[left] = after[right]
+            if right < n:
+                before[right] = left
+                if (found := merges.get(own << wide | ids[right])) is not None:
+                    heapq.heappush(queue, found << bits | left)
+            left = before[left]
+            if left >= 0 and (found := merges.get(ids[left] << wide | own)) is not None:
+                heapq.heappush(queue, found << bits | left)
+        return tuple([i for i in ids if i >= 0])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -179,7 +193,7 @@ def round_trip(documents: DataFrame, path: str, column: str = "text", into: str
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())],
                     [*rows.schema.names, into, back])
-        own.remembered.clear()
+        own.forget()
         released()
 
     return source.mapInArrow(run, schema)
