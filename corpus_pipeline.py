@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe, decontaminate, jaccard, quality, toxicity
 from tidemark.llm.labelled import fresh, training
 from tidemark.llm.queries import QUALITY, TOXIC
+from tidemark.llm.words import released
 from tidemark.session import prepare, written
 
 
+def _begun(spark: SparkSession) -> None:
+    """The settings of a stage; the driver gives back what the stage before held."""
+    prepare(spark)
+    released()
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models score as toxic go."""
-    prepare(spark)
+    _begun(spark)
     labels = training(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", folds=5, held_out=0)
     score = fresh("score", docs.columns)
     scored = toxicity.scored(docs, toxicity.train(docs, labels), score)
@@ -20,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores as poor go."""
-    prepare(spark)
+    _begun(spark)
     labels = training(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", folds=4, held_out=2)
     score = fresh("score", docs.columns)
     scored = quality.scored(docs, *quality.train(docs, labels), score)
@@ -29,19 +36,19 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at 0.8 or more, the document of the smallest id stays."""
-    prepare(spark)
+    _begun(spark)
     return jaccard.one_of_each(docs, jaccard.Rule(size=5, percent=80))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    prepare(spark)
+    _begun(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of each text, and the text that they decode to; a null text has none and decodes to an empty one."""
-    prepare(spark)
+    _begun(spark)
     return bpe.round_trip(docs.select("doc_id", "text"), path("byte_bpe_50k.json")).drop("text")
 
 

@@ -1,3 +1,4 @@
+import time
 from decimal import Decimal
 
 import pytest
@@ -199,3 +200,23 @@ def test_rows_of_running_sums_are_written_by_small_tasks(spark, monkeypatch):
     got = running_sums(rows, ["k"], ["at"], {"total": F.col("v")})
     assert sorted((r.k, r.at, r.total) for r in got.collect()) == [(1, 1, 5), (1, 2, 12), (2, 1, 1)]
     assert seen == [SMALL_TASKS] != [before] and current() == before
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(k).getName() for k in range(found.size())) if name.startswith("shuffle_")}
+
+    def dealt():
+        return spark.range(1000).repartition(3, "id")
+
+    before = files()
+    dealt().write.format("noop").mode("overwrite").save()
+    assert files() - before
+    before = files()
+    table = written(dealt(), "dealt")
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert table.count() == 1000

@@ -6,7 +6,7 @@ import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import remove, work_dir
+from tidemark.session import SHUFFLES_GO, remove, settings, work_dir
 
 
 class Scratch:
@@ -17,7 +17,8 @@ class Scratch:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = work_dir(self.spark, name)
-        df.write.parquet(path)
+        with settings(self.spark, {SHUFFLES_GO: "true"}):
+            df.write.parquet(path)
         table = self.spark.read.parquet(path)
         self.tables.append((table, path))
         return table

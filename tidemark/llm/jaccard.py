@@ -241,9 +241,13 @@ def _live(posted: DataFrame) -> DataFrame:
     return posted.join(shared.select("token"), "token").distinct()
 
 
-def _member_bits(documents: DataFrame):
+def _bit(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
+
+
+def _member_bits(documents: DataFrame, name: str = "doc_id"):
     """Documents as bits of a table of fixed size; others may share a bit, none is missed."""
-    placed = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    placed = documents.select(_bit(name).alias("bit"))
     words = placed.groupBy(F.shiftright("bit", 5).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits")).toArrow()
     table = np.zeros(FILTER_BITS // 32, np.uint32)
@@ -264,20 +268,22 @@ def _kept_sets(documents: DataFrame, rule: Rule, shared, bits) -> DataFrame:
                 for seed in ORDERS[1:]:
                     place, _ = sets.prefixes(shared.value, seed, rule)
                     cut = np.searchsorted(sets.text[place], np.arange(len(sets.n) + 1))
-                    others.append([np.sort(sets.tokens[place[a:b]]).tobytes() for a, b in zip(cut[:-1], cut[1:])])
+                    # Half a hash: prefixes only tell which pairs are compared.
+                    tokens = (sets.tokens[place] >> _U(32)).astype(np.uint32)
+                    others.append([np.sort(tokens[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])])
                 tokens = [sets.tokens[a:b].tobytes() for a, b in zip(sets.first[:-1], sets.first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sets.ids), pa.array(tokens), pa.array([list(x) for x in zip(*others)], pa.list_(pa.binary()))],
                     ["set_id", "tokens", "prefixes"])
 
-    numbered = documents.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+    numbered = documents.select("doc_id", "text", _bit("doc_id").alias("bit"))
     return numbered.mapInArrow(run, "set_id bigint, tokens binary, prefixes array<binary>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that are similar: by the filters of the other orders, then exactly."""
-    def common(a: bytes, b: bytes) -> int:
-        x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
+    def common(a: bytes, b: bytes, kind: type) -> int:
+        x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
         if len(x) > len(y):
             x, y = y, x
         place = np.searchsorted(y, x)
@@ -289,9 +295,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             keep = []
             for k in range(batch.num_rows):
                 a, b = batch.column(3)[k].as_py(), batch.column(5)[k].as_py()
-                if all(common(x, y) for x, y in zip(a, b)):
+                if all(common(x, y, np.uint32) for x, y in zip(a, b)):
                     x, y = batch.column(2)[k].as_py(), batch.column(4)[k].as_py()
-                    both = common(x, y)
+                    both = common(x, y, _U)
                     keep.append(100 * both >= rule.percent * ((len(x) + len(y)) // 8 - both))
                 else:
                     keep.append(False)
@@ -388,4 +394,15 @@ def one_of_each(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.md5("text").alias("digest"), row)
     keep = numbered.select(row, order.alias("own")).join(groups, row).groupBy("component_id").agg(F.min("own").alias("own"))
     away = groups.select(row).join(keep.select(F.col(f"own.{row}").alias(row)), row, "left_anti")
-    return numbered.join(away, row, "left_anti").select(*documents.columns)
+    away = written(away, "away")
+    bits = _member_bits(away, row)
+
+    @F.arrow_udf("boolean")
+    def marked(bit: pa.Array) -> pa.Array:
+        at, table = bit.to_numpy(), bits.value
+        return pa.array((table[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    # Only texts that may go are dealt out to be joined; all others stay where they are.
+    doubtful = marked(_bit(row))
+    rest = numbered.where(doubtful).join(away, row, "left_anti")
+    return numbered.where(~doubtful).select(*documents.columns).unionByName(rest.select(*documents.columns))
