@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.schemas import INT, KEY, TABLES, TEXT, canonical
+from tidemark.session import publish, remove
 
 
 def changes_of_table(table: DataFrame, tag: str, changes: list[tuple[int, int, Column]]) -> DataFrame:
@@ -34,9 +35,13 @@ def changes_in_epoch(table: DataFrame, tag: str, changes: list[tuple[int, int, C
 
 
 def write_epoch(log: DataFrame, path: str, epoch: int) -> None:
-    """Write one epoch's changes to ``path/epoch=N``, replacing an earlier try."""
+    """Write one epoch's changes to ``path/epoch=N``, replacing an earlier try.
+
+    They appear at once: a stream that runs meanwhile takes them in one batch.
+    """
     rows = log.where(F.col("epoch") == epoch).drop("epoch")
-    rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    remove(log.sparkSession, f"{path}/epoch={epoch}")
+    publish(rows, path, f"epoch={epoch}")
 
 
 def log_schema(tag: str) -> StructType:
