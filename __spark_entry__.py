@@ -21,10 +21,10 @@ from tidemark.operators.maintain import delete_by_key, guard
 from tidemark.operators.support import anti_join_changes, semi_join_changes
 from tidemark.plans import joins, q3, q18
 from tidemark.schemas import DELETE_KEYS, canonical
-from tidemark.session import prepare, work_dir, written
+from tidemark.session import prepare, publish, work_dir, written
 from tidemark.sources import table_log, text_log
 from tidemark.streaming.guard import GuardedLog
-from tidemark.streaming.delta import payload
+from tidemark.streaming.delta import payload, stream_log
 from tidemark.streaming.gate import EpochGate, marked
 from tidemark.streaming.having import HavingLog
 from tidemark.streaming.history import History
@@ -323,12 +323,12 @@ def guard_customer_stream(spark, sf_dir):
 
 
 def _play_steps(spark: SparkSession, log: DataFrame, step: str, last: int, base: str, take: Callable) -> None:
-    """Give a stream the rows of each step in turn, as files of their own."""
+    """Give a stream the rows of each step in turn, as a folder that appears at once: a batch takes all of it."""
     folder, schema, query = f"{base}/in", log.schema, None
     for number in range(last + 1):
-        log.where(F.col(step) == number).write.mode("append").parquet(folder)
+        publish(log.where(F.col(step) == number), folder, f"batch={number}")
         if query is None:
-            query = start(spark.readStream.schema(schema).parquet(folder), f"{base}/checkpoint", "steps", to_batches(take))
+            query = start(stream_log(spark, folder, schema), f"{base}/checkpoint", "steps", to_batches(take))
         query.processAllAvailable()
     query.stop()
 
@@ -542,9 +542,10 @@ def q18_complete_epochs(spark, sf_dir):
     for epoch in range(LAST_EPOCH + 1):
         for tag, log in logs.items():
             rows = marked(log.where(F.col("epoch") == epoch), epoch)
-            rows.write.mode("append").parquet(f"{base}/in/{tag}")
+            # At once, or the stream may take the mark before rows of its epoch.
+            publish(rows, f"{base}/in/{tag}", f"batch={epoch}")
             if tag not in streams:
-                stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in/{tag}")
+                stream = stream_log(spark, f"{base}/in/{tag}", rows.schema)
                 streams[tag] = start(stream, f"{base}/checkpoint-{tag}", f"gate-{tag}", to_batches(gate.take(tag)))
             streams[tag].processAllAvailable()
             gate.release(spark, result)
