@@ -53,6 +53,15 @@ def test_matrix_bpe_forgets_without_harm(monkeypatch):
         assert own.encode(texts[k:k + 50]) == [other.encode_ordinary(t) for t in texts[k:k + 50]]
 
 
+def test_matrix_bpe_merges_no_piece_in_use_again(monkeypatch):
+    monkeypatch.setattr(bpe_matrix, "REMEMBERED", 20)
+    own, merge, asked = bpe_matrix.Codec(RANKS), bpe_matrix.Codec.merged, []
+    monkeypatch.setattr(bpe_matrix.Codec, "merged", lambda codec, pieces: asked.extend(pieces) or merge(codec, pieces))
+    for k in range(0, 120, 12):
+        own.encode(["qzxjv" + "".join(f" {n}{n}{n}{n}" for n in range(1000 + k, 1012 + k))])
+    assert len(asked) == 121 and asked.count(b"qzxjv") == 1
+
+
 def test_long_rows_merge_as_short_ones_do(monkeypatch):
     own = bpe_matrix.Codec(RANKS)
     rand = random.Random(9)

@@ -22,8 +22,10 @@ name of the result, which is replaced; no rows give no rows.
 """
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -41,8 +43,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG = 256
 #: Cells of a matrix, and bytes of text that go through together.
 CELLS, TEXT_BYTES = 1 << 18, 1 << 20
-#: Pieces a worker remembers, and the longest it does.
-REMEMBERED, LONGEST = 150_000, 64
+#: Pieces a worker remembers, as many again from before these, and the longest it does.
+REMEMBERED, LONGEST = 300_000, 64
 NONE = np.int32(2 ** 31 - 1)
 _U = np.uint64
 
@@ -94,6 +96,18 @@ class Pairs:
         return found
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the search for cycles, of which millions of pieces and ids have none."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
+
+
 class Codec:
     """A vocabulary of byte strings with their ranks."""
 
@@ -106,18 +120,31 @@ class Codec:
                 for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.pairs = Pairs(*np.array(ways, np.int64).reshape(-1, 3).T)
         self.pattern = regex.compile(PATTERN)
+        # One object for each id, whatever remembers it.
+        self.own = {rank: rank for rank in self.bytes}
         self.remembered: dict[str, tuple[int, ...]] = {}
+        self.earlier: dict[str, tuple[int, ...]] = {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
+        with _uncollected():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.pattern.findall(text) for text in texts]
         known = self.remembered
         new = set().union(*cut).difference(known)
         if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*cut)
+            # What is in use comes over from the earlier ones; the rest goes with the next change.
+            self.earlier, known = known, {}
+            self.remembered, new = known, set().union(*cut)
+        earlier = self.earlier
         rest = []
         for piece in new:
+            ids = earlier.get(piece)
+            if ids is not None:
+                known[piece] = ids
+                continue
             data = piece.encode()
             whole = self.ranks.get(data)
             if whole is None:
@@ -155,6 +182,7 @@ class Codec:
 
     def _rounds(self, ids: np.ndarray, sizes: np.ndarray, rows: np.ndarray, result: list) -> None:
         """Merge a matrix to its end; each row's ids go to `result` as it leaves."""
+        own = self.own.__getitem__
         ranks = np.full(ids.shape, NONE, np.int32)
         ranks[:, :-1] = self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
         while len(ids):
@@ -164,7 +192,7 @@ class Codec:
             done = least == NONE
             if done.any():
                 for k in np.flatnonzero(done):
-                    result[rows[k]] = tuple(ids[k, :sizes[k]].tolist())
+                    result[rows[k]] = tuple(map(own, ids[k, :sizes[k]].tolist()))
                 go = ~done
                 # The widest row left bounds the matrix.
                 width = int(sizes[go].max(initial=1))
