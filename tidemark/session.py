@@ -88,6 +88,7 @@ def publish(df: DataFrame, folder: str, name: str, partitions: tuple[str, ...] =
     It is written aside and then renamed, so a reader that takes files as they
     come never sees those of a write that was lost half way.  A folder that is
     there already stays as it is: running a batch again gives no new files.
+    What was shuffled for it goes with the write.
     Wants a file system whose rename of a folder is atomic, as HDFS's is.
     Rows of one of the `partitions` go to one file, or some if they are many.  With
     `text` they are lines, dealt to tasks as `df` has them.
@@ -97,7 +98,8 @@ def publish(df: DataFrame, folder: str, name: str, partitions: tuple[str, ...] =
         return
     aside = f"{folder}/_aside/{name}"
     rows = df.hint("rebalance", *partitions) if partitions and not text else df
-    rows.write.mode("overwrite").partitionBy(*partitions).format("text" if text else "parquet").save(aside)
+    with settings(spark, {SHUFFLES_GO: "true"}):
+        rows.write.mode("overwrite").partitionBy(*partitions).format("text" if text else "parquet").save(aside)
     system, own = _located(spark, aside)
     if not system.rename(own, _located(spark, target)[1]):
         raise OSError(f"{aside} could not be renamed")
@@ -122,6 +124,13 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(own, True)
 
 
+def remove_all(spark: SparkSession, pattern: str) -> None:
+    """`remove` of every folder a pattern fits."""
+    system, own = _located(spark, pattern)
+    for found in system.globStatus(own) or []:
+        system.delete(found.getPath(), True)
+
+
 def _located(spark: SparkSession, path: str):
     """The file system of a path, and the path on it."""
     own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

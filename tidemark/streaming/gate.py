@@ -8,7 +8,8 @@ of which one source is still to come.
 
 A release reads the new epochs' folders and the rows open before them, not the log from
 its beginning.  It is written down as a plan first: one that was lost half way goes on
-with the same epochs, however far the sources have come since.
+with the same epochs, however far the sources have come since.  Once it is done, the
+history has its rows and their folders go.
 """
 
 from collections.abc import Callable
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from tidemark.operators.history import FROM
-from tidemark.session import exists, make_folder, publish
+from tidemark.session import exists, make_folder, publish, remove_all
 from tidemark.streaming.history import History
 
 
@@ -86,8 +87,15 @@ class EpochGate:
         for source in self.sources:
             self._history(source).step(new[source], number)
         publish(spark.range(1), f"{self.path}/released", f"number={number}")
+        self._forget(spark, before, complete)
         return complete
 
+    def _forget(self, spark: SparkSession, after: int, upto: int) -> None:
+        """Delete what the sources brought of released epochs; what still comes of them is late."""
+        for source in self.sources:
+            for epoch in range(after + 1, upto + 1):
+                remove_all(spark, f"{self.path}/rows/{source}/batch=*/epoch={epoch}")
+
     def read(self, spark: SparkSession) -> DataFrame:
         """The results of all epochs shown."""
         return spark.read.parquet(f"{self.path}/results").drop("release")

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from tidemark.operators.history import FROM, UNTIL, as_of, free_names, intervals
-from tidemark.operators.zset import net_changes
 from tidemark.session import publish
 from tidemark.streaming.kept import KeptTable
 
@@ -49,8 +48,7 @@ class History:
         touched = table.touched(batch)
         before = table.read(batch.sparkSession, number - 1, touched)
         # An open row is a change at its begin: what the batch adds to that epoch joins it.
-        changes = net_changes(batch.select("w", "epoch", *names), by_epoch=True).select(
-            F.col("w").cast("long").alias("w"), F.col("epoch").cast("int").alias("epoch"), *names)
+        changes = batch.select(F.col("w").cast("long").alias("w"), F.col("epoch").cast("int").alias("epoch"), *names)
         spans = intervals(changes.unionByName(before.withColumnRenamed(FROM, "epoch")))
         ended = spans.where(F.col(UNTIL).isNotNull() & (F.col("w") > 0))
         publish(ended.select("w", FROM, *names, UNTIL), self.closed_path, f"batch={number}", (UNTIL,))
