@@ -5,11 +5,13 @@ import time
 
 from pyspark.sql import functions as F
 
-from small import c, l, logs, o
+from small import SCHEMAS, c, l, logs, o
 from tidemark.plans import q18
 from tidemark.session import publish
+from tidemark.sources.table_log import with_place
 from tidemark.streaming.delta import payload
 from tidemark.streaming.gate import EpochGate, marked
+from tidemark.streaming.runner import finish
 
 
 def shuffle_files(spark):
@@ -26,12 +28,39 @@ def left(spark, before, seconds=10):
     return new
 
 
+def started(spark, folder):
+    for name, log in zip("col", logs(spark, c(1, 0, 1), o(1, 0, 1), l(1, 0, 1, 5))):
+        log.coalesce(1).write.parquet(f"{folder}/{name}")
+    streams = [with_place(spark.readStream.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")) for name in "col"]
+    query = q18.start_joined(*streams, f"{folder}/out", f"{folder}/checkpoint", available_now=True, state_partitions=2)
+    finish(query)
+    return query
+
+
 def test_what_is_shuffled_for_a_write_goes_with_it(spark, folder):
     before = shuffle_files(spark)
     publish(spark.range(1000).groupBy(F.col("id") % 7).count(), folder, "counts")
     assert not left(spark, before)
 
 
+def test_what_a_stream_shuffles_goes_with_its_batch(spark, folder):
+    before = shuffle_files(spark)
+    started(spark, folder)
+    assert not left(spark, before)
+
+
+def test_the_state_of_a_joined_stream_has_each_order_once(spark, folder):
+    query = started(spark, folder)
+    # A line and its order; eight lanes of a customer and an order.
+    assert sorted(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]) == [2, 9]
+
+
+def test_the_checkpoint_has_the_state_once(spark, folder):
+    started(spark, folder)
+    assert glob.glob(f"{folder}/checkpoint/state/**/*.zip", recursive=True)
+    assert not glob.glob(f"{folder}/checkpoint/state/**/*.changelog", recursive=True)
+
+
 def test_a_released_epoch_is_kept_in_the_history_alone(spark, folder):
     tables = dict(zip("col", logs(spark, c(1, 0, 1), o(1, 0, 1), l(1, 0, 1, 301), l(-1, 1, 1, 301))))
     gate = EpochGate(folder, {name: payload(log) for name, log in tables.items()})

@@ -12,10 +12,14 @@ def customer_orders(customer: DataFrame, orders: DataFrame, lanes: int | None =
 
 
 def customer_orders_lines(customer: DataFrame, orders: DataFrame, lineitem: DataFrame,
-                          lanes: int | None = None) -> DataFrame:
-    """Customers with their orders and the orders' lines."""
+                          lanes: int | None = None, line_lanes: int | None = None) -> DataFrame:
+    """Customers with their orders and the orders' lines.
+
+    `line_lanes` spreads an order's lines.  A state holds every order once in each, and an
+    order has few lines, so only a log with very long orders needs any.
+    """
     pairs = customer_orders(customer, orders, lanes)
-    return _one_to_many(pairs, lineitem, "o_orderkey", "l_orderkey", lanes)
+    return _one_to_many(pairs, lineitem, "o_orderkey", "l_orderkey", line_lanes)
 
 
 def _one_to_many(one: DataFrame, many: DataFrame, one_key: str, many_key: str, lanes: int | None) -> DataFrame:

@@ -106,13 +106,13 @@ def _change(log: DataFrame) -> list[str]:
 
 def start_joined(customer: DataFrame, orders: DataFrame, lineitem: DataFrame, out: str, checkpoint: str,
                  available_now: bool = False, lanes: int | None = LANES,
-                 state_partitions: int | None = None) -> StreamingQuery:
+                 state_partitions: int | None = None, line_lanes: int | None = None) -> StreamingQuery:
     """Join the three streams; read the result with `read_joined`.
 
     The join keeps every line in its state.  `start_large` and `start_picked`
     together need far less.
     """
-    pairs = customer_orders_lines(_customers(customer), _orders(orders), _lines(lineitem), lanes)
+    pairs = customer_orders_lines(_customers(customer), _orders(orders), _lines(lineitem), lanes, line_lanes)
     pairs = pairs.select("w", "epoch", *KEYS, "l_quantity")
     return start(pairs, checkpoint, "q18-joined", to_parquet(out), available_now, state_partitions)
 

@@ -7,15 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.operators.zset import as_rows, snapshot
-from tidemark.session import publish, settings
+from tidemark.session import SHUFFLES_GO, publish, settings
 from tidemark.sources.jdbc import Database
 
-# Join state keeps every change, so it must be able to outgrow memory.
+# Join state keeps every change, so it must be able to outgrow memory.  On disk it is there
+# twice, in the executors' folders and in the checkpoint: as RocksDB's files, compressed, each
+# uploaded once, without a log of the changes beside them.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "false",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
     "spark.sql.streaming.join.stateFormatVersion": "3",
+    # Files of older states go; a restart needs the last two batches alone.
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
 
@@ -36,7 +41,9 @@ def start(stream: DataFrame, checkpoint: str, name: str, to: Callable, available
         writer = writer.trigger(availableNow=True)
     elif every:
         writer = writer.trigger(processingTime=every)
-    with settings(spark, {**STATE_STORE, "spark.sql.shuffle.partitions": str(parts), **(options or {})}):
+    # A batch's shuffles go with it, not when the driver next collects its garbage.
+    own = {**STATE_STORE, SHUFFLES_GO: "true", "spark.sql.shuffle.partitions": str(parts), **(options or {})}
+    with settings(spark, own):
         return to(writer).start()
 
 
