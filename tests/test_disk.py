@@ -6,10 +6,10 @@ import time
 from pyspark.sql import functions as F
 
 from small import SCHEMAS, c, l, logs, o
-from tidemark.plans import q18
+from tidemark.plans import q3, q18
 from tidemark.session import publish
 from tidemark.sources.table_log import with_place
-from tidemark.streaming.delta import payload
+from tidemark.streaming.delta import both, payload
 from tidemark.streaming.gate import EpochGate, marked
 from tidemark.streaming.runner import finish
 
@@ -77,3 +77,14 @@ def test_a_released_epoch_is_kept_in_the_history_alone(spark, folder):
         assert not glob.glob(f"{folder}/rows/*/batch=*/epoch=*")
     assert [(r.epoch, r.o_orderkey) for r in gate.read(spark).collect()] == [(0, 1)]
     assert gate.as_of(spark, "l", 0).count() == 1 and gate.as_of(spark, "l", 1).isEmpty()
+
+
+def test_live_tuples_keep_no_moves_of_a_done_batch(spark, folder):
+    changes = logs(spark, c(1, 0, 1), o(1, 0, 1), l(1, 0, 1))
+    live = q3.live_tuples(*changes, folder)[0]
+    customer, orders = changes[0].select("w", "epoch", *live.parent.names), changes[1].select("w", "epoch", *live.row.names)
+    for _ in range(2):  # run again, as after a lost commit
+        live.step(both(customer, orders), 0)
+        assert not glob.glob(f"{folder}/orders/moves/batch=*") and not glob.glob(f"{folder}/orders/rows/batch=*")
+        assert [r.o_orderkey for r in live.read(spark).collect()] == [1]
+        assert [(r.n, r.parents) for r in live.table.read(spark, 0).collect()] == [(1, 1)]
