@@ -88,3 +88,16 @@ def test_live_tuples_keep_no_moves_of_a_done_batch(spark, folder):
         assert not glob.glob(f"{folder}/orders/moves/batch=*") and not glob.glob(f"{folder}/orders/rows/batch=*")
         assert [r.o_orderkey for r in live.read(spark).collect()] == [1]
         assert [(r.n, r.parents) for r in live.table.read(spark, 0).collect()] == [(1, 1)]
+
+
+def test_the_joined_sums_look_up_no_key_to_count_it(spark, folder):
+    for name, log in zip("col", logs(spark, c(1, 0, 1), o(1, 0, 1), l(1, 0, 1))):
+        log.coalesce(1).write.parquet(f"{folder}/{name}")
+    customer, orders, lines = [with_place(spark.readStream.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")) for name in "col"]
+    finish(q3.start_sums(lines, f"{folder}/sums", f"{folder}/c0", available_now=True, state_partitions=2))
+    query = q3.start_joined(customer, orders, q3.stream_sums(spark, f"{folder}/sums"), f"{folder}/out", f"{folder}/c1",
+                            available_now=True, state_partitions=2, lanes=None)
+    finish(query)
+    # Two rows and their one pair; each put looked up its key before.
+    assert [op["customMetrics"]["rocksdbGetCount"] for op in query.lastProgress["stateOperators"]] == [5, 5]
+    assert q3.read_joined(spark, f"{folder}/out").count() == 1
